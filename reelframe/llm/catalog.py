@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import substring
+from reelframe.llm import decontam, neardup, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_minhash": neardup.op7_minhash,
+        "op9_decontamination": decontam.op9_decontamination,
         "op10_substring": substring.op10_substring,
     }
 
