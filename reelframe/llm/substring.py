@@ -33,6 +33,8 @@ NO_ID = (1 << 63) - 1
 SAMPLE_DOCS = 2000
 #: A prefix with more than this part of the sampled suffixes is made longer.
 HOT_SHARE = 1 / 2048
+#: Bytes of text whose windows are compared before any travel.
+SLICE = 4 << 20
 _U = np.uint64
 
 
@@ -70,7 +72,7 @@ def _groups(words: Words, at: np.ndarray, hot: list[np.ndarray], parts: int) ->
         if not open_.any():
             break
         prefix[: len(prefix) - length] = prefix[: len(prefix) - length] * _U(0x9E3779B97F4A7C15) + words.hash[length:]
-    return ((key >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+    return ((key >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
 
 
 LEAVES = "grp int, found boolean, ids binary, labels binary"
@@ -80,29 +82,26 @@ def _leaves(batches: Iterator[pa.RecordBatch], n: int, parts: int, hot: list[np.
     """A batch's leaves by group, and (found) what is known to repeat from the batch alone, dealt to any group."""
     for batch in batches:
         ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        labels, owners, groups = [], [], []
-        for k, words in word_hashes(batch.column(1)):
+        for k, words in word_hashes(batch.column(1), at_most=SLICE):
             label, at = words.windows(n)
-            labels.append(label)
-            owners.append((words.doc[at] + k).astype(np.int32))
-            groups.append(_groups(words, at, hot, parts).astype(np.int32))
-        if not labels:
-            continue
-        label, owner, group = map(np.concatenate, (labels, owners, groups))
-        del labels, owners, groups
-        rank = np.argsort(ids, kind="stable")
-        ids = ids[rank]
-        place = np.empty(len(rank), np.int32)
-        place[rank] = np.arange(len(rank))
-        owner = place[owner]
-        order = np.lexsort((owner, label))
-        label, owner, group = label[order], owner[order], group[order]
-        new = np.ones(len(label), bool)
-        new[1:] = label[1:] != label[:-1]
-        least = ids[owner[new]][np.cumsum(new) - 1] if len(label) else ids[:0]
-        later = ids[owner] > least
-        yield from _packed(ids, owner[later], label[later], (mix(ids[owner[later]].astype(np.uint64)) % _U(parts)).astype(np.int32), True)
-        yield from _packed(ids, owner[new], label[new], group[new], False)
+            yield from _leaves_of(ids[k : k + len(words.first) - 1], words.doc[at].astype(np.int32), label, _groups(words, at, hot, parts), parts)
+
+
+def _leaves_of(ids: np.ndarray, owner: np.ndarray, label: np.ndarray, group: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Each window once, for its smallest document here; for the others it is found to repeat."""
+    rank = np.argsort(ids, kind="stable")
+    ids = ids[rank]
+    place = np.empty(len(rank), np.int32)
+    place[rank] = np.arange(len(rank))
+    owner = place[owner]
+    order = np.lexsort((owner, label))
+    label, owner, group = label[order], owner[order], group[order]
+    new = np.ones(len(label), bool)
+    new[1:] = label[1:] != label[:-1]
+    least = ids[owner[new]][np.cumsum(new) - 1] if len(label) else ids[:0]
+    later = ids[owner] > least
+    yield from _packed(ids, owner[later], label[later], (mix(ids[owner[later]].astype(np.uint64)) % _U(parts)).astype(np.int32), True)
+    yield from _packed(ids, owner[new], label[new], group[new], False)
 
 
 def _packed(ids: np.ndarray, owner: np.ndarray, label: np.ndarray, group: np.ndarray, found: bool) -> Iterator[pa.RecordBatch]:
