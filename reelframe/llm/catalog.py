@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import decontam, neardup, substring
+from reelframe.llm import decontam, language, mixing, neardup, quality, secrets, substring, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_secrets": secrets.op2_secrets,
+        "op3_mixing": mixing.op3_mixing,
+        "op4_quality": quality.op4_quality,
+        "op5_language": language.op5_language,
         "op7_minhash": neardup.op7_minhash,
+        "op8_tokens": tokencount.op8_tokens,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_substring": substring.op10_substring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring": substring.OP10_SQL}
+    return {"op2_secrets": secrets.OP2_SQL, "op10_substring": substring.OP10_SQL}

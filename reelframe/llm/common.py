@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +41,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
-def word_count(text: Column) -> Column:
-    """The number of words without building them: a space goes before each, other characters go."""
-    return F.size(words(text)).cast("long")
-
-
-def source_rank_window():
-    """Sources by code point, null last."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.col("source").asc_nulls_last())
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
