@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import decontam, language, mixing, neardup, quality, secrets, substring, tokencount, toxicity
+from reelframe.llm import decontam, language, mixing, neardup, quality, secrets, sharding, substring, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op4_quality": quality.op4_quality,
         "op5_language": language.op5_language,
+        "op6_sharding": sharding.op6_sharding,
         "op7_minhash": neardup.op7_minhash,
         "op8_tokens": tokencount.op8_tokens,
         "op9_decontamination": decontam.op9_decontamination,

@@ -220,6 +220,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return linked.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
+def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row of each class: that with the smallest doc_id. Rows of one doc_id and class count as one.
+
+    Rows without words, and rows whose doc_id is null, stay as they are, one for each of them.
+    """
+    found = near_duplicates(docs, least)
+    keep = found.where("doc_id is not null and doc_id = class_id").select("doc_id").distinct()
+    # Rows with a doc_id that stands for a class; where the id occurs more than once, only the first of them.
+    lone = docs.where("doc_id is null")
+    kept = docs.join(keep, "doc_id", "left_semi")
+    twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = kept.join(twice, "doc_id", "left_anti")
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).unionByName(lone)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, class_size of every document."""
     return near_duplicates(documents(spark, sf_dir))
