@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -57,7 +58,7 @@ def speak(tracks: list[Track], faces: list[Face], window: int) -> list[tuple[int
     own = []
     for f in faces:
         away = [abs(t.cx - f.cx) for t in tracks]
-        k = int(np.argmin(away)) if away else -1
+        k = away.index(min(away)) if away else -1
         if k < 0 or away[k] >= 0.75 * (FACE_WIDTH / 2 if f.width is None else f.width):
             tracks.append(Track(f.cx, None))
             k = len(tracks) - 1
@@ -170,9 +171,15 @@ SPOKEN = "clip_id bigint, sample_idx bigint, face_idx bigint, track bigint, spea
 KEYS = "clip_id bigint, seq bigint, frame bigint, cx double, hard boolean, reset boolean, change boolean"
 
 
-def _faces(rows: pd.DataFrame) -> Iterator[tuple[int, int, pd.DataFrame]]:
-    for (sample, frame), some in rows.sort_values(["sample_idx", "face_idx"]).groupby(["sample_idx", "frame"], sort=True):
-        yield int(sample), int(frame), some[some.face_idx.notna()]
+def _samples(rows: pd.DataFrame) -> Iterator[tuple[int, int, list]]:
+    """(sample_idx, frame, rows of its faces) in order; plain tuples, since a sample has a handful of faces."""
+    ordered = rows.sort_values(["sample_idx", "face_idx"]).itertuples(index=False)
+    for (sample, frame), some in groupby(ordered, key=lambda r: (r.sample_idx, r.frame)):
+        yield int(sample), int(frame), list(some)
+
+
+def _found(some: list) -> list:
+    return [r for r in some if r.face_idx == r.face_idx and r.face_idx is not None]
 
 
 def _mouth(px: object) -> np.ndarray | None:
@@ -189,9 +196,10 @@ def speaking_scores(faces: DataFrame, fps: float = 30.0, conf: Config = DEFAULT)
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         tracks: list[Track] = []
         out = []
-        for sample, _, some in _faces(rows):
-            found = [Face(r.cx, r.area, r.conf, r.width, _mouth(r.mouth)) for r in some.itertuples()]
-            out += [(int(rows.clip_id.iloc[0]), sample, int(k), t, x) for k, (t, x) in zip(some.face_idx, speak(tracks, found, window), strict=True)]
+        for sample, _, some in _samples(rows):
+            some = _found(some)
+            spoken = speak(tracks, [Face(r.cx, r.area, r.conf, r.width, _mouth(r.mouth)) for r in some], window)
+            out += [(r.clip_id, sample, int(r.face_idx), t, x) for r, (t, x) in zip(some, spoken, strict=True)]
         return pd.DataFrame(out, columns=["clip_id", "sample_idx", "face_idx", "track", "speaking"])
 
     return faces.groupBy("clip_id").applyInPandas(of, SPOKEN)
@@ -202,12 +210,11 @@ def focus_keys(faces: DataFrame, src_w: int, src_h: int, fps: float = 30.0, conf
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         state, out = Focus(), []
-        total = int(rows.total_frames.iloc[0])
-        for n, (_, frame, some) in enumerate(_faces(rows)):
-            found = [Face(r.cx, r.area, r.conf) for r in some.itertuples()]
-            cut = bool(rows[rows.frame == frame]["cut"].iloc[0])
-            k = clamped(focus_step(state, frame, found, some.speaking.tolist(), cut, src_w, src_h, fps, conf), src_w, src_h, total)
-            out.append((int(rows.clip_id.iloc[0]), n, k.frame, k.cx, k.hard, k.reset, k.change))
+        for n, (_, frame, some) in enumerate(_samples(rows)):
+            first, some = some[0], _found(some)
+            found = [Face(r.cx, r.area, r.conf) for r in some]
+            k = clamped(focus_step(state, frame, found, [r.speaking for r in some], bool(first.cut), src_w, src_h, fps, conf), src_w, src_h, int(first.total_frames))
+            out.append((first.clip_id, n, k.frame, k.cx, k.hard, k.reset, k.change))
         return pd.DataFrame(out, columns=[c.split()[0] for c in KEYS.split(", ")])
 
     return faces.groupBy("clip_id").applyInPandas(of, KEYS)

@@ -4,12 +4,482 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from reelframe.functions import scalars as S
+from reelframe.operators import captions, cuts, focus, logs, path, render, vision
+from reelframe.plans import inputs as I
+from reelframe.sources import manifest
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL for its rows."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Manifests and clips
+
+
+@query("SELECT event_id, (props->>'$.k')::INT AS k FROM events")
+def json_extract_props(spark, sf):
+    props = F.from_json("props", "struct<k:int>")
+    return I.table(spark, sf, "events").select("event_id", props["k"].alias("k"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'malformed' WHEN 2 THEN 'no_clips' WHEN 3 THEN 'malformed' ELSE 'ok' END AS state FROM orders""")
+def manifest_validate(spark, sf):
+    k = F.col("o_orderkey")
+    raw = F.when(k % 5 == 0, F.lit("  \n")).when(k % 5 == 1, F.concat(F.lit('{"clips": ['), k)).when(k % 5 == 2, F.lit('{"clips": [], "x": 1}')).when(k % 5 == 3, F.lit("[1]")).otherwise(F.concat(F.lit('{"clips": [{"clip_id": '), k, F.lit("}]}")))
+    return I.table(spark, sf, "orders").select("o_orderkey", manifest.validated(raw).alias("state"))
+
+
+@query(f"""WITH {I.CLIPS} SELECT video, pos, coalesce(clip_id, pos + 1) AS "ID", start_time AS "Start", coalesce(end_time, '') AS "End", coalesce(duration_seconds, 0) AS "Dur(s)", coalesce(speaker, '') AS "Speaker", coalesce(viral_score, 0) AS "Viral", coalesce(suggested_caption, '') AS "Caption" FROM clips""")
+def clip_table(spark, sf):
+    c = manifest.with_defaults(I.clips(spark, sf))
+    return c.select("video", "pos", F.col("shown_id").alias("ID"), F.col("start_time").alias("Start"), F.col("end_time").alias("End"), F.col("duration_seconds").alias("Dur(s)"), F.col("speaker").alias("Speaker"), F.col("viral_score").alias("Viral"), F.col("suggested_caption").alias("Caption"))
+
+
+@query(f"""WITH {I.CLIPS} SELECT video, max(coalesce(duration_seconds, 0)) AS longest, sum(coalesce(duration_seconds, 0)) AS total, count(*) AS n_clips, count(*) FILTER (e.clip_id IS NULL) AS n_included FROM clips LEFT JOIN excluded e USING (clip_id) GROUP BY video""")
+def clip_metrics(spark, sf):
+    c = I.clips(spark, sf).join(I.excluded(spark, sf).withColumn("out", F.lit(True)), "clip_id", "left")
+    d = F.coalesce("duration_seconds", F.lit(0.0))
+    return c.groupBy("video").agg(F.max(d).alias("longest"), F.sum(d).alias("total"), F.count("*").alias("n_clips"), F.count_if(F.col("out").isNull()).alias("n_included"))
+
+
+@query(f"WITH {I.CLIPS} SELECT video, pos, c.clip_id FROM clips c ANTI JOIN excluded e ON c.clip_id = e.clip_id")
+def clip_include_anti(spark, sf):
+    return manifest.included(I.clips(spark, sf), I.excluded(spark, sf)).select("video", "pos", "clip_id")
+
+
+@query(f"""WITH {I.CLIPS}, m AS (SELECT *, max(coalesce(duration_seconds, 0)) OVER (PARTITION BY video) AS longest FROM clips)
+SELECT video, pos, CASE WHEN longest > 0 THEN trunc(coalesce(duration_seconds, 0) / longest * 100)::INT ELSE 0 END AS pct FROM m""")
+def clip_pct_bar(spark, sf):
+    d = F.coalesce("duration_seconds", F.lit(0.0))
+    return I.clips(spark, sf).select("video", "pos", S.percent_bar(d, F.max(d).over(Window.partitionBy("video"))).alias("pct"))
+
+
+@query(f"WITH {I.CLIPS} SELECT video, pos, CASE WHEN viral_score IN (9, 10) THEN '#4ade80' WHEN viral_score IN (7, 8) THEN '#facc15' ELSE '#f87171' END AS band FROM clips")
+def score_band(spark, sf):
+    return I.clips(spark, sf).select("video", "pos", S.score_band(F.col("viral_score")).alias("band"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN printf('%02d:%02d:%02d', o_orderkey % 30, o_orderkey % 60, o_orderkey % 59) WHEN 1 THEN ' ' || o_orderkey || ':07 ' WHEN 2 THEN o_orderkey::VARCHAR WHEN 3 THEN '1:2:3:' || o_orderkey WHEN 4 THEN o_orderkey || ':1.5' ELSE '-1:' || (o_orderkey % 60) END AS ts FROM orders),
+p AS (SELECT *, list_transform(string_split(trim(ts), ':'), lambda x: try_cast(CASE WHEN regexp_full_match(trim(x), '[+-]?[0-9]+') THEN trim(x) END AS BIGINT)) AS v FROM t)
+SELECT o_orderkey, ts, coalesce(CASE len(v) WHEN 3 THEN v[1] * 3600 + v[2] * 60 + v[3] WHEN 2 THEN v[1] * 60 + v[2] ELSE v[1] END, 0)::BIGINT AS seconds FROM p""")
+def timecode_parse(spark, sf):
+    k = F.col("o_orderkey")
+    kinds = [F.format_string("%02d:%02d:%02d", (k % 30).cast("int"), (k % 60).cast("int"), (k % 59).cast("int")), F.concat(F.lit(" "), k, F.lit(":07 ")), k.cast("string"), F.concat(F.lit("1:2:3:"), k), F.concat(k, F.lit(":1.5"))]
+    ts = F.concat(F.lit("-1:"), k % 60)
+    for n, kind in enumerate(kinds):
+        ts = F.when(k % 6 == n, kind).otherwise(ts)
+    return I.table(spark, sf, "orders").select("o_orderkey", ts.alias("ts")).withColumn("seconds", S.timecode_seconds(F.col("ts")))
+
+
+_TIME = "printf('%d:%02d:%02d.%02d', floor({0} / 3600)::INT, floor(({0} % 3600) / 60)::INT, trunc({0} % 60)::INT, trunc(({0} - floor({0})) * 100)::INT)"
+
+
+@query("SELECT l_orderkey, l_linenumber, " + _TIME.format("(l_extendedprice / 7)") + " AS t FROM lineitem")
+def timecode_format(spark, sf):
+    return I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.caption_time(F.col("l_extendedprice") / 7).alias("t"))
+
+
+_SLUG = r"left(regexp_replace(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g'), '[-\s]+', '_', 'g'), '^_+|_+$', '', 'g'), 100)"
+
+
+@query(f"SELECT doc_id, {_SLUG} AS slug, coalesce({_SLUG}, '') || '.mp4' AS file FROM documents")
+def caption_slug(spark, sf):
+    slug = S.slug(F.col("text"))
+    return I.table(spark, sf, "documents").select("doc_id", slug.alias("slug")).withColumn("file", F.concat(F.coalesce("slug", F.lit("")), F.lit(".mp4")))
+
+
+@query(f"SELECT slug, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {_SLUG} AS slug FROM documents) GROUP BY slug HAVING count(*) > 1")
+def slug_collisions(spark, sf):
+    s = I.table(spark, sf, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"))
+    return s.groupBy("slug").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT doc_id, '#' || doc_id || ' — ' || left(text, 50) AS label FROM documents")
+def clip_label(spark, sf):
+    return I.table(spark, sf, "documents").select("doc_id", S.clip_label(F.col("doc_id"), F.col("text")).alias("label"))
+
+
+_PATHS = "SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MKV' WHEN 2 THEN '.mov.txt' WHEN 3 THEN '.Avi' ELSE '' END AS path FROM pages"
+
+
+def _paths(spark, sf):
+    k = F.col("page_id")
+    end = F.when(k % 5 == 0, ".mp4").when(k % 5 == 1, ".MKV").when(k % 5 == 2, ".mov.txt").when(k % 5 == 3, ".Avi").otherwise("")
+    return I.table(spark, sf, "pages").select("page_id", F.concat("url", end).alias("path"))
+
+
+@query(rf"SELECT page_id, regexp_matches(lower(path), '\.(mp4|mkv|mov|avi)$') AS is_video FROM ({_PATHS})")
+def suffix_filter(spark, sf):
+    return _paths(spark, sf).select("page_id", S.has_suffix(F.col("path"), manifest.VIDEO_SUFFIXES).alias("is_video"))
+
+
+@query(rf"SELECT row_number() OVER (ORDER BY path, page_id) AS place, path FROM ({_PATHS}) WHERE regexp_matches(lower(path), '\.(mp4|mkv|mov|avi)$') AND path IS NOT NULL")
+def file_listing(spark, sf):
+    """A listing is one folder's names: a sorted report, numbered."""
+    found = _paths(spark, sf).where(S.has_suffix(F.col("path"), manifest.VIDEO_SUFFIXES))
+    return found.select(F.row_number().over(Window.orderBy("path", "page_id")).cast("long").alias("place"), "path")
+
+
+_DRAW = r"replace(replace(replace({0}, '\', '\\'), ':', '\:'), '''', '\''')"
+
+
+@query("SELECT doc_id, " + _DRAW.format("text") + " AS t FROM documents")
+def escape_drawtext(spark, sf):
+    return I.table(spark, sf, "documents").select("doc_id", S.escape_drawtext(F.col("text")).alias("t"))
+
+
+_HTML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query("SELECT page_id, " + _HTML.format("html") + " AS t FROM pages WHERE html IS NOT NULL")
+def escape_html(spark, sf):
+    return I.table(spark, sf, "pages").where("html is not null").select("page_id", S.escape_html(F.col("html")).alias("t"))
+
+
+_PART = "CASE WHEN trim({0}) <> '' THEN 'drawtext=text=''' || " + _DRAW.format("trim({0})") + " || '''{1}' END"
+
+
+@query(rf"""SELECT c_custkey, concat_ws(',', 'ass=' || replace(replace('C:\v\' || c_name, '\', '/'), ':', '\:'), {_PART.format("CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment || ':''' ELSE ' ' END", render.CHANNEL)}, {_PART.format("CASE WHEN c_custkey % 2 > 0 THEN c_name END", render.CREDIT)}) AS graph, c_custkey % 3 > 0 AND c_custkey % 2 > 0 AS ready FROM customer""")
+def filter_graph(spark, sf):
+    k = F.col("c_custkey")
+    channel = F.when(k % 3 > 0, F.concat("c_mktsegment", F.lit(":'"))).otherwise(" ")
+    credit = F.when(k % 2 > 0, F.col("c_name"))
+    return I.table(spark, sf, "customer").select("c_custkey", render.filter_graph(F.concat(F.lit("C:\\v\\"), "c_name"), channel, credit).alias("graph"), render.ready(channel, credit).alias("ready"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'Menunggu' WHEN 'click' THEN 'Siap' WHEN 'error' THEN 'Error' WHEN 'purchase' THEN 'Processing' ELSE 'Menunggu' END AS badge FROM events")
+def status_badge(spark, sf):
+    e = F.col("event_type")
+    status = F.when(e == "view", "idle").when(e == "click", "ready").when(e == "purchase", "running").when(e == "error", "error").otherwise("other")
+    return I.table(spark, sf, "events").select("event_id", S.status_badge(status).alias("badge"))
+
+
+@query(f"WITH {I.CLIPS} SELECT video, pos, lag(key) OVER w AS prev_key, lead(key) OVER w AS next_key FROM clips WINDOW w AS (PARTITION BY video ORDER BY pos)")
+def clip_nav(spark, sf):
+    w = Window.partitionBy("video").orderBy("pos")
+    return I.clips(spark, sf).select("video", "pos", F.lag("key").over(w).alias("prev_key"), F.lead("key").over(w).alias("next_key"))
+
+
+@query(f"WITH {I.CLIPS} SELECT video, key, suggested_caption FROM clips WHERE pos = 1")
+def clip_pick(spark, sf):
+    return I.clips(spark, sf).where("pos = 1").select("video", "key", "suggested_caption")
+
+
+@query(f"""WITH {I.CLIPS}, k AS (SELECT c.* FROM clips c ANTI JOIN excluded e ON c.clip_id = e.clip_id)
+SELECT video, pos, clip_id, duration_seconds, suggested_caption FROM k""")
+def manifest_json(spark, sf):
+    """Included clips written as JSON for each manifest and read back."""
+    kept = manifest.included(I.clips(spark, sf), I.excluded(spark, sf)).select("video", "pos", F.col("pos").alias("at"), "clip_id", "duration_seconds", "suggested_caption")
+    text = manifest.to_json(kept, "video")
+    back = F.from_json("json", "struct<clips:array<struct<at:bigint,clip_id:bigint,duration_seconds:double,suggested_caption:string>>>")
+    return text.select("video", F.inline(back["clips"])).withColumnRenamed("at", "pos")
+
+
+# Captions
+
+
+@query(f"""WITH {I.WORDS} SELECT clip_id, rn // 2 AS chunk, count(*) AS n_words, min("start") AS first_start, string_agg(replace(upper(word), 'ẞ', 'SS'), ' ' ORDER BY rn) AS text FROM words GROUP BY 1, 2""")
+def word_chunks(spark, sf):
+    c = captions.chunks(I.words(spark, sf))
+    return c.select("clip_id", "chunk", F.size("words").cast("long").alias("n_words"), F.get("words", F.lit(0))["start"].alias("first_start"), F.array_join("words.word", " ").alias("text"))
+
+
+_EVENTS = I.WORDS + r""",
+u AS (SELECT *, replace(upper(word), 'ẞ', 'SS') AS t, lag(replace(upper(word), 'ẞ', 'SS')) OVER (PARTITION BY clip_id ORDER BY rn) AS p, lead(replace(upper(word), 'ẞ', 'SS')) OVER (PARTITION BY clip_id ORDER BY rn) AS n FROM words),
+caption AS (SELECT clip_id, rn, "start", CASE WHEN "end" <= "start" THEN "start" + 0.01::DOUBLE ELSE "end" END AS "end",
+  CASE WHEN rn % 2 = 0 THEN concat_ws(' ', '{\c&H0000FFFF}' || t || '{\c&H00FFFFFF}', n) ELSE concat_ws(' ', p, '{\c&H0000FFFF}' || t || '{\c&H00FFFFFF}') END AS text FROM u)"""
+
+
+@query(f'WITH {_EVENTS} SELECT clip_id, rn, "start", "end", text FROM caption')
+def caption_events(spark, sf):
+    return captions.events(I.words(spark, sf))
+
+
+@query(f"""WITH {_EVENTS} SELECT clip_id, rn AS ord, 'Dialogue: 0,' || {_TIME.format('"start"')} || ',' || {_TIME.format('"end"')} || ',Default,,0,0,0,,' || text AS line FROM caption""")
+def ass_lines(spark, sf):
+    return captions.lines(captions.events(I.words(spark, sf)))
+
+
+@query(f"""WITH {I.WORDS} SELECT clip_id, rn, word, "start" - 1.0::DOUBLE AS at FROM words WHERE "start" >= 1.0 AND "start" < 1.0 + 0.5 * (1 + clip_id % 7)""")
+def segment_range(spark, sf):
+    """The words of a time range, which differs from clip to clip, with times counted from its start."""
+    end = 1.0 + 0.5 * (1 + F.col("clip_id") % 7)
+    return I.words(spark, sf).where((F.col("start") >= 1.0) & (F.col("start") < end)).select("clip_id", "rn", "word", (F.col("start") - 1.0).alias("at"))
+
+
+# Faces
+
+
+_BOX = "SELECT *, cx - 60 AS x1, cx + 60 AS x2, 400::DOUBLE AS y1, 400 + area / 120 - 40 AS y2 FROM faces"
+
+
+@query(f"""WITH {I.FACES}, b AS ({_BOX}), g AS (SELECT *, (x2 - x1) * (y2 - y1) AS a FROM b), m AS (SELECT *, greatest(0, trunc(x1 + (x2 - x1) * 0.25::DOUBLE)::INT) AS l, least(1920, trunc(x1 + (x2 - x1) * 0.75::DOUBLE)::INT) AS r, greatest(0, trunc(y1 + (y2 - y1) * 0.6::DOUBLE)::INT) AS t, least(1080, trunc(y1 + (y2 - y1) * 0.95::DOUBLE)::INT) AS o FROM g WHERE a > 0)
+SELECT clip_id, sample_idx, det, round((x1 + x2) / 2, 4) AS cx, round((y1 + y2) / 2, 4) AS cy, round(a, 4) AS area, CASE WHEN r > l AND o > t THEN l || ',' || t || ',' || r || ',' || o END AS mouth FROM m""")
+def face_geometry(spark, sf):
+    c = F.col("cx")
+    boxes = I.faces(spark, sf).select("clip_id", "sample_idx", "det", (c - 60).alias("x1"), (c + 60).alias("x2"), F.lit(400.0).alias("y1"), (F.lit(400) + F.col("area") / 120 - 40).alias("y2"))
+    m = S.mouth_box(*[F.col(x) for x in ("x1", "y1", "x2", "y2")], F.lit(I.SRC_W), F.lit(I.SRC_H))
+    g = vision.with_geometry(boxes).withColumn("m", m)
+    return g.select("clip_id", "sample_idx", "det", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round("area", 4).alias("area"), F.when(F.col("m").isNotNull(), F.concat_ws(",", "m.x1", "m.y1", "m.x2", "m.y2")).alias("mouth"))
+
+
+@query(f"WITH {I.FACES} SELECT clip_id, sample_idx, det, face_idx FROM faces")
+def face_rank(spark, sf):
+    f = vision.ranked(I.faces(spark, sf).drop("face_idx"))
+    return f.select("clip_id", "sample_idx", "det", F.col("face_idx").cast("long").alias("face_idx"))
+
+
+@query(f"WITH {I.PATH} SELECT clip_id, frame FROM frames WHERE frame % greatest(1, trunc(30 / 4)::INT) = 0")
+def frame_sampling(spark, sf):
+    return vision.sampled(I.frames(I.faces(spark, sf)), F.lit(I.FPS))
+
+
+_SCORE = "CASE WHEN speaking < 3 THEN area * (0.75::DOUBLE + conf) ELSE (1 - 0.6::DOUBLE) * (area * (0.75::DOUBLE + conf)) + 0.6::DOUBLE * (area * (0.75::DOUBLE + conf)) * (1 + 3 * least(speaking / 20, 1)) END"
+
+
+@query(f"WITH {I.FACES} SELECT clip_id, sample_idx, face_idx, round({_SCORE}, 6) AS score FROM faces")
+def face_score(spark, sf):
+    score = S.face_score(F.col("area"), F.col("conf"), F.col("speaking"))
+    return I.faces(spark, sf).select("clip_id", "sample_idx", "face_idx", F.round(score, 6).alias("score"))
+
+
+@query(f"WITH {I.FACES}, s AS (SELECT *, {_SCORE} AS score FROM faces) SELECT clip_id, sample_idx, face_idx, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY clip_id, sample_idx ORDER BY score DESC, face_idx) = 1")
+def best_face(spark, sf):
+    return vision.best(I.faces(spark, sf)).select("clip_id", "sample_idx", "face_idx", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {I.FACES} SELECT clip_id, sample_idx, face_idx, cx FROM faces WHERE abs(cx - 960) <= 212.45::DOUBLE QUALIFY row_number() OVER (PARTITION BY clip_id, sample_idx ORDER BY abs(cx - 960), face_idx) = 1")
+def nearest_face(spark, sf):
+    return vision.nearest(I.faces(spark, sf), F.lit(960.0), F.lit(212.45)).select("clip_id", "sample_idx", "face_idx", "cx")
+
+
+@query(f"WITH {I.FACES} SELECT clip_id, sample_idx, count(*) FILTER (abs(cx - 960) <= 212.45::DOUBLE) AS near, count(*) FILTER (abs(cx - 960) > 212.45::DOUBLE) AS far FROM faces GROUP BY ALL")
+def near_far_faces(spark, sf):
+    near = F.abs(F.col("cx") - 960.0) <= 212.45
+    return I.faces(spark, sf).groupBy("clip_id", "sample_idx").agg(F.count_if(near).alias("near"), F.count_if(~near).alias("far"))
+
+
+@query(f"WITH {I.PATH} SELECT clip_id, count(*) AS n_samples, count(*) FILTER (n_faces > 0) AS with_faces, sum(n_faces)::BIGINT AS n_faces FROM samples GROUP BY clip_id")
+def detection_stats(spark, sf):
+    return vision.detection_stats(I.samples(I.faces(spark, sf)))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 30 END AS fps, greatest(1, trunc(CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 30 END / 4)::INT) AS every FROM supplier")
+def safe_fps(spark, sf):
+    fps = S.safe_fps(F.col("s_acctbal"))
+    return I.table(spark, sf, "supplier").select("s_suppkey", fps.alias("fps"), S.sampling_interval(fps).alias("every"))
+
+
+# Cuts
+
+
+_HIST = """h AS (SELECT vec_id % 20 AS clip_id, vec_id AS frame, list_transform(embedding, lambda x: abs(x)) AS a FROM embeddings),
+d AS (SELECT clip_id, frame, a, lag(a) OVER (PARTITION BY clip_id ORDER BY frame) AS b FROM h),
+x AS (SELECT clip_id, frame, CASE WHEN b IS NOT NULL THEN sqrt(greatest(0, 1 - list_sum(list_transform(list_zip(b, a), lambda p: sqrt(p[1]::DOUBLE * p[2]::DOUBLE))) / sqrt(list_sum(list_transform(b, lambda v: v::DOUBLE)) * list_sum(list_transform(a, lambda v: v::DOUBLE))))) END AS hist_diff FROM d)"""
+
+
+def _hists(spark, sf):
+    e = I.table(spark, sf, "embeddings")
+    return cuts.distances(e.select((F.col("vec_id") % 20).alias("clip_id"), F.col("vec_id").alias("frame"), F.transform("embedding", F.abs).alias("hist")))
+
+
+@query(f"WITH {_HIST} SELECT clip_id, frame, round(hist_diff, 6) AS hist_diff FROM x")
+def hist_distance(spark, sf):
+    return _hists(spark, sf).select("clip_id", "frame", F.round("hist_diff", 6).alias("hist_diff"))
+
+
+@query(f"""WITH {_HIST}, p AS (SELECT *, (frame % 40) / 100::DOUBLE AS pixel, 0.6::DOUBLE * hist_diff + 0.4::DOUBLE * ((frame % 40) / 100::DOUBLE) AS score FROM x)
+SELECT clip_id, frame FROM p WHERE (score >= 0.22::DOUBLE AND hist_diff >= 0.14::DOUBLE AND pixel >= 0.08::DOUBLE) OR (hist_diff >= 0.45::DOUBLE AND score >= 0.22::DOUBLE) OR (pixel >= 0.22::DOUBLE AND hist_diff >= 0.75::DOUBLE * 0.14::DOUBLE)""")
+def cut_candidates(spark, sf):
+    return _hists(spark, sf).where(S.is_cut(F.col("hist_diff"), (F.col("frame") % 40) / 100)).select("clip_id", "frame")
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id AS clip_id, frame, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS rn FROM (SELECT DISTINCT user_id, date_diff('hour', TIMESTAMP '1970-01-01', ts) AS frame FROM events)),
+f AS (SELECT clip_id, rn, frame, frame AS kept, TRUE AS ok FROM c WHERE rn = 1
+  UNION ALL SELECT c.clip_id, c.rn, c.frame, CASE WHEN c.frame - f.kept >= 240 THEN c.frame ELSE f.kept END, c.frame - f.kept >= 240 FROM f JOIN c ON c.clip_id = f.clip_id AND c.rn = f.rn + 1)
+SELECT clip_id, frame FROM f WHERE ok""")
+def cut_refractory(spark, sf):
+    """Events thinned to one in ten days for each user, counted from the last one kept; hours stand for frames."""
+    e = I.table(spark, sf, "events").select(F.col("user_id").alias("clip_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("frame"))
+    return cuts.refractory(e, 240)
+
+
+@query(f"WITH {I.PATH} SELECT clip_id, count(*) AS n FROM cuts WHERE frame > 0 AND frame < 70 GROUP BY clip_id")
+def cut_count(spark, sf):
+    return I.cuts(I.faces(spark, sf)).where("frame > 0 and frame < 70").groupBy("clip_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {I.PATH}, l AS (SELECT *, coalesce(lag(frame) OVER (PARTITION BY clip_id ORDER BY frame), -1) AS before FROM samples) SELECT clip_id, sample_idx, frame, EXISTS (SELECT 1 FROM cuts c WHERE c.clip_id = l.clip_id AND c.frame > before AND c.frame <= l.frame) AS reset FROM l")
+def sample_cut_reset(spark, sf):
+    f = I.faces(spark, sf)
+    return cuts.with_reset(I.samples(f).drop("n_faces"), I.cuts(f))
+
+
+@query("SELECT hour(ts)::INT AS h, least(31, trunc(value / 16)::INT) AS bin, count(*) AS n, sqrt(sum(count(*) * count(*)) OVER ())::DOUBLE AS norm FROM events GROUP BY 1, 2")
+def hist_2d(spark, sf):
+    h = I.table(spark, sf, "events").groupBy(F.hour("ts").alias("h"), F.least(F.lit(31), (F.col("value") / 16).cast("int")).alias("bin")).agg(F.count("*").alias("n"))
+    return h.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy()).cast("double")))
+
+
+# Sequences
+
+
+@query(f"WITH {I.FACES} SELECT clip_id, sample_idx, det, round(avg(speaking) OVER (PARTITION BY clip_id, det ORDER BY sample_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS mean FROM faces")
+def rolling_motion(spark, sf):
+    n = S.smoothing_window(I.FPS)
+    w = Window.partitionBy("clip_id", "det").orderBy("sample_idx").rowsBetween(-(n - 1), 0)
+    return I.faces(spark, sf).select("clip_id", "sample_idx", "det", F.round(F.avg("speaking").over(w), 6).alias("mean"))
+
+
+@query(f"WITH {I.FACES} SELECT clip_id, sample_idx, det, count(*) FILTER (k >= 50) OVER (PARTITION BY clip_id ORDER BY frame RANGE BETWEEN 120 PRECEDING AND CURRENT ROW) AS n FROM faces")
+def burst_history(spark, sf):
+    w = Window.partitionBy("clip_id").orderBy("frame").rangeBetween(-120, 0)
+    return I.faces(spark, sf).select("clip_id", "sample_idx", "det", F.count_if(F.col("k") >= 50).over(w).alias("n"))
+
+
+@query(f"WITH {I.PATH} SELECT clip_id, frame FROM cuts UNION SELECT clip_id, frame FROM keys WHERE hard")
+def cut_union(spark, sf):
+    f = I.faces(spark, sf)
+    return path.all_cuts(I.cuts(f), I.keys(f))
+
+
+@query(f"WITH {I.PATH}, k AS (SELECT clip_id, seq, frame // 28 * 28 AS frame, cx, hard FROM keys) SELECT clip_id, frame, arg_max(cx, seq) AS cx, bool_or(hard) AS hard FROM k GROUP BY clip_id, frame")
+def keyframe_dedupe(spark, sf):
+    k = I.keys(I.faces(spark, sf)).withColumn("frame", F.floor(F.col("frame") / 28) * 28)
+    return path.deduplicated(k)
+
+
+_TARGETS = (
+    I.PATH
+    + """,
+allcuts AS (SELECT clip_id, frame FROM cuts UNION SELECT clip_id, frame FROM keys WHERE hard),
+t0 AS (SELECT f.clip_id, f.frame, k.cx AS key, c.frame IS NOT NULL AND f.frame > 0 AS is_cut FROM frames f LEFT JOIN keys k ON k.clip_id = f.clip_id AND k.frame = f.frame LEFT JOIN allcuts c ON c.clip_id = f.clip_id AND c.frame = f.frame),
+t1 AS (SELECT *, sum(is_cut::INT) OVER (PARTITION BY clip_id ORDER BY frame) AS seg FROM t0),
+t2 AS (SELECT *, last_value(CASE WHEN key IS NOT NULL THEN {'f': frame, 'k': key, 's': seg} END IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p,
+  first_value(CASE WHEN key IS NOT NULL THEN {'f': frame, 'k': key, 's': seg} END IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM t1),
+t3 AS (SELECT *, (frame - p.f) / (n.f - p.f)::DOUBLE AS t FROM t2),
+targets AS (SELECT clip_id, frame, is_cut, CASE WHEN p.s = seg AND n.s = seg AND n.f > p.f THEN p.k + (n.k - p.k) * (t * t * (3 - 2 * t)) WHEN p.s = seg THEN p.k WHEN n.s = seg THEN n.k ELSE coalesce(p.k, 960) END AS cx FROM t3)"""
+)
+
+
+def _targets(spark, sf):
+    f = I.faces(spark, sf)
+    return path.interpolated(I.frames(f), I.keys(f), path.all_cuts(I.cuts(f), I.keys(f)), I.SRC_W / 2)
+
+
+@query(f"WITH {_TARGETS} SELECT clip_id, frame, is_cut, round(cx, 4) AS cx FROM targets")
+def interpolate_targets(spark, sf):
+    return _targets(spark, sf).withColumn("cx", F.round("cx", 4))
+
+
+_SMOOTH = (
+    "WITH RECURSIVE "
+    + _TARGETS
+    + """,
+g AS (SELECT 42.49::DOUBLE AS dz, 16::DOUBLE AS vmax, 1 - exp(-1 / 13.5::DOUBLE) AS alpha),
+s AS (SELECT clip_id, frame, cx AS c, FALSE AS jump FROM targets WHERE frame = 0
+ UNION ALL SELECT t.clip_id, t.frame, CASE WHEN t.is_cut THEN t.cx WHEN abs(t.cx - s.c) <= dz THEN s.c ELSE s.c + least(greatest((t.cx - sign(t.cx - s.c) * dz - s.c) * alpha, -vmax), vmax) END,
+  t.is_cut AND abs(t.cx - s.c) > dz FROM s JOIN targets t ON t.clip_id = s.clip_id AND t.frame = s.frame + 1, g)"""
+)
+
+
+def _smoothed(spark, sf):
+    return path.smoothed(_targets(spark, sf), int(I.SRC_H * 9 / 16), I.FPS)
+
+
+@query(f"{_SMOOTH} SELECT clip_id, frame, round(c, 4) AS cx, jump FROM s")
+def smooth_path(spark, sf):
+    return _smoothed(spark, sf).withColumn("cx", F.round("cx", 4))
+
+
+@query(f"{_SMOOTH} SELECT clip_id, count(*) FILTER (jump) AS jumps FROM s GROUP BY clip_id")
+def hard_jumps(spark, sf):
+    return _smoothed(spark, sf).groupBy("clip_id").agg(F.count_if("jump").alias("jumps"))
+
+
+@query(f"{_SMOOTH} SELECT clip_id, frame, greatest(0, least(trunc(least(greatest(c, 303.5), 1616.5) - 303.5)::INT, 1313)) AS x, 607 AS width FROM s")
+def crop_windows(spark, sf):
+    return path.crop_windows(path.held(_smoothed(spark, sf), I.SRC_W, I.SRC_H), I.SRC_W, I.SRC_H)
+
+
+def _spoken(spark, sf):
+    f = I.faces(spark, sf)
+    px = F.array(*[(F.col("k") + j).cast("double") for j in range(4)])
+    return f, focus.speaking_scores(f.select("clip_id", "sample_idx", "frame", "face_idx", "cx", "area", "conf", "width", px.alias("mouth")), I.FPS)
+
+
+@query()
+def speaking_scores(spark, sf):
+    """Tracks and speech of faces: a fold without SQL; tests hold it against worked examples."""
+    return _spoken(spark, sf)[1]
+
+
+def _focused(spark, sf):
+    f, spoken = _spoken(spark, sf)
+    resets = cuts.with_reset(I.samples(f).drop("n_faces"), I.cuts(f)).select("clip_id", "sample_idx", F.col("reset").alias("cut"))
+    total = F.max(F.col("sample_idx") * I.EVERY + I.EVERY).over(Window.partitionBy("clip_id"))
+    x = f.withColumn("total_frames", total).drop("speaking").join(spoken.drop("track"), ["clip_id", "sample_idx", "face_idx"], "left").join(resets, ["clip_id", "sample_idx"])
+    x = x.select("clip_id", "sample_idx", "frame", "face_idx", "cx", "area", "conf", F.coalesce("speaking", F.lit(0.0)).alias("speaking"), "cut", "total_frames")
+    return f, focus.focus_keys(x, I.SRC_W, I.SRC_H, I.FPS)
+
+
+@query()
+def focus_keyframes(spark, sf):
+    """Key frames of the focus: a fold without SQL; tests have an example for each of its branches."""
+    return _focused(spark, sf)[1]
+
+
+def _crop(spark, sf):
+    f, keys = _focused(spark, sf)
+    one = path.deduplicated(keys)
+    targets = path.interpolated(I.frames(f), one, path.all_cuts(I.cuts(f), one), I.SRC_W / 2)
+    return keys, path.smoothed(targets, int(I.SRC_H * 9 / 16), I.FPS), f
+
+
+@query()
+def crop_path(spark, sf):
+    """The whole way from faces to crop centres."""
+    return path.held(_crop(spark, sf)[1], I.SRC_W, I.SRC_H).select("clip_id", "frame", F.round("cx", 4).alias("cx"))
+
+
+@query()
+def crop_stats(spark, sf):
+    """Counts of each clip's crop path."""
+    keys, smoothed, f = _crop(spark, sf)
+    by_key = keys.groupBy("clip_id").agg(F.count("*").alias("target_keyframes"), F.count_if("reset").alias("source_cut_resets"), F.count_if("change").alias("smooth_focus_changes"))
+    by_frame = smoothed.groupBy("clip_id").agg(F.count_if("jump").alias("hard_crop_jumps"))
+    by_cut = I.cuts(f).groupBy("clip_id").agg(F.count("*").alias("scene_cuts"))
+    return by_key.join(by_frame, "clip_id").join(by_cut, "clip_id", "left").withColumn("scene_cuts", F.coalesce("scene_cuts", F.lit(0)))
+
+
+@query(rf"""WITH l AS (SELECT doc_id AS seq, unnest(string_split(regexp_replace(replace(text, chr(10), chr(13)), '\n+$', ''), chr(13))) AS line, generate_subscripts(string_split(regexp_replace(replace(text, chr(10), chr(13)), '\n+$', ''), chr(13)), 1) - 1 AS part FROM documents),
+t AS (SELECT * FROM l ORDER BY seq DESC, part DESC LIMIT 350)
+SELECT seq, part::INT AS part, CASE WHEN trim(line) = '' THEN '&nbsp;' ELSE {_HTML.format("line")} END AS line FROM t""")
+def log_tail(spark, sf):
+    """The last 350 lines: the limit is the report's own."""
+    raw = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.translate("text", "\n", "\r").alias("raw"))
+    return logs.tail(logs.log_lines(raw))
