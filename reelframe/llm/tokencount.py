@@ -34,7 +34,7 @@ UNKNOWN_PENALTY = 10.0
 #: Parts of up to SHORT characters are counted side by side, TOGETHER at a time.
 SHORT, TOGETHER = 64, 20_000
 #: Sections whose counts a Python worker keeps for its next tasks.
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
