@@ -193,20 +193,29 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     buckets = rows.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     rows = stored(rows.join(buckets, "band").select("band", "node", "hub", "size"), "buckets")
     fits = lambda a, b: (F.least(a, b) >= least * F.greatest(a, b))
-    sized = reps.select("node", "n")
+    close = lambda a, b: F.bit_count(F.col(f"{a}.sketch_a").bitwiseXOR(F.col(f"{b}.sketch_a"))) + F.bit_count(F.col(f"{a}.sketch_b").bitwiseXOR(F.col(f"{b}.sketch_b"))) <= SKETCH_BITS
+    light = reps.drop("rep")
     stars = rows.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
-    shingles = stored(_shingles_of(docs, reps, rows.where("node != hub").select("node").union(rows.select("hub")).distinct()), "shingles")
-    edges = stored(_verify(stars, shingles, least), "links")
+    placed = stars.join(light.alias("x"), F.col("a") == F.col("x.node")).join(light.alias("y"), F.col("b") == F.col("y.node"))
+    stars = stored(placed.where(fits(F.col("x.n"), F.col("y.n")) & close("x", "y")).select("a", "b"), "stars")
+    shingles = stored(_shingles_of(docs, reps, stars.select(F.col("a").alias("node")).union(stars.select("b")).union(rows.where("size > 2").select("node")).distinct()), "shingles")
+    # A text in a large group has a hub in each of its bands; the smallest one joins most of them, and only hubs
+    # in another component are looked at after that.
+    edges = stored(_verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shingles, least), "links")
     comps = stored(components(edges), "comps")
+    of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+    more = stored(_verify(apart.select("a", "b"), shingles, least), "links")
+    if more.limit(1).count():
+        edges = edges.union(more)
+        comps = stored(components(edges), "comps")
 
     # Texts of a bucket that the hub did not connect.
     placed = rows.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("band")
     open_ = stored(placed.where("node != hub").join(mixed, "band").join(reps.drop("rep"), "node").select("band", "node", "comp", "n", "sketch_a", "sketch_b"), "open")
     a, b = open_.alias("a"), open_.alias("b")
-    differ = F.bit_count(F.col("a.sketch_a").bitwiseXOR(F.col("b.sketch_a"))) + F.bit_count(F.col("a.sketch_b").bitwiseXOR(F.col("b.sketch_b")))
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & fits(F.col("a.n"), F.col("b.n")) & (differ <= SKETCH_BITS))
+    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & fits(F.col("a.n"), F.col("b.n")) & close("a", "b"))
     rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     more = stored(_verify(rest, shingles, least), "links")
     if more.limit(1).count():
