@@ -161,14 +161,22 @@ def _out_of_fold(models: dict[int, np.ndarray], earlier: int) -> Column:
     return F.arrow_udf(of, "double")("features", "earlier", "fold")
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, junk (quality 0) and toxic of the documents that have labels."""
-    marks = labels.where("doc_id is not null").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
-    return docs.select("doc_id", "text").join(marks, "doc_id").drop("doc_id")
+def labelled_documents(docs: DataFrame, marks: DataFrame, categories: tuple[str, ...], most: int = TRAIN_DOCS) -> DataFrame:
+    """text and categories of a bounded sample: of the documents with marks (doc_id, categories), those whose text
+    has one of the most least hashes; copies with equal marks count once. Texts aren't shuffled: ids and hashes are,
+    and the chosen ids, a few for each hash at most, are broadcast.
+    """
+    light = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(marks, "doc_id")
+    bound = light.select("h").distinct().orderBy("h").limit(most).agg(F.max("h").alias("h")).first().h
+    picked = light.where(F.col("h") <= F.lit(bound).cast("long")).groupBy("h", *categories).agg(F.min("doc_id").alias("doc_id"))
+    return docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", *categories)), "doc_id").drop("doc_id")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, probabilities of junk and of toxic, and toxic (boolean) of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    chain = fit_chain(labelled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ("junk", "toxic"))
+    categories = ("junk", "toxic")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null")
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    chain = fit_chain(labelled_documents(docs, marks, categories), categories)
     return chain.scored(docs).select("doc_id", "p_junk", "p_toxic", (F.col("p_toxic") >= LEAST).alias("toxic"))
