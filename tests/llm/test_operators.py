@@ -72,6 +72,16 @@ def test_later_models_see_out_of_fold_probabilities():
     assert w[1 << toxicity.BITS] > 0 and len(w) == (1 << toxicity.BITS) + 2
 
 
+def test_toxic_documents_left_out_of_training(spark):
+    """Most toxic documents of a quarter that the fit has not seen are found, and hardly any others."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    known = common.documents(spark, sf).select("doc_id", "text").join(labels, "doc_id").withColumn("out", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(4)) == 0).cache()
+    chain = toxicity.fit_chain(known.where("not out"), ("junk", "toxic"))
+    n = {r.toxic: r for r in chain.scored(known.where("out")).groupBy("toxic").agg(F.count("*").alias("n"), F.sum((F.col("p_toxic") >= toxicity.LEAST).cast("int")).alias("found")).collect()}
+    assert n[1].n > 50 and n[1].found >= 0.6 * n[1].n and n[0].found <= 0.01 * n[0].n
+
+
 # 2 secrets
 
 
