@@ -218,6 +218,19 @@ def test_likelihood_ratio(spark, docs):
         assert r.score == pytest.approx(ratio[own[r.doc_id]].mean() if own[r.doc_id] else 0.0, abs=1e-9)
 
 
+def test_buckets_grow_with_the_corpus(spark, docs, monkeypatch):
+    """Junk is told from good texts as well where the n-grams are many for the least number of buckets."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    monkeypatch.setattr(quality, "BUCKETS", 20)
+    assert len(quality.log_ratios(docs.select("doc_id", "text"), labels).first().ratios) > 20
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    monkeypatch.setattr(quality, "BUCKETS", 1000)
+    found = quality.judged(common.documents(spark, sf).select("doc_id", "text"), labels).join(labels.select("doc_id", "quality"), "doc_id").where("not base_failed")
+    n = {r.quality: r for r in found.groupBy("quality").agg(F.count("*").alias("n"), F.sum((F.col("score") < quality.THRESHOLD).cast("int")).alias("out")).collect()}
+    assert n[0].out >= 0.9 * n[0].n and n[1].out <= 0.01 * n[1].n
+
+
 # 5 language
 
 
