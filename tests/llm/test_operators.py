@@ -231,6 +231,11 @@ def test_buckets_grow_with_the_corpus(spark, docs, monkeypatch):
     assert n[0].out >= 0.9 * n[0].n and n[1].out <= 0.01 * n[1].n
 
 
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted_ids(labels.union(labels)).count() == 20_500
+
+
 # 5 language
 
 
