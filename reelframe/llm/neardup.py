@@ -7,16 +7,25 @@ ends in those whose place is not above it. A register keeps its earliest time; t
 probability equal to their weighted Jaccard similarity. A process ends as soon as its time passes the latest
 register, so work is about the number of shingles plus m log m.
 
-Bands of registers give buckets. Each text of a bucket is verified against the bucket's hub (its smallest text
-number), which connects groups of near copies of any size without pairing them; texts of a bucket that are still
-in different components are then paired among themselves, if sizes and a 128-bit sketch allow 0.8. Verification
-takes the exact multiset overlap. Classes are the components of the verified links.
-
-Texts with the same words are one node throughout. A text of under five words is one shingle, all its words.
+Bands of registers give buckets. A bucket's hub is the text that meets most others over all its buckets, so the
+text that copies were made from, or the one nearest to it; every other text of the bucket is verified against it,
+which connects groups of near copies of any size without pairing them. What the hubs left apart is verified in
+blocks: only texts of buckets that still hold more than one component, and of these only texts that share enough
+shingles with any other such text to reach the similarity at all. A block is two parts of a bucket, each of about PART
+shingles, and gives no more links than it has texts; a pair is looked at in the first band it shares. The work of
+that last step grows with the square of such a bucket's rest; its rows and its memory do not.
+
+Verification takes the exact multiset overlap: the k-th occurrence of a shingle in a text is an element of its own,
+so multisets are sets. Classes are the components of the verified links. Shingles are 64-bit hashes; two unequal ones
+are equal by chance once in 2 ** 64 pairs, which moves an overlap by one.
+
+Texts with the same words are one node throughout, by a 128-bit hash of the words: among 10 ** 12 texts two unequal
+ones meet with odds of 1 in 10 ** 14. A text of under five words is one shingle, all its words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents, stored
+from reelframe.llm.common import documents, dropped, stored
 from reelframe.llm.wordhash import Words, mix, word_hashes
 
 SHINGLE = 5
@@ -33,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Bits of the sketch that may differ: at 0.8 a pair differs in 12.8 of 128 on average, and in more than 32 once in 10 million.
 SKETCH_BITS = 32
+#: Shingles of a part of a bucket.
+PART = 1 << 17
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -83,20 +94,25 @@ def bagminhash(doc: np.ndarray, label: np.ndarray, count: np.ndarray, docs: int,
     return times.reshape(docs, m)
 
 
-SIGNED = "node bigint, n bigint, bands array<bigint>, sketch_a bigint, sketch_b bigint"
+SIGNED = "key_a bigint, key_b bigint, n bigint, bands array<bigint>, sketch_a bigint, sketch_b bigint"
+
+
+def _keys(texts: pa.Array) -> np.ndarray:
+    """Two numbers for each text's sequence of words."""
+    made = [hashlib.blake2b(b" ".join((t or b"").split()), digest_size=16).digest() for t in texts.cast(pa.binary()).to_pylist()]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
-def _node(words: Words) -> np.ndarray:
-    """A number for each text's sequence of words."""
-    place = np.arange(len(words.hash), dtype=np.int64) - words.first[words.doc] if len(words.hash) else np.empty(0, np.int64)
-    each = np.r_[_U(0), np.cumsum(mix(words.hash + (place.astype(np.uint64) + _U(1)) * _GOLD), dtype=np.uint64)]
-    return mix(each[words.first[1:]] - each[words.first[:-1]] + np.diff(words.first).astype(np.uint64)).view(np.int64)
+def _joined(column: pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def _signed(column: pa.Array) -> pa.Array:
-    out = []
-    for _, words in word_hashes(column, at_most=1 << 22):
+    names = [c.split()[0] for c in SIGNED.split(", ")]
+    column, out = _joined(column), []
+    for k, words in word_hashes(column, at_most=1 << 22):
         docs = len(words.first) - 1
+        keys = _keys(column.slice(k, docs))
         doc, label, count = bags(words)
         bits = bagminhash(doc, label, count, docs).view(np.uint64)
         total = np.bincount(doc, count, docs).astype(np.int64)
@@ -108,46 +124,53 @@ def _signed(column: pa.Array) -> pa.Array:
         full = total > 0
         sizes = np.where(full, BANDS, 0)
         bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(band[full].view(np.int64).ravel()))
-        out.append(pa.StructArray.from_arrays([pa.array(_node(words)), pa.array(total), bands, pa.array(one[:, 0]), pa.array(one[:, 1])], ["node", "n", "bands", "sketch_a", "sketch_b"]))
-    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch_a", pa.int64()), ("sketch_b", pa.int64())]))
+        out.append(pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(total), bands, pa.array(one[:, 0]), pa.array(one[:, 1])], names))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct([(c, pa.list_(pa.int64()) if c == "bands" else pa.int64()) for c in names]))
+
+
+def _elements(words: Words) -> list[np.ndarray]:
+    """Each text's shingles as a sorted set: the k-th occurrence of one is an element of its own."""
+    doc, label, count = bags(words)
+    turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc, label = np.repeat(doc, count), np.repeat(label, count)
+    label = np.where(turn > 0, mix(label + turn.astype(np.uint64) * _GOLD), label).view(np.int64)
+    order = np.lexsort((label, doc))
+    return np.split(label[order], np.searchsorted(doc[order], np.arange(1, len(words.first) - 1)))
+
+
+SHINGLED = "key_a bigint, key_b bigint, shingles array<bigint>"
 
 
 def _shingled(column: pa.Array) -> pa.Array:
-    """Node and shingles with repeats, in order, as bytes."""
-    nodes, values = [], []
-    for _, words in word_hashes(column):
-        doc, label, count = bags(words)
-        doc, label = np.repeat(doc, count), np.repeat(label, count)
-        cut = np.searchsorted(doc, np.arange(len(words.first)))
-        nodes.append(_node(words))
-        values += [label[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(nodes) if nodes else np.empty(0, np.int64)), pa.array(values, pa.binary())], ["node", "shingles"])
+    column, out = _joined(column), []
+    for k, words in word_hashes(column):
+        keys = _keys(column.slice(k, len(words.first) - 1))
+        some = _elements(words)
+        listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in some])].astype(np.int32)), pa.array(np.concatenate(some)))
+        out.append(pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), listed], ["key_a", "key_b", "shingles"]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("key_a", pa.int64()), ("key_b", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two bags given as sorted shingles with repeats."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not len(x) and not len(y):
-        return 0.0
-    both = np.concatenate([x, y])
-    values, number = np.unique(both, return_inverse=True)
-    in_x = np.bincount(number[: len(x)], minlength=len(values))
-    in_y = np.bincount(number[len(x) :], minlength=len(values))
-    return float(np.minimum(in_x, in_y).sum() / np.maximum(in_x, in_y).sum())
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets given as sorted arrays."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if both else 0.0
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [overlap(a.as_buffer(), b.as_buffer()) >= least for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+        keep = [overlap(a.values.to_numpy(), b.values.to_numpy()) >= least for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node with an edge (a, b); comp is the component's smallest node.
+    """(node, comp) of every node with an edge (a, b); comp is the component's smallest node. A written table.
 
     Alternates large-star and small-star steps: each links neighbours to the smallest one near, until nothing moves.
     """
     edges = stored(edges.where("a != b").select("a", "b").distinct(), "edges")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    last = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -156,11 +179,14 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         new = stored(small, "edges")
-        mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if mark(new) == mark(edges):
+        now = mark(new)
+        dropped(edges)
+        if now == last:
             nodes = new.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-            return nodes.union(new.select(F.col("b"), F.col("b")).distinct())
-        edges = new
+            out = stored(nodes.union(new.select(F.col("b"), F.col("b")).distinct()), "comps")
+            dropped(new)
+            return out
+        edges, last = new, now
 
 
 def _verify(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
@@ -171,11 +197,141 @@ def _verify(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
 
 def _shingles_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes, from the one document that stands for each."""
-    wanted = reps.join(nodes, "node").select("node", "rep")
-    made = F.arrow_udf(_shingled, "node bigint, shingles binary")
+    wanted = reps.join(nodes, "node").select("node", "rep", "key_a", "key_b")
+    made = F.arrow_udf(_shingled, SHINGLED)
     ids = wanted.select("rep").distinct()
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi")
-    return texts.select(made("text").alias("s")).select("s.*").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    # A doc_id may occur with other texts too: the key tells which one is meant.
+    return texts.select(made("text").alias("s")).select("s.*").join(wanted.drop("rep"), ["key_a", "key_b"]).dropDuplicates(["node"]).select("node", "shingles")
+
+
+class _Block:
+    """Texts of one block, gathered from Arrow batches."""
+
+    def __init__(self, least: float):
+        self.least, self.parts = least, []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.parts.append(batch)
+
+    def links(self) -> tuple[list[int], list[int]]:
+        """Pairs of similar texts that join components: no more than there are texts."""
+        table = pa.Table.from_batches(self.parts).combine_chunks()
+        col = lambda c: table[c].combine_chunks()
+        node, root, part, n, shared = (col(c).to_numpy().copy() for c in ("node", "comp", "part", "n", "shared"))
+        sketch = np.stack([col("sketch_a").to_numpy(), col("sketch_b").to_numpy()], axis=1).view(np.uint64)
+        bands = col("bands").flatten().to_numpy().reshape(-1, BANDS)
+        here = np.argmax(bands[0] == table["band"][0].as_py())
+        lists = col("shingles")
+        first = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+        values, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        mark = np.zeros(len(values), bool)
+        within = table["i"][0] == table["j"][0]
+        found: tuple[list[int], list[int]] = ([], [])
+        for a in range(len(node)):
+            some = np.arange(a + 1, len(node))
+            ok = root[some] != root[a]
+            if not within:
+                ok &= part[some] != part[a]
+            some = some[ok]
+            most = np.minimum(np.minimum(shared[some], shared[a]), np.minimum(n[some], n[a]))
+            some = some[most >= self.least * (n[some] + n[a] - most)]
+            some = some[np.bitwise_count(sketch[some] ^ sketch[a]).sum(axis=1) <= SKETCH_BITS]
+            some = some[~(bands[some, :here] == bands[a, :here]).any(axis=1)]
+            if not len(some):
+                continue
+            mark[number[first[a] : first[a + 1]]] = True
+            sizes = n[some]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(first[some] - ends + sizes, sizes)
+            both = np.add.reduceat(mark[number[at]].astype(np.int64), ends - sizes)
+            mark[number[first[a] : first[a + 1]]] = False
+            for b in some[both >= self.least * (sizes + n[a] - both)].tolist():
+                if root[a] != root[b]:
+                    found[0].append(int(node[a]))
+                    found[1].append(int(node[b]))
+                    root[root == root[b]] = root[a]
+        return found
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The links of blocks, whose rows come one after the other."""
+    key, block = None, _Block(least)
+
+    def ended() -> pa.RecordBatch:
+        a, b = block.links() if block.parts else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+        cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else np.zeros(1, np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if key != tuple(keys[lo]):
+                yield ended()
+                key, block = tuple(keys[lo]), _Block(least)
+            block.add(batch.slice(lo, hi - lo))
+    yield ended()
+
+
+def _apart(placed: DataFrame, comps: DataFrame, reps: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between texts of one bucket that are in different components; a written table."""
+    mixed = lambda df: df.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least_n")).where("c0 != c1").select("band", "least_n")
+    rows = placed.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("band", "node", "comp", "n")
+    rows = stored(rows.join(mixed(rows), "band"), "open")
+    # Shingles that no other open text has can't be in an overlap.
+    each = shingles.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    lone = each.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    able = rows.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0)))
+    able = able.where(F.col("shared") >= least * (F.col("n") + F.greatest("least_n", "shared") - F.col("shared"))).drop("least_n", "lone")
+    able = stored(able, "able")
+    dropped(rows)
+    parts = able.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.sum("n") / PART).cast("int").alias("parts")).where("c0 != c1").select("band", "parts")
+    dealt = able.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    full = dealt.join(reps.select("node", "sketch_a", "sketch_b", "bands"), "node").join(shingles, "node")
+    blocks = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")}).drop("with", "parts")
+    blocks = blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    links = stored(blocks.mapInArrow(lambda it: _in_blocks(it, least), "a bigint, b bigint"), "links")
+    dropped(able)
+    return links
+
+
+def _classed(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, key_a, key_b, n, class_id and class_size of every row; class_id is null where n is 0."""
+    sign = F.arrow_udf(_signed, SIGNED)
+    signed = stored(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"), "signed")
+    firsts = [F.first(c).alias(c) for c in ("n", "bands", "sketch_a", "sketch_b")]
+    reps = signed.where("n > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), *firsts)
+    reps = stored(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    rows = reps.select("node", "n", F.explode("bands").alias("band"))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    placed = stored(rows.join(sizes, "band").select("band", "node", "n", "size"), "buckets")
+    central = placed.groupBy("node").agg(F.sum("size").alias("central"))
+    hubs = placed.join(central, "node").groupBy("band").agg((-F.max(F.struct("central", -F.col("node")))["col2"]).alias("hub"))
+    stars = placed.join(hubs, "band").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    light = reps.select("node", "n", "sketch_a", "sketch_b")
+    stars = stars.join(light.alias("x"), F.col("a") == F.col("x.node")).join(light.alias("y"), F.col("b") == F.col("y.node"))
+    fits = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
+    close = F.bit_count(F.col("x.sketch_a").bitwiseXOR(F.col("y.sketch_a"))) + F.bit_count(F.col("x.sketch_b").bitwiseXOR(F.col("y.sketch_b"))) <= SKETCH_BITS
+    stars = stored(stars.where(fits & close).select("a", "b"), "stars")
+    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(placed.where("size > 2").select("node")).distinct()
+    shingles = stored(_shingles_of(docs, reps, nodes), "shingles")
+    edges = stored(_verify(stars, shingles, least), "links")
+    comps = components(edges)
+    more = _apart(placed, comps, reps, shingles, least)
+    dropped(stars, placed)
+    if more.limit(1).count():
+        dropped(comps)
+        comps = components(edges.union(more))
+    dropped(edges, more, shingles)
+    named = reps.join(comps, "node", "left").select("key_a", "key_b", F.coalesce("comp", "node").alias("comp"))
+    keyed = stored(signed.select("doc_id", "key_a", "key_b", "n").join(named, ["key_a", "key_b"], "left"), "keyed")
+    dropped(signed, reps, comps)
+    classes = keyed.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return keyed.join(classes, "comp", "left")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -184,64 +340,37 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     A text without words (null, empty or blank) is in a class of its own row. Rows with the same words share a
     class. A null doc_id stays null; a class of only such rows has a null class_id. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    sign = F.arrow_udf(_signed, SIGNED)
-    signed = stored(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"), "signed")
-    reps = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"))
-    reps = stored(reps, "reps")
-    rows = signed.where("n > 0").select("node", F.explode("bands").alias("band")).distinct()
-    buckets = rows.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    rows = stored(rows.join(buckets, "band").select("band", "node", "hub", "size"), "buckets")
-    fits = lambda a, b: (F.least(a, b) >= least * F.greatest(a, b))
-    close = lambda a, b: F.bit_count(F.col(f"{a}.sketch_a").bitwiseXOR(F.col(f"{b}.sketch_a"))) + F.bit_count(F.col(f"{a}.sketch_b").bitwiseXOR(F.col(f"{b}.sketch_b"))) <= SKETCH_BITS
-    light = reps.drop("rep")
-    stars = rows.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    placed = stars.join(light.alias("x"), F.col("a") == F.col("x.node")).join(light.alias("y"), F.col("b") == F.col("y.node"))
-    stars = stored(placed.where(fits(F.col("x.n"), F.col("y.n")) & close("x", "y")).select("a", "b"), "stars")
-    shingles = stored(_shingles_of(docs, reps, stars.select(F.col("a").alias("node")).union(stars.select("b")).union(rows.where("size > 2").select("node")).distinct()), "shingles")
-    # A text in a large group has a hub in each of its bands; the smallest one joins most of them, and only hubs
-    # in another component are looked at after that.
-    edges = stored(_verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shingles, least), "links")
-    comps = stored(components(edges), "comps")
-    of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
-    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
-    more = stored(_verify(apart.select("a", "b"), shingles, least), "links")
-    if more.limit(1).count():
-        edges = edges.union(more)
-        comps = stored(components(edges), "comps")
-
-    # Texts of a bucket that the hub did not connect.
-    placed = rows.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("band")
-    open_ = stored(placed.where("node != hub").join(mixed, "band").join(reps.drop("rep"), "node").select("band", "node", "comp", "n", "sketch_a", "sketch_b"), "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & fits(F.col("a.n"), F.col("b.n")) & close("a", "b"))
-    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    more = stored(_verify(rest, shingles, least), "links")
-    if more.limit(1).count():
-        comps = stored(components(edges.union(more)), "comps")
-
-    keyed = signed.select("doc_id", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    keyed = stored(keyed.select("doc_id", F.when(F.col("n") > 0, F.col("comp")).alias("comp")), "keyed")
-    classes = keyed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    linked = keyed.join(classes, "comp", "left")
-    alone = F.col("comp").isNull()
-    return linked.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    found, alone = _classed(_plain(docs), least), F.col("n") == 0
+    return found.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each class: that with the smallest doc_id. Rows of one doc_id and class count as one.
+    """One row of each class: that with the smallest doc_id, and of its texts in the class that with the least key.
 
-    Rows without words, and rows whose doc_id is null, stay as they are, one for each of them.
+    Rows of one doc_id and one sequence of words count as one. Rows without words, and rows whose doc_id is null,
+    stay as they are, one for each of them.
     """
-    found = near_duplicates(docs, least)
-    keep = found.where("doc_id is not null and doc_id = class_id").select("doc_id").distinct()
-    # Rows with a doc_id that stands for a class; where the id occurs more than once, only the first of them.
-    lone = docs.where("doc_id is null")
-    kept = docs.join(keep, "doc_id", "left_semi")
+    found = _classed(_plain(docs), least)
+    mine = found.where("n > 0 and doc_id = class_id").groupBy("comp").agg(F.min(F.struct("doc_id", "key_a", "key_b")).alias("k")).select("k.*")
+    blank = found.where("n = 0 and doc_id is not null").select("doc_id", "key_a", "key_b")
+    keep = stored(mine.union(blank).distinct(), "keep")
+    kept = docs.join(keep.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    # Where an id occurs more than once, the words tell which of its rows stay.
     twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).unionByName(lone)
+    once = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
+    key = F.arrow_udf(_key_of, "key_a bigint, key_b bigint, blank boolean")
+    again = kept.join(twice, "doc_id", "left_semi").withColumn("__k", key("text"))
+    k = keep.select(F.col("doc_id").alias("__id"), F.col("key_a").alias("__a"), F.col("key_b").alias("__b"))
+    again = again.join(k, (F.col("doc_id") == F.col("__id")) & (F.col("__k.key_a") == F.col("__a")) & (F.col("__k.key_b") == F.col("__b")), "left_semi")
+    again = again.where("__k.blank").unionByName(again.where("not __k.blank").dropDuplicates(["doc_id", "__k"])).select(docs.columns)
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+
+
+def _key_of(column: pa.Array) -> pa.Array:
+    column = _joined(column)
+    keys = _keys(column)
+    blank = [not (t or b"").split() for t in column.cast(pa.binary()).to_pylist()]
+    return pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(blank, pa.bool_())], ["key_a", "key_b", "blank"])
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,6 +315,30 @@ def test_near_duplicates(request, which):
     assert sorted(map(sorted, got.values())) == wanted
 
 
+@pytest.mark.parametrize("part", [neardup.PART, 4000])
+def test_families_of_near_copies(spark, monkeypatch, part):
+    """Copies with more or fewer words changed, so that hubs leave some of them apart; one part, or blocks of several."""
+    monkeypatch.setattr(neardup, "PART", part)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for k in range(160):
+        ws, share = list(base), rng.choice([0.01, 0.02, 0.03, 0.04])
+        rows.append((k, " ".join(f"v{rng.randrange(9)}" if rng.random() < share else w for w in ws)))
+    asked = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {}
+    for r in neardup.near_duplicates(asked).collect():
+        got.setdefault(r.class_id, []).append(str(r.doc_id))
+    assert sorted(map(sorted, got.values())) == brute_classes(rows)
+
+
+def test_one_id_with_several_texts(spark):
+    long = " ".join(f"a{k}" for k in range(80))
+    rows = [(3, long), (5, long + " end"), (5, "quite another text with words of its own"), (5, "quite another text with words of its own"), (5, " "), (5, None), (8, long)]
+    kept = sorted(((r.doc_id, r.text) for r in neardup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=repr)
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 9, 300), rng.integers(1, 9, 300)
