@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,6 +399,58 @@ def test_substring(spark, duck, odd, empty):
     assert got[1, 0].kept == "" and hashlib.sha256(b"").hexdigest() in {r.kept for r in substring.remove_repeats(odd, digest=True).collect()}
 
 
+def brute_repeats(rows, n):
+    """Kept words and removed spans of rows (id, text); no id is larger than any."""
+    ws = [SPACE.findall(t or "") for _, t in rows]
+    least = {}
+    rank = [(k is None, k or 0) for k, _ in rows]
+    for r, w in zip(rank, ws, strict=True):
+        for i in range(len(w) - n + 1):
+            g = tuple(w[i : i + n])
+            least[g] = min(least.get(g, r), r)
+    out = []
+    for r, w in zip(rank, ws, strict=True):
+        gone = [False] * (len(w) + 1)
+        for i in range(len(w) - n + 1):
+            if least[tuple(w[i : i + n])] < r:
+                gone[i : i + n] = [True] * n
+        edges = [i for i in range(len(w) + 1) if gone[i] != (gone[i - 1] if i else False)]
+        out.append((" ".join(x for x, g in zip(w, gone, strict=False) if not g), list(zip(edges[::2], edges[1::2], strict=True))))
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 5, 13])
+@pytest.mark.parametrize("hot", [0, 1, 1 << 60])
+@pytest.mark.parametrize("fold", [200, 1 << 20])
+def test_substring_groups(monkeypatch, n, hot, fold):
+    """Small slices, many groups and frequent prefixes, with no, repeated and unordered ids."""
+    monkeypatch.setattr(substring, "SLICE", 700)
+    monkeypatch.setattr(substring, "FOLD", fold)
+    monkeypatch.setattr(substring.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    rng = random.Random(n)
+    passages = [" ".join(rng.choices("ab cd ef gh é日 x".split(), k=rng.randrange(3, 40))) for _ in range(12)]
+    rows = [(rng.choice([None, *range(40)]), "\n ".join(rng.choices(passages, k=rng.randrange(4))) + "\t") for _ in range(60)] + [(1, None), (50, "a " * 60), (2, "a " * 70)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    cut = list(substring._sliced([batch.slice(0, 30), batch.slice(30)], n, 1, 1))
+    anchors = [a for x in cut for a in x.column("anchors")[0].as_py()]
+    frequent = np.sort(np.array(sorted({a for a in anchors if anchors.count(a) > hot}), np.int64).view(np.uint64))
+    groups = {}
+    for x in substring._leaves(cut, n, 7, frequent):
+        for k in range(x.num_rows):
+            groups.setdefault(x.column("grp")[k].as_py(), []).append(x.slice(k, 1))
+    marks = {}
+    for some in groups.values():
+        for x in substring._subtree(some, n):
+            for r in x.to_pylist():
+                marks.setdefault(r["slice"], []).append(r)
+    got = []
+    for x in cut:
+        r = x.to_pylist()[0]
+        out = substring._cut_slice(r["ids"], np.array(r["words"], np.int64), np.frombuffer(substring._open(r["packed"]), np.uint8), marks.get(r["slice"], []), False)
+        got += [(r["kept"], [(s["first"], s["end"]) for s in r["spans"]]) for r in out.to_pylist()]
+    assert len(cut) > 3 and got == brute_repeats(rows, n)
+
+
 # Pipeline
 
 
