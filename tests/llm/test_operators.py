@@ -387,6 +387,61 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contaminated(empty, items).count() == 0
 
 
+def brute_leaks(items, text):
+    """Items by plain BM25 over every passage, and shares of shingles."""
+    split = lambda t: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    parts = []
+    for k, t in items:
+        cut = [m.end() for m in re.finditer(r"[.!?][\s\"')]*(?=\S)", t or "")]
+        q, a = (split(t[: cut[-1]]), split(t[cut[-1] :])) if cut else (split(t), [])
+        if q + a:
+            parts.append((k, q + a, q, a))
+    df = {}
+    for _, w, _, _ in parts:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    mean = sum(len(p[1]) for p in parts) / max(1, len(parts))
+    ws, out = split(text), {}
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    for k, whole, q, a in parts:
+        weight = {x: np.log1p((len(parts) - df[x] + 0.5) / (df[x] + 0.5)) * whole.count(x) * 2.2 / (whole.count(x) + 1.2 * (0.25 + 0.75 * len(whole) / mean)) for x in set(whole)}
+        half = max(32, 1 << (len(whole) - 1).bit_length())
+        for lo in range(0, max(1, len(ws) - half), half):
+            p = ws[lo : lo + 2 * half]
+            score = sum(weight[x] for x in set(p) & set(whole)) / sum(weight.values())
+            share = [np.mean([g in grams(p, min(5, len(w))) for g in grams(w, min(5, len(w)))]) if w else 0 for w in (whole, q, a)]
+            if score >= 0.6 - 1e-9 and (share[0] >= 0.8 or min(share[1:]) >= 0.5):
+                out[k] = max(out.get(k, 0), score)
+    return out
+
+
+@pytest.mark.parametrize("limit", [decontam.MAX_ITEMS, 20])
+def test_decontamination_equals_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "MAX_ITEMS", limit)
+    rng = random.Random(4)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").limit(30).collect()]
+    vocabulary = sorted({w for _, t in items for w in t.split()})
+    long = " ".join(rng.choices(vocabulary, k=600))
+    items += [(900, long), (901, " ".join(rng.choices(vocabulary, k=40))), (902, "Yes"), (903, "x. Y"), (904, None), (905, " ")]
+    texts = ["", None, "yes yes", long, " ".join(long.split()[:150]), " ".join(items[31][1].split()[:28])]
+    for _ in range(60):
+        ws = rng.choices(vocabulary, k=rng.randrange(5, 300))
+        for _, t in rng.choices(items[:32], k=2):
+            part = t.split()
+            lo, hi = sorted(rng.choices(range(len(part) + 1), k=2)) if rng.random() < 0.5 else (0, len(part))
+            at = rng.randrange(len(ws))
+            ws[at:at] = [w if rng.random() > 0.03 else rng.choice(vocabulary) for w in part[lo:hi]]
+        texts.append(" ".join(ws))
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("leaks", F.lit("old"))
+    known = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: r.leaks for r in decontam.contaminated(asked, known).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        want = brute_leaks(items, t)
+        assert got[k]["items"] == sorted(want) and got[k]["score"] == pytest.approx(max(want.values(), default=0.0))
+    assert not got[4]["items"] and not got[5]["items"] and got[3]["items"][-1] == 900
+
+
 # 10 substrings
 
 
