@@ -199,7 +199,9 @@ def test_quality(spark, request, which):
     assert len(got) == rows.count()
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(r.text)
-        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+        assert r.base_failed is False or r.kept is False
+    least = quality.judged(rows, labels, -0.01).collect()
+    assert all(r.kept == (not r.base_failed and r.score >= -0.01) for r in least)
 
 
 def test_likelihood_ratio(spark, docs):
@@ -219,17 +221,32 @@ def test_likelihood_ratio(spark, docs):
         assert r.score == pytest.approx(ratio[own[r.doc_id]].mean() if own[r.doc_id] else 0.0, abs=1e-9)
 
 
-def test_buckets_grow_with_the_corpus(spark, docs, monkeypatch):
-    """Junk is told from good texts as well where the n-grams are many for the least number of buckets."""
+def test_scores_by_join(spark, docs, odd, monkeypatch):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    monkeypatch.setattr(quality, "BUCKETS", 20)
-    assert len(quality.log_ratios(docs.select("doc_id", "text"), labels).first().ratios) > 20
-    sf = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    monkeypatch.setattr(quality, "BUCKETS", 1000)
-    found = quality.judged(common.documents(spark, sf).select("doc_id", "text"), labels).join(labels.select("doc_id", "quality"), "doc_id").where("not base_failed")
-    n = {r.quality: r for r in found.groupBy("quality").agg(F.count("*").alias("n"), F.sum((F.col("score") < quality.THRESHOLD).cast("int")).alias("out")).collect()}
-    assert n[0].out >= 0.9 * n[0].n and n[1].out <= 0.01 * n[1].n
+    rows = docs.union(odd).union(odd)
+    key = lambda df: sorted((str(r.doc_id), r.n_words, r.n_repeat_words, round(r.score, 9), r.kept) for r in df.collect())
+    by_array = key(quality.judged(rows, labels))
+    monkeypatch.setattr(quality, "ARRAY", 0)
+    assert key(quality.judged(rows, labels)) == by_array
+
+
+def test_long_repetitive_text(spark):
+    rows = spark.createDataFrame([(1, "a b c " * 40_000), (2, " ".join(f"w{k}" for k in range(120_000)))], "doc_id int, text string")
+    got = {r.doc_id: r.n_repeat_words for r in rows.select("doc_id", quality.counted(F.col("text"), None).alias("q")).select("doc_id", "q.*").collect()}
+    assert got == {1: 120_000, 2: 0}
+
+
+@pytest.mark.parametrize("sf, buckets", [("sf0.01", 10_000), ("sf0.1", 10_000), ("sf0.1", 500)])
+def test_threshold(spark, monkeypatch, sf, buckets):
+    """Good texts whose label is kept back stay, junk goes; also where buckets are few to begin with."""
+    monkeypatch.setattr(quality, "BUCKETS", buckets)
+    docs = common.documents(spark, f"/root/testdata/{sf}").select("doc_id", "text")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    half = labels.where("quality = 0 or xxhash64(doc_id) % 2 = 0")
+    found = quality.judged(docs, half).join(labels.where("quality = 0 or xxhash64(doc_id) % 2 != 0").select("doc_id", "quality"), "doc_id").where("not base_failed")
+    n = {r.quality: r for r in found.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert n[1].kept >= 0.97 * n[1].n
+    assert n[0].kept <= (0.2 if sf == "sf0.1" else 0.6) * n[0].n
 
 
 def test_every_trusted_document_counts(spark):
