@@ -46,7 +46,7 @@ ANCHOR = 3
 #: Stands for a null doc_id, which sorts after every other.
 NO_ID = (1 << 63) - 1
 #: Bytes of texts to a slice and to a group, and of segments that a group holds before it folds.
-SLICE, GROUP, FOLD = 4 << 20, 8 << 20, 32 << 20
+SLICE, GROUP, FOLD = 4 << 20, 6 << 20, 24 << 20
 #: Bytes of slices in which anchors are counted. The counts only steer which group a window goes to.
 SAMPLE = 1 << 30
 #: A prefix is frequent if it is the anchor of more segments than this, or of more than this part of them all.
@@ -56,7 +56,7 @@ _HIGH = _U(1 << 63)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(a.tobytes() for a in arrays))
 
 
 def _open(packed: bytes) -> bytes:
@@ -260,23 +260,31 @@ class Leaves:
         stop = np.flatnonzero(self.text == 0x20) + 1
         offsets = np.r_[0, stop].astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(stop), [None, pa.py_buffer(offsets), pa.py_buffer(self.text)]).dictionary_encode()
-        place = np.empty(len(coded.dictionary), np.int64)
-        place[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+        place = np.empty(len(coded.dictionary), np.int32)
+        place[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place), dtype=np.int32)
         rank = place[coded.indices.to_numpy()]
-        left = np.repeat(np.cumsum(self.size), self.size) - np.arange(len(rank))
-        at, depth = np.arange(len(rank)), 1
+        left = np.repeat(np.cumsum(self.size, dtype=np.int32), self.size) - np.arange(len(rank), dtype=np.int32)
+        at, depth = np.arange(len(rank), dtype=np.int32), 1
+        del coded, stop, offsets
         while depth < n:
             # Runs of twice as many words are ranked by both halves, which overlap in the last step.
             by = min(depth, n - depth)
             depth += by
             at = at[left[at] >= depth]
             at = at[rank[at + by] >= 0]
-            key = rank[at] * (rank.max(initial=0) + 1) + rank[at + by]
-            _, number, many = np.unique(key, return_inverse=True, return_counts=True)
-            twice = many[number] > 1
-            at = at[twice]
-            rank = np.full(len(rank), -1)
-            rank[at] = number[twice]
+            key = rank[at].astype(np.int64) * (int(rank.max(initial=0)) + 1) + rank[at + by]
+            order = np.argsort(key)
+            key = key[order]
+            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
+            del key
+            size = np.diff(np.r_[np.flatnonzero(new), len(order)])
+            twice = np.repeat(size > 1, size)
+            number = (np.cumsum(new, dtype=np.int32) - 1)[twice]
+            at = at[order[twice]]
+            del order, new, twice
+            rank = np.full(len(rank), -1, np.int32)
+            rank[at] = number
+            at = np.sort(at)
         return at, rank[at]
 
     def folded(self, n: int) -> tuple[list[tuple[int, int, bytes]], Leaves]:
