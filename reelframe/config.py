@@ -42,4 +42,5 @@ class Config:
         return cls(**{k: int(v) if k == "words_per_caption" else float(v) for k, v in given.items()})
 
 
-DEFAULT = Config()
+#: As the environment has it when the engine is loaded.
+DEFAULT = Config.from_env()

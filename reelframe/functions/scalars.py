@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reelframe.config import DEFAULT, Config
 
 WHOLE = r"^[+-]?[0-9]+$"
-FACE_WIDTH = 120.0
 
 
 def stripped(x: Column) -> Column:
@@ -36,15 +35,19 @@ def slug(x: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(plain, r"[-\s]+", "_"), "^_+|_+$", ""), 1, 100)
 
 
+def output_path(folder: Column, caption: Column) -> Column:
+    """Where a clip is written: the folder, and its caption as a file name."""
+    return F.concat(folder, F.lit("/"), F.coalesce(slug(caption), F.lit("")), F.lit(".mp4"))
+
+
 # Colours of score bands and labels of statuses.
-BANDS = ((("9", "10"), "#4ade80"), (("7", "8"), "#facc15"))
-REST = "#f87171"
+HIGH, MIDDLE, REST = "#4ade80", "#facc15", "#f87171"
 BADGES = {"idle": "Menunggu", "ready": "Siap", "running": "Processing", "error": "Error"}
 
 
 def score_band(score: Column) -> Column:
     """The colour of a score: only the whole numbers 7 to 10 have one of their own."""
-    return F.when(score.isin(9, 10), BANDS[0][1]).when(score.isin(7, 8), BANDS[1][1]).otherwise(REST)
+    return F.when(score.isin(9, 10), HIGH).when(score.isin(7, 8), MIDDLE).otherwise(REST)
 
 
 def status_badge(status: Column) -> Column:
@@ -98,16 +101,22 @@ def safe_fps(fps: Column) -> Column:
 
 
 def frames_of(fps: Column, seconds: float) -> Column:
+    """The whole frames of a time."""
     return (fps * seconds).cast("int")
 
 
+def cut_gap(fps: Column, conf: Config = DEFAULT) -> Column:
+    """Frames from one accepted cut to the next at least."""
+    return F.greatest(F.lit(1), frames_of(fps, conf.scene_cut_min_gap))
+
+
 def sampling_interval(fps: Column, sample_fps: float = DEFAULT.face_sample_fps) -> Column:
     return F.greatest(F.lit(1), (fps / sample_fps).cast("int"))
 
 
 def smoothing_window(fps: float, conf: Config = DEFAULT) -> int:
     """Observations that a rolling mean of speech goes over."""
-    return max(1, int(fps * conf.lip_smooth_sec / max(1.0, fps / 4)))
+    return max(1, int(fps * conf.lip_smooth_sec / max(1.0, fps / conf.face_sample_fps)))
 
 
 def smoothing_alpha(fps: Column, tau: float = DEFAULT.crop_smoothing_tau) -> Column:

@@ -1,23 +1,20 @@
 """Who is in focus: tracks and speech of faces, and the focus as a fold over a clip's samples.
 
-The folds are plain functions of a state and one sample, used by the batch operators here (one group for each
-clip, ordered by sample) and by the streaming ones alike. Clips are minutes long, so a clip's samples fit a task.
+The folds are plain functions of a state and one sample, used by the batch operator in crop.py and by the streaming
+ones alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 from reelframe.config import DEFAULT, Config
-from reelframe.functions.scalars import FACE_WIDTH, smoothing_window
 
 LONG_AGO = -(10**9)
+# Fixed value: the width of a face without a box.
+NO_BOX = 60.0
 
 
 @dataclass
@@ -59,7 +56,7 @@ def speak(tracks: list[Track], faces: list[Face], window: int) -> list[tuple[int
     for f in faces:
         away = [abs(t.cx - f.cx) for t in tracks]
         k = away.index(min(away)) if away else -1
-        if k < 0 or away[k] >= 0.75 * (FACE_WIDTH / 2 if f.width is None else f.width):
+        if k < 0 or away[k] >= 0.75 * (NO_BOX if f.width is None else f.width):
             tracks.append(Track(f.cx, None))
             k = len(tracks) - 1
         own.append(k)
@@ -69,7 +66,8 @@ def speak(tracks: list[Track], faces: list[Face], window: int) -> list[tuple[int
         if f.mouth is not None and t.mouth is not None:
             moved = float(np.abs(f.mouth.astype(float) - resized(t.mouth.astype(float), f.mouth.shape)).mean())
         t.motion = [*t.motion, moved][-window:]
-        t.cx, t.mouth = f.cx, f.mouth
+        # A face without a patch leaves the track's last one in place.
+        t.cx, t.mouth = f.cx, t.mouth if f.mouth is None else f.mouth
         out.append((k, sum(t.motion) / len(t.motion)))
     return out
 
@@ -109,7 +107,7 @@ class Key:
 def focus_step(s: Focus, frame: int, faces: list[Face], speaking: list[float], cut: bool, src_w: int, src_h: int, fps: float, conf: Config = DEFAULT) -> Key:
     """Moves the state on by one sample and gives its key frame."""
     width = int(src_h * 9 / 16)
-    radius = max(conf.focus_match_distance * width, 36.0)
+    radius = max(conf.focus_match_distance * width, conf.crop_min_deadzone_px)
     middle = src_w / 2
     ladder = (conf.lip_cooldown_1, conf.lip_cooldown_2, conf.lip_cooldown_3)
     best = max(range(len(faces)), key=lambda k: (score_of(faces[k], speaking[k], conf), -k)) if faces else None
@@ -167,54 +165,6 @@ def clamped(key: Key, src_w: int, src_h: int, frames: int) -> Key:
     return key
 
 
-SPOKEN = "clip_id bigint, sample_idx bigint, face_idx bigint, track bigint, speaking double"
-KEYS = "clip_id bigint, seq bigint, frame bigint, cx double, hard boolean, reset boolean, change boolean"
-
-
-def _samples(rows: pd.DataFrame) -> Iterator[tuple[int, int, list]]:
-    """(sample_idx, frame, rows of its faces) in order; plain tuples, since a sample has a handful of faces."""
-    ordered = rows.sort_values(["sample_idx", "face_idx"]).itertuples(index=False)
-    for (sample, frame), some in groupby(ordered, key=lambda r: (r.sample_idx, r.frame)):
-        yield int(sample), int(frame), list(some)
-
-
-def _found(some: list) -> list:
-    return [r for r in some if r.face_idx == r.face_idx and r.face_idx is not None]
-
-
-def _mouth(px: object) -> np.ndarray | None:
-    return None if px is None or (isinstance(px, float) and np.isnan(px)) else np.atleast_2d(np.asarray(px, float))
-
-
-def speaking_scores(faces: DataFrame, fps: float = 30.0, conf: Config = DEFAULT) -> DataFrame:
-    """Track and speaking score of each face, from (clip_id, sample_idx, frame, face_idx, cx, area, conf, width, mouth).
-
-    A row without face_idx is a sample without faces. mouth: an array of pixels, or null.
-    """
-    window = smoothing_window(fps, conf)
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[Track] = []
-        out = []
-        for sample, _, some in _samples(rows):
-            some = _found(some)
-            spoken = speak(tracks, [Face(r.cx, r.area, r.conf, r.width, _mouth(r.mouth)) for r in some], window)
-            out += [(r.clip_id, sample, int(r.face_idx), t, x) for r, (t, x) in zip(some, spoken, strict=True)]
-        return pd.DataFrame(out, columns=["clip_id", "sample_idx", "face_idx", "track", "speaking"])
-
-    return faces.groupBy("clip_id").applyInPandas(of, SPOKEN)
-
-
-def focus_keys(faces: DataFrame, src_w: int, src_h: int, fps: float = 30.0, conf: Config = DEFAULT) -> DataFrame:
-    """A clip's key frames, from (clip_id, sample_idx, frame, face_idx, cx, area, conf, speaking, cut, total_frames)."""
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Focus(), []
-        for n, (_, frame, some) in enumerate(_samples(rows)):
-            first, some = some[0], _found(some)
-            found = [Face(r.cx, r.area, r.conf) for r in some]
-            k = clamped(focus_step(state, frame, found, [r.speaking for r in some], bool(first.cut), src_w, src_h, fps, conf), src_w, src_h, int(first.total_frames))
-            out.append((first.clip_id, n, k.frame, k.cx, k.hard, k.reset, k.change))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in KEYS.split(", ")])
-
-    return faces.groupBy("clip_id").applyInPandas(of, KEYS)
+def mouth_of(px: object) -> np.ndarray | None:
+    """A patch from a list of pixels, or none."""
+    return None if px is None else np.atleast_2d(np.asarray(px, float))

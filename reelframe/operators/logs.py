@@ -20,3 +20,10 @@ def tail(lines: DataFrame, most: int = TAIL) -> DataFrame:
     """The last lines, the newest first, as HTML text. The sort keeps so many rows in each task."""
     last = lines.orderBy(F.col("seq").desc(), F.col("part").desc()).limit(most)
     return last.select("seq", "part", escape_html(F.col("line")).alias("line"))
+
+
+def hidden(lines: DataFrame, most: int = TAIL) -> DataFrame:
+    """One row: how many lines come before the last ones, and the note that says so (null where there are none)."""
+    n = lines.agg(F.greatest(F.lit(0), F.count("*") - most).alias("hidden"))
+    # Fixed value: the note's wording.
+    return n.withColumn("note", F.when(F.col("hidden") > 0, F.format_string("... %d baris sebelumnya disembunyikan dari live view ...", "hidden")))

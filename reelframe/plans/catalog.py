@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions import scalars as S
-from reelframe.operators import captions, cuts, focus, logs, path, render, vision
+from reelframe.operators import captions, crop, cuts, logs, path, render, vision
 from reelframe.plans import inputs as I
 from reelframe.sources import manifest
 
@@ -112,6 +112,12 @@ def caption_slug(spark, sf):
     return I.table(spark, sf, "documents").select("doc_id", slug.alias("slug")).withColumn("file", F.concat(F.coalesce("slug", F.lit("")), F.lit(".mp4")))
 
 
+@query(f"SELECT doc_id, 'out/' || coalesce(source, '') || '/' || coalesce({_SLUG}, '') || '.mp4' AS path FROM documents")
+def output_path(spark, sf):
+    folder = F.concat(F.lit("out/"), F.coalesce("source", F.lit("")))
+    return I.table(spark, sf, "documents").select("doc_id", S.output_path(folder, F.col("text")).alias("path"))
+
+
 @query(f"SELECT slug, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {_SLUG} AS slug FROM documents) GROUP BY slug HAVING count(*) > 1")
 def slug_collisions(spark, sf):
     s = I.table(spark, sf, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"))
@@ -126,7 +132,7 @@ def clip_label(spark, sf):
 _PATHS = "SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MKV' WHEN 2 THEN '.mov.txt' WHEN 3 THEN '.Avi' ELSE '' END AS path FROM pages"
 
 
-def _paths(spark, sf):
+def _names(spark, sf):
     k = F.col("page_id")
     end = F.when(k % 5 == 0, ".mp4").when(k % 5 == 1, ".MKV").when(k % 5 == 2, ".mov.txt").when(k % 5 == 3, ".Avi").otherwise("")
     return I.table(spark, sf, "pages").select("page_id", F.concat("url", end).alias("path"))
@@ -134,14 +140,13 @@ def _paths(spark, sf):
 
 @query(rf"SELECT page_id, regexp_matches(lower(path), '\.(mp4|mkv|mov|avi)$') AS is_video FROM ({_PATHS})")
 def suffix_filter(spark, sf):
-    return _paths(spark, sf).select("page_id", S.has_suffix(F.col("path"), manifest.VIDEO_SUFFIXES).alias("is_video"))
+    return _names(spark, sf).select("page_id", S.has_suffix(F.col("path"), manifest.VIDEO_SUFFIXES).alias("is_video"))
 
 
 @query(rf"SELECT row_number() OVER (ORDER BY path, page_id) AS place, path FROM ({_PATHS}) WHERE regexp_matches(lower(path), '\.(mp4|mkv|mov|avi)$') AND path IS NOT NULL")
 def file_listing(spark, sf):
-    """A listing is one folder's names: a sorted report, numbered."""
-    found = _paths(spark, sf).where(S.has_suffix(F.col("path"), manifest.VIDEO_SUFFIXES))
-    return found.select(F.row_number().over(Window.orderBy("path", "page_id")).cast("long").alias("place"), "path")
+    found = _names(spark, sf).where(S.has_suffix(F.col("path"), manifest.VIDEO_SUFFIXES))
+    return manifest.numbered(found, ["path", "page_id"], "place").select("place", "path")
 
 
 _DRAW = r"replace(replace(replace({0}, '\', '\\'), ':', '\:'), '''', '\''')"
@@ -199,6 +204,19 @@ def manifest_json(spark, sf):
     return text.select("video", F.inline(back["clips"])).withColumnRenamed("at", "pos")
 
 
+@query("""SELECT o_orderkey, o_orderpriority AS title, '{"n":' || o_custkey || '}' AS extra, (o_orderkey % 3)::INT AS n_clips, CASE WHEN o_orderkey % 3 > 0 THEN 'x' || o_orderkey END AS first_note, len(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' ' END) AS indented FROM orders""")
+def manifest_rendered(spark, sf):
+    """A manifest without its excluded clip, read back: keys that the engine doesn't know stay."""
+    k = F.col("o_orderkey")
+    clip = lambda id_: F.to_json(F.struct(id_.alias("clip_id"), F.concat(F.lit("x"), k).alias("note")))
+    clips = F.concat_ws(",", clip(k), *[F.when(k % 3 > n, clip(k + 1 + n)) for n in range(2)])
+    raw = F.concat(F.lit('{"video_title": '), F.to_json(F.struct(F.col("o_orderpriority").alias("t"))), F.lit(', "extra": {"n": '), F.col("o_custkey"), F.lit('}, "clips": ['), clips, F.lit("]}"))
+    text = manifest.rendered(raw, F.array(k))
+    back = F.from_json("json", "struct<video_title:struct<t:string>,extra:struct<n:bigint>,clips:array<struct<clip_id:bigint,note:string>>>")
+    made = I.table(spark, sf, "orders").select("o_orderkey", text.alias("json")).withColumn("b", back)
+    return made.select("o_orderkey", F.col("b.video_title.t").alias("title"), F.to_json("b.extra").alias("extra"), F.size("b.clips").alias("n_clips"), F.get("b.clips", F.lit(0))["note"].alias("first_note"), F.col("json").contains('\n    {\n      "clip_id"').cast("long").alias("indented"))
+
+
 # Captions
 
 
@@ -328,15 +346,17 @@ def cut_refractory(spark, sf):
     return cuts.refractory(e, 240)
 
 
-@query(f"WITH {I.PATH} SELECT clip_id, count(*) AS n FROM cuts WHERE frame > 0 AND frame < 70 GROUP BY clip_id")
+@query(f"WITH {I.PATH}, {I.MEDIA} SELECT clip_id, count(*) AS n FROM cuts JOIN media USING (clip_id) WHERE frame > 0 AND frame < total_frames GROUP BY clip_id")
 def cut_count(spark, sf):
-    return I.cuts(I.faces(spark, sf)).where("frame > 0 and frame < 70").groupBy("clip_id").agg(F.count("*").alias("n"))
+    """Cuts within each clip, up to its own last frame."""
+    f = I.faces(spark, sf)
+    return I.cuts(f).join(I.media(f), "clip_id").where("frame > 0 and frame < total_frames").groupBy("clip_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {I.PATH}, l AS (SELECT *, coalesce(lag(frame) OVER (PARTITION BY clip_id ORDER BY frame), -1) AS before FROM samples) SELECT clip_id, sample_idx, frame, EXISTS (SELECT 1 FROM cuts c WHERE c.clip_id = l.clip_id AND c.frame > before AND c.frame <= l.frame) AS reset FROM l")
 def sample_cut_reset(spark, sf):
     f = I.faces(spark, sf)
-    return cuts.with_reset(I.samples(f).drop("n_faces"), I.cuts(f))
+    return cuts.with_reset(I.samples(f).drop("n_faces"), I.cuts(f), I.media(f))
 
 
 @query("SELECT hour(ts)::INT AS h, least(31, trunc(value / 16)::INT) AS bin, count(*) AS n, sqrt(sum(count(*) * count(*)) OVER ())::DOUBLE AS norm FROM events GROUP BY 1, 2")
@@ -345,6 +365,34 @@ def hist_2d(spark, sf):
     return h.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy()).cast("double")))
 
 
+@query("""WITH b AS (SELECT least(31, hour(ts) * 32 // 24)::INT AS h, least(31, trunc(value / 16)::INT) AS s, count(*) AS n FROM events GROUP BY 1, 2) SELECT h, s, round(n / sqrt(sum(n * n) OVER ()), 9) AS share FROM b""")
+def hist_2d_normalised(spark, sf):
+    """A histogram of 32 by 32 bins, scaled so that its squares add up to one."""
+    h = I.table(spark, sf, "events").groupBy(F.least(F.lit(31), F.floor(F.hour("ts") * 32 / 24).cast("int")).alias("h"), F.least(F.lit(31), (F.col("value") / 16).cast("int")).alias("s")).agg(F.count("*").alias("n"))
+    return h.select("h", "s", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy()).cast("double")), 9).alias("share"))
+
+
+_SCENES = """WITH RECURSIVE e AS (SELECT vec_id % 20 AS clip_id, vec_id // 20 AS frame, list_transform(embedding, lambda x: abs(x)) AS a, list_transform(embedding, lambda x: abs(x)::DOUBLE * 2000) AS p FROM embeddings),
+d AS (SELECT clip_id, frame, a, p, lag(a) OVER w AS b, lag(p) OVER w AS q FROM e WINDOW w AS (PARTITION BY clip_id ORDER BY frame)),
+x AS (SELECT clip_id, frame, sqrt(greatest(0, 1 - list_sum(list_transform(list_zip(b, a), lambda z: sqrt(z[1]::DOUBLE * z[2]::DOUBLE))) / sqrt(list_sum(list_transform(b, lambda v: v::DOUBLE)) * list_sum(list_transform(a, lambda v: v::DOUBLE))))) AS hist_diff,
+  list_sum(list_transform(list_zip(q, p), lambda z: abs(z[1] - z[2]))) / len(p) / 255 AS pixel FROM d WHERE b IS NOT NULL),
+y AS (SELECT *, 0.6::DOUBLE * hist_diff + 0.4::DOUBLE * pixel AS score FROM x),
+c AS (SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY frame) AS rn, CASE clip_id % 3 WHEN 0 THEN 9 WHEN 1 THEN 7 ELSE 18 END AS gap FROM y
+  WHERE (score >= 0.22::DOUBLE AND hist_diff >= 0.14::DOUBLE AND pixel >= 0.08::DOUBLE) OR (hist_diff >= 0.45::DOUBLE AND score >= 0.22::DOUBLE) OR (pixel >= 0.22::DOUBLE AND hist_diff >= 0.75::DOUBLE * 0.14::DOUBLE)),
+f AS (SELECT clip_id, rn, frame, frame AS kept, TRUE AS ok FROM c WHERE rn = 1 UNION ALL SELECT c.clip_id, c.rn, c.frame, CASE WHEN c.frame - f.kept >= gap THEN c.frame ELSE f.kept END, c.frame - f.kept >= gap FROM f JOIN c ON c.clip_id = f.clip_id AND c.rn = f.rn + 1)
+SELECT clip_id, frame FROM f WHERE ok"""
+
+
+@query(_SCENES)
+def scene_cuts(spark, sf):
+    """From features of frames to accepted cuts, in clips with 30 (or no), 25 and 60 frames a second."""
+    e = I.table(spark, sf, "embeddings")
+    k = F.col("vec_id") % 20
+    features = e.select(k.alias("clip_id"), F.floor(F.col("vec_id") / 20).alias("frame"), F.transform("embedding", F.abs).alias("hist"), F.transform("embedding", lambda x: F.abs(x).cast("double") * 2000).alias("gray"))
+    media = e.select(k.alias("clip_id"), F.when(k % 3 == 0, 0.0).when(k % 3 == 1, 25.0).otherwise(60.0).alias("fps")).distinct()
+    return cuts.scene_cuts(features, media)
+
+
 # Sequences
 
 
@@ -373,9 +421,7 @@ def keyframe_dedupe(spark, sf):
     return path.deduplicated(k)
 
 
-_TARGETS = (
-    I.PATH
-    + """,
+_FRAMES = """,
 allcuts AS (SELECT clip_id, frame FROM cuts UNION SELECT clip_id, frame FROM keys WHERE hard),
 t0 AS (SELECT f.clip_id, f.frame, k.cx AS key, c.frame IS NOT NULL AND f.frame > 0 AS is_cut FROM frames f LEFT JOIN keys k ON k.clip_id = f.clip_id AND k.frame = f.frame LEFT JOIN allcuts c ON c.clip_id = f.clip_id AND c.frame = f.frame),
 t1 AS (SELECT *, sum(is_cut::INT) OVER (PARTITION BY clip_id ORDER BY frame) AS seg FROM t0),
@@ -383,7 +429,7 @@ t2 AS (SELECT *, last_value(CASE WHEN key IS NOT NULL THEN {'f': frame, 'k': key
   first_value(CASE WHEN key IS NOT NULL THEN {'f': frame, 'k': key, 's': seg} END IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM t1),
 t3 AS (SELECT *, (frame - p.f) / (n.f - p.f)::DOUBLE AS t FROM t2),
 targets AS (SELECT clip_id, frame, is_cut, CASE WHEN p.s = seg AND n.s = seg AND n.f > p.f THEN p.k + (n.k - p.k) * (t * t * (3 - 2 * t)) WHEN p.s = seg THEN p.k WHEN n.s = seg THEN n.k ELSE coalesce(p.k, 960) END AS cx FROM t3)"""
-)
+_TARGETS = I.PATH + _FRAMES
 
 
 def _targets(spark, sf):
@@ -396,15 +442,13 @@ def interpolate_targets(spark, sf):
     return _targets(spark, sf).withColumn("cx", F.round("cx", 4))
 
 
-_SMOOTH = (
-    "WITH RECURSIVE "
-    + _TARGETS
-    + """,
+_STEPS = """,
 g AS (SELECT 42.49::DOUBLE AS dz, 16::DOUBLE AS vmax, 1 - exp(-1 / 13.5::DOUBLE) AS alpha),
 s AS (SELECT clip_id, frame, cx AS c, FALSE AS jump FROM targets WHERE frame = 0
  UNION ALL SELECT t.clip_id, t.frame, CASE WHEN t.is_cut THEN t.cx WHEN abs(t.cx - s.c) <= dz THEN s.c ELSE s.c + least(greatest((t.cx - sign(t.cx - s.c) * dz - s.c) * alpha, -vmax), vmax) END,
   t.is_cut AND abs(t.cx - s.c) > dz FROM s JOIN targets t ON t.clip_id = s.clip_id AND t.frame = s.frame + 1, g)"""
-)
+_SMOOTH = "WITH RECURSIVE " + _TARGETS + _STEPS
+_CROP = "WITH RECURSIVE " + I.FOCUS + _FRAMES + _STEPS
 
 
 def _smoothed(spark, sf):
@@ -426,54 +470,74 @@ def crop_windows(spark, sf):
     return path.crop_windows(path.held(_smoothed(spark, sf), I.SRC_W, I.SRC_H), I.SRC_W, I.SRC_H)
 
 
-def _spoken(spark, sf):
+@query(f"""{_SMOOTH}, m AS (SELECT clip_id, max(frame) AS last FROM s GROUP BY clip_id), o AS (SELECT clip_id, unnest(generate_series(0, last + clip_id % 5)) AS frame, last FROM m)
+SELECT o.clip_id, o.frame, greatest(0, least(trunc(least(greatest(c, 303.5), 1616.5) - 303.5)::INT, 1313)) AS x, 607 AS width FROM o JOIN s ON s.clip_id = o.clip_id AND s.frame = least(o.frame, last)""")
+def output_windows(spark, sf):
+    """Windows of the frames that are decoded, some of which may lie past the path's end: the last centre holds there."""
     f = I.faces(spark, sf)
-    px = F.array(*[(F.col("k") + j).cast("double") for j in range(4)])
-    return f, focus.speaking_scores(f.select("clip_id", "sample_idx", "frame", "face_idx", "cx", "area", "conf", "width", px.alias("mouth")), I.FPS)
+    path_ = path.held(_smoothed(spark, sf), I.SRC_W, I.SRC_H).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame", "cx"))).alias("path"))
+    decoded = I.media(f).select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1 + F.col("clip_id") % 5)).alias("frame"))
+    return crop.placed(decoded, path_.withColumns({"src_w": F.lit(I.SRC_W), "src_h": F.lit(I.SRC_H)}))
 
 
-@query()
-def speaking_scores(spark, sf):
-    """Tracks and speech of faces: a fold without SQL; tests hold it against worked examples."""
-    return _spoken(spark, sf)[1]
+@query(f"WITH {I.FACES}, {I.MEDIA} SELECT clip_id, src_w, src_h, CASE WHEN fps > 0 THEN fps ELSE 30 END::DOUBLE AS fps, total_frames FROM media")
+def clip_media(spark, sf):
+    """Size, rate and frames of each clip; a rate that is missing is 30."""
+    return I.media(I.faces(spark, sf), False).withColumn("fps", S.safe_fps(F.col("fps")))
 
 
-def _focused(spark, sf):
-    f, spoken = _spoken(spark, sf)
-    resets = cuts.with_reset(I.samples(f).drop("n_faces"), I.cuts(f)).select("clip_id", "sample_idx", F.col("reset").alias("cut"))
-    total = F.max(F.col("sample_idx") * I.EVERY + I.EVERY).over(Window.partitionBy("clip_id"))
-    x = f.withColumn("total_frames", total).drop("speaking").join(spoken.drop("track"), ["clip_id", "sample_idx", "face_idx"], "left").join(resets, ["clip_id", "sample_idx"])
-    x = x.select("clip_id", "sample_idx", "frame", "face_idx", "cx", "area", "conf", F.coalesce("speaking", F.lit(0.0)).alias("speaking"), "cut", "total_frames")
-    return f, focus.focus_keys(x, I.SRC_W, I.SRC_H, I.FPS)
+def _paths(spark, sf, fixed=True):
+    """Everything of each clip's crop, in one pass over its faces."""
+    f = I.faces(spark, sf)
+    px = F.when(F.col("area").cast("long") % 11 != 0, F.array(*[(F.col("k") + j).cast("double") for j in range(4)]))
+    return crop.crop_paths(crop.gathered(f.withColumn("mouth", px), I.cuts(f), I.media(f, fixed)))
 
 
-@query()
-def focus_keyframes(spark, sf):
-    """Key frames of the focus: a fold without SQL; tests have an example for each of its branches."""
-    return _focused(spark, sf)[1]
+@query(f"WITH RECURSIVE {I.SPOKEN} SELECT clip_id, sample_idx, face_idx, track FROM spoken")
+def track_assign(spark, sf):
+    return crop.exploded(_paths(spark, sf), "spoken").drop("speaking")
 
 
-def _crop(spark, sf):
-    f, keys = _focused(spark, sf)
-    one = path.deduplicated(keys)
-    targets = path.interpolated(I.frames(f), one, path.all_cuts(I.cuts(f), one), I.SRC_W / 2)
-    return keys, path.smoothed(targets, int(I.SRC_H * 9 / 16), I.FPS), f
+@query(f"WITH RECURSIVE {I.SPOKEN} SELECT clip_id, sample_idx, face_idx, track, speaking FROM spoken")
+def speaking_scores(spark, sf):
+    """Tracks and speech of faces."""
+    return crop.exploded(_paths(spark, sf), "spoken")
 
 
-@query()
+@query(f"WITH RECURSIVE {I.FOCUS} SELECT clip_id, seq, frame, cx, hard, reset, change FROM keys")
+def focus_keyframes(spark, sf):
+    """Key frames of the focus."""
+    return crop.exploded(_paths(spark, sf), "keys")
+
+
+@query(f"{_CROP} SELECT clip_id, frame, round(least(greatest(c, 303.5), 1616.5), 4) AS cx FROM s")
 def crop_path(spark, sf):
     """The whole way from faces to crop centres."""
-    return path.held(_crop(spark, sf)[1], I.SRC_W, I.SRC_H).select("clip_id", "frame", F.round("cx", 4).alias("cx"))
+    return crop.exploded(_paths(spark, sf), "path").select("clip_id", "frame", F.round("cx", 4).alias("cx"))
 
 
-@query()
+@query(f"""{_CROP} SELECT clip_id, target_keyframes, source_cut_resets, smooth_focus_changes, hard_crop_jumps, coalesce(scene_cuts, 0) AS scene_cuts
+FROM (SELECT clip_id, count(*) AS target_keyframes, count(*) FILTER (reset) AS source_cut_resets, count(*) FILTER (change) AS smooth_focus_changes FROM keys GROUP BY clip_id)
+JOIN (SELECT clip_id, count(*) FILTER (jump) AS hard_crop_jumps FROM s GROUP BY clip_id) USING (clip_id) LEFT JOIN (SELECT clip_id, count(*) AS scene_cuts FROM cuts GROUP BY clip_id) USING (clip_id)""")
 def crop_stats(spark, sf):
     """Counts of each clip's crop path."""
-    keys, smoothed, f = _crop(spark, sf)
-    by_key = keys.groupBy("clip_id").agg(F.count("*").alias("target_keyframes"), F.count_if("reset").alias("source_cut_resets"), F.count_if("change").alias("smooth_focus_changes"))
-    by_frame = smoothed.groupBy("clip_id").agg(F.count_if("jump").alias("hard_crop_jumps"))
-    by_cut = I.cuts(f).groupBy("clip_id").agg(F.count("*").alias("scene_cuts"))
-    return by_key.join(by_frame, "clip_id").join(by_cut, "clip_id", "left").withColumn("scene_cuts", F.coalesce("scene_cuts", F.lit(0)))
+    return crop.stats(_paths(spark, sf))
+
+
+@query()
+def clip_pipeline(spark, sf):
+    """Crop windows of every frame of clips that differ in size and rate: a fold without SQL; tests compare clips of the
+    usual size and rate with crop_path, and others with worked examples."""
+    made = _paths(spark, sf, False)
+    decoded = made.select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame"))
+    return crop.placed(decoded, made)
+
+
+@query("SELECT s_suppkey, round(1 - exp(-1 / greatest(CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 30 END * 0.45::DOUBLE, 1)), 9) AS alpha, greatest(1, trunc(CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 30 END * 0.3::DOUBLE)::INT) AS gap FROM supplier")
+def rate_settings(spark, sf):
+    """What follows from a clip's frames per second: the weight of smoothing and the least gap of cuts."""
+    fps = S.safe_fps(F.col("s_acctbal"))
+    return I.table(spark, sf, "supplier").select("s_suppkey", F.round(S.smoothing_alpha(fps), 9).alias("alpha"), S.cut_gap(fps).alias("gap"))
 
 
 @query(rf"""WITH l AS (SELECT doc_id AS seq, unnest(string_split(regexp_replace(replace(text, chr(10), chr(13)), '\n+$', ''), chr(13))) AS line, generate_subscripts(string_split(regexp_replace(replace(text, chr(10), chr(13)), '\n+$', ''), chr(13)), 1) - 1 AS part FROM documents),
@@ -483,3 +547,10 @@ def log_tail(spark, sf):
     """The last 350 lines: the limit is the report's own."""
     raw = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.translate("text", "\n", "\r").alias("raw"))
     return logs.tail(logs.log_lines(raw))
+
+
+@query("SELECT greatest(0, sum(len(string_split(regexp_replace(replace(text, chr(10), chr(13)), '\n+$', ''), chr(13)))) - 350)::BIGINT AS hidden FROM documents")
+def log_hidden(spark, sf):
+    """How many lines the tail of the log leaves out."""
+    raw = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.translate("text", "\n", "\r").alias("raw"))
+    return logs.hidden(logs.log_lines(raw)).select("hidden")

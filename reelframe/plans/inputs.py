@@ -59,16 +59,85 @@ def keys(faces_: DataFrame) -> DataFrame:
     return faces_.where("face_idx = 0 and sample_idx % 2 = 0").select("clip_id", F.col("sample_idx").alias("seq"), "frame", "cx", (F.col("k") >= 95).alias("hard"))
 
 
-PATH = (
+def media(faces_: DataFrame, fixed: bool = True) -> DataFrame:
+    """What a clip's file says of itself: (clip_id, src_w, src_h, fps, total_frames); one size and rate for all clips, or
+    by clip some that differ, with a rate that is missing."""
+    n = faces_.groupBy("clip_id").agg((F.max("sample_idx") * EVERY + EVERY).alias("total_frames"))
+    k = F.col("clip_id") % 4
+    if fixed:
+        return n.select("clip_id", F.lit(SRC_W).alias("src_w"), F.lit(SRC_H).alias("src_h"), F.lit(FPS).alias("fps"), "total_frames")
+    w, h = F.when(k == 1, 1280).otherwise(SRC_W), F.when(k == 1, 720).otherwise(SRC_H)
+    fps = F.when(k == 0, 0.0).when(k == 1, 25.0).when(k == 2, 60.0).otherwise(FPS)
+    return n.select("clip_id", w.alias("src_w"), h.alias("src_h"), fps.alias("fps"), "total_frames")
+
+
+MEDIA = """media AS (SELECT clip_id, CASE WHEN clip_id % 4 = 1 THEN 1280 ELSE 1920 END AS src_w, CASE WHEN clip_id % 4 = 1 THEN 720 ELSE 1080 END AS src_h,
+  CASE clip_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 25 WHEN 2 THEN 60 ELSE 30 END::DOUBLE AS fps, max(sample_idx) * 7 + 7 AS total_frames FROM faces GROUP BY clip_id)"""
+
+
+_BASE = (
     FACES
     + """,
 samples AS (SELECT clip_id, sample_idx, min(frame) AS frame, count(*) AS n_faces FROM faces GROUP BY ALL),
 cuts AS (SELECT clip_id, frame - 2 AS frame FROM faces WHERE det = 0 AND kind = 'error' AND frame > 2),
-frames AS (SELECT clip_id, unnest(generate_series(0, max(sample_idx) * 7 + 6)) AS frame FROM faces GROUP BY clip_id),
+frames AS (SELECT clip_id, unnest(generate_series(0, max(sample_idx) * 7 + 6)) AS frame FROM faces GROUP BY clip_id)"""
+)
+
+PATH = (
+    _BASE
+    + """,
 keys AS (SELECT clip_id, sample_idx AS seq, frame, cx, k >= 95 AS hard FROM faces WHERE face_idx = 0 AND sample_idx % 2 = 0)"""
 )
 
 
+#: Tracks and speech of faces: in each sample all faces find their tracks, then all tracks move on. A patch is four
+#: pixels k .. k + 3, so two patches differ by the difference of their k; some faces have none.
+SPOKEN = (
+    _BASE
+    + """,
+steps AS (SELECT clip_id, sample_idx, face_idx, cx, CASE WHEN area::BIGINT % 11 <> 0 THEN k END AS px, phase, row_number() OVER (PARTITION BY clip_id ORDER BY sample_idx, phase, face_idx) AS n FROM faces, (VALUES (0), (1)) AS p(phase)),
+said AS (SELECT DISTINCT clip_id, 0::BIGINT AS n, -1::BIGINT AS sample_idx, -1::BIGINT AS face_idx, -1 AS phase, []::STRUCT(cx DOUBLE, px INT, h DOUBLE[])[] AS tracks, []::BIGINT[] AS own, NULL::BIGINT AS track, NULL::DOUBLE AS speaking FROM faces
+ UNION ALL SELECT clip_id, n, sample_idx, face_idx, phase,
+  CASE WHEN phase = 0 AND nr > len(tracks) THEN list_append(tracks, {'cx': cx, 'px': NULL::INT, 'h': []::DOUBLE[]}) WHEN phase = 0 THEN tracks
+   ELSE list_transform(tracks, lambda t, i: CASE WHEN i = nr THEN {'cx': cx, 'px': coalesce(px, t.px), 'h': list_append(t.h, moved)[-2:]} ELSE t END) END,
+  CASE WHEN phase = 1 THEN own WHEN face_idx = 0 THEN [nr] ELSE list_append(own, nr) END, nr - 1,
+  CASE WHEN phase = 1 THEN list_avg(list_append(tracks[nr].h, moved)[-2:]) END
+ FROM (SELECT *, CASE WHEN phase = 1 THEN coalesce(abs(px - tracks[nr].px), 0)::DOUBLE END AS moved
+  FROM (SELECT *, CASE WHEN phase = 1 THEN own[face_idx + 1] WHEN len(d) > 0 AND list_min(d) < 90 THEN list_position(d, list_min(d)) ELSE len(tracks) + 1 END::BIGINT AS nr
+   FROM (SELECT s.*, said.tracks, said.own, list_transform(said.tracks, lambda t: abs(t.cx - s.cx)) AS d FROM said JOIN steps s ON s.clip_id = said.clip_id AND s.n = said.n + 1)))),
+spoken AS (SELECT clip_id, sample_idx, face_idx, track, speaking FROM said WHERE phase = 1)"""
+)
+
+#: The focus, a sample at a time: init, none, lips, wait, pend or rest.
+FOCUS = (
+    SPOKEN
+    + """,
+seen AS (SELECT *, coalesce(lag(frame) OVER (PARTITION BY clip_id ORDER BY frame), -1) AS before, row_number() OVER (PARTITION BY clip_id ORDER BY sample_idx) AS n FROM samples),
+listed AS (SELECT clip_id, sample_idx, list({'cx': cx, 'area': area, 'sp': speaking, 'score': CASE WHEN speaking < 3 THEN area * (0.75::DOUBLE + conf) ELSE (1 - 0.6::DOUBLE) * (area * (0.75::DOUBLE + conf)) + 0.6::DOUBLE * (area * (0.75::DOUBLE + conf)) * (1 + 3 * least(speaking / 20, 1)) END} ORDER BY face_idx) AS fs
+ FROM (SELECT f.clip_id, f.sample_idx, f.face_idx, f.cx, f.area, f.conf, s.speaking FROM faces f JOIN spoken s USING (clip_id, sample_idx, face_idx)) GROUP BY ALL),
+asked AS (SELECT s.clip_id, s.n, s.frame, fs, EXISTS (SELECT 1 FROM cuts c WHERE c.clip_id = s.clip_id AND c.frame > s.before AND c.frame <= s.frame) AS reset, 0.35::DOUBLE * 607 AS r FROM seen s JOIN listed USING (clip_id, sample_idx)),
+focus AS (SELECT DISTINCT clip_id, 0::BIGINT AS n, 0::BIGINT AS frame, NULL::DOUBLE AS cx, 0::DOUBLE AS area, -1000000000::BIGINT AS last, -1::BIGINT AS locked, NULL::DOUBLE AS pending, 0::BIGINT AS since, []::BIGINT[] AS lips, -1::BIGINT AS blocked, FALSE AS hard, FALSE AS reset, FALSE AS change FROM faces
+ UNION ALL SELECT clip_id, n, frame,
+  CASE WHEN act = 'init' THEN fs[best].cx WHEN act IN ('lips', 'switch') THEN fs[other].cx ELSE cx1 END,
+  CASE WHEN act = 'init' THEN fs[best].area WHEN act IN ('lips', 'switch') THEN fs[other].area ELSE area1 END,
+  CASE WHEN act IN ('init', 'lips', 'switch') THEN frame ELSE last1 END,
+  CASE WHEN act IN ('init', 'lips', 'switch') THEN frame + 45 ELSE locked END,
+  CASE WHEN act IN ('init', 'lips', 'switch') THEN NULL WHEN act = 'pend' THEN fs[other].cx WHEN act = 'wait' THEN pending WHEN near IS NOT NULL THEN NULL ELSE pending END,
+  CASE WHEN act IN ('pend', 'switch') THEN since1 ELSE since END,
+  CASE WHEN act = 'lips' THEN list_append(lips1, frame) ELSE lips END,
+  CASE WHEN act = 'lips' THEN frame + [30, 60, 30][least(len(lips1), 2) + 1] ELSE blocked END,
+  act = 'lips', reset, act = 'lips' OR (act = 'switch' AND abs(fs[other].cx - cx1) > r / 2)
+ FROM (SELECT *, CASE WHEN reset OR cx IS NULL THEN 'init' WHEN other IS NULL OR frame < locked THEN 'none' WHEN by_lips AND NOT by_size AND NOT lost THEN CASE WHEN frame >= blocked THEN 'lips' ELSE 'wait' END
+    WHEN by_lips OR by_size OR lost THEN CASE WHEN frame - since1 >= 25 THEN 'switch' ELSE 'pend' END ELSE 'rest' END AS act, list_filter(lips, lambda x: frame - x <= 120) AS lips1
+  FROM (SELECT *, area1 <= 0 OR fs[other].area >= 1.35::DOUBLE * area1 AS by_size, fs[other].sp >= 3 AND fs[other].sp > 1.5::DOUBLE * coalesce(fs[held].sp, 0) AS by_lips, CASE WHEN pending IS NULL OR abs(fs[other].cx - pending) > r THEN frame ELSE since END AS since1
+   FROM (SELECT *, list_position(list_transform(fs, lambda f: abs(f.cx - cx1) <= r), TRUE) AS held, list_position(list_transform(fs, lambda f: CASE WHEN abs(f.cx - cx1) > r THEN f.sp END), list_max(list_transform(fs, lambda f: CASE WHEN abs(f.cx - cx1) > r THEN f.sp END))) AS other
+    FROM (SELECT *, coalesce(fs[near].cx, cx) AS cx1, coalesce(fs[near].area, area) AS area1, CASE WHEN near IS NULL THEN last ELSE frame END AS last1, near IS NULL AND frame - last > 24 AS lost
+     FROM (SELECT *, CASE WHEN list_min(d) <= r THEN list_position(d, list_min(d)) END AS near, list_position(list_transform(fs, lambda f: f.score), list_max(list_transform(fs, lambda f: f.score))) AS best
+      FROM (SELECT a.*, p.cx, p.area, p.last, p.locked, p.pending, p.since, p.lips, p.blocked, list_transform(a.fs, lambda f: abs(f.cx - p.cx)) AS d FROM focus p JOIN asked a ON a.clip_id = p.clip_id AND a.n = p.n + 1))))))),
+keys AS (SELECT clip_id, n - 1 AS seq, frame, least(greatest(cx, 303.5), 1616.5) AS cx, hard, reset, change FROM focus WHERE n > 0)"""
+)
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as clips of a customer's manifest; some lack an id, a length, a score or a caption."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLIP = "struct<clip_id:bigint,start_time:string,end_time:string,duration_seconds:double,speaker:string,viral_score:double,category:string,hook:string,summary:string,suggested_caption:string>"
@@ -56,3 +59,47 @@ def to_json(clips: DataFrame, group: str) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def _rendered(raw: str | None, excluded: list | None) -> str | None:
+    """Indented JSON of a manifest without the excluded clips; every other key and value stays, in its order."""
+    try:
+        doc = json.loads(raw or "")
+    except ValueError:
+        return None
+    if not isinstance(doc, dict) or not isinstance(doc.get("clips"), list):
+        return None
+    out = set(excluded or [])
+    kept = [c for c in doc["clips"] if not isinstance(c, dict) or c.get("clip_id") is None or c["clip_id"] not in out]
+    return json.dumps({**doc, "clips": kept}, ensure_ascii=False, indent=2)
+
+
+def rendered(raw: Column, excluded: Column) -> Column:
+    """The manifest's text to render from: without the clips whose ids are in excluded (an array). Null where the text
+    is no manifest. Values keep their kinds and keys their order, so each text is parsed and written by a small helper."""
+
+    def of(texts: pa.Array, ids: pa.Array) -> pa.Array:
+        return pa.array([_rendered(t, i) for t, i in zip(texts.to_pylist(), ids.to_pylist(), strict=True)], pa.string())
+
+    return F.arrow_udf(of, "string")(raw, excluded)
+
+
+#: Rows that part a listing's names into ranges.
+BOUNDS = 200
+
+
+def numbered(listing: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows with their place from 1 in the given order, in which no two are equal.
+
+    Some rows, picked by hash, bound ranges; a range's rows are numbered by one task, and its first place comes from the
+    counts of the ranges before it. Only bounds and counts, BOUNDS of each at most, are in one place.
+    """
+    key = F.struct(*order)
+    bounds = sorted(tuple(r) for r in listing.select(*order).orderBy(F.xxhash64(*order), *order).limit(BOUNDS).toLocalIterator())
+    kinds = dict(listing.dtypes)
+    of = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for v, c in zip(b, order, strict=True)]) for b in bounds])
+    ranged = listing.withColumn("__r", F.size(F.filter(of, lambda b: b <= key)) if bounds else F.lit(0))
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("__r").agg(F.count("*").alias("__n")).select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
+    place = F.row_number().over(Window.partitionBy("__r").orderBy(*order)) + F.col("__b")
+    return ranged.join(F.broadcast(counts), "__r").withColumn(name, place.cast("long")).drop("__r", "__b")

@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from reelframe.operators import captions, cuts, path
+from reelframe.config import Config
+from reelframe.functions.scalars import smoothing_window
+from reelframe.operators import captions, crop, cuts, logs, path
 from reelframe.operators.focus import Face, Focus, Track, focus_step, speak
 from reelframe.sources import manifest
 
@@ -47,6 +49,94 @@ def test_speech_by_track():
     assert speak(tracks, [Face(540, 1, 1, 40, None)], 2) == [(2, 0.0)]
 
 
+def test_a_missing_patch_keeps_the_last_one():
+    tracks: list[Track] = []
+    mouth = lambda v: None if v is None else np.full((2, 2), v)
+    assert [speak(tracks, [Face(100, 1, 1, 40, mouth(v))], 1)[0][1] for v in (1.0, None, 9.0)] == [0.0, 0.0, 8.0]
+
+
+def test_window_goes_by_the_rate_of_samples():
+    assert smoothing_window(30.0) == 2 and smoothing_window(30.0, Config(face_sample_fps=15.0)) == 7
+
+
+def test_radius_has_the_least_dead_zone():
+    conf = Config(crop_min_deadzone_px=400.0)
+    s = Focus()
+    focus_step(s, 0, [Face(500, 100, 1)], [0.0], False, **STEP, conf=conf)
+    assert focus_step(s, 7, [Face(850, 100, 1)], [0.0], False, **STEP, conf=conf).cx == 850
+
+
+def test_cuts_outside_a_clip_reset_nothing(spark):
+    samples = spark.createDataFrame([(1, 0, 0), (1, 1, 7), (1, 2, 14)], "clip_id bigint, sample_idx bigint, frame bigint")
+    cut = spark.createDataFrame([(1, 0), (1, 7), (1, 12)], "clip_id bigint, frame bigint")
+    media = spark.createDataFrame([(1, 12)], "clip_id bigint, total_frames bigint")
+    assert [r.reset for r in cuts.with_reset(samples, cut).orderBy("frame").collect()] == [False, True, True]
+    assert [r.reset for r in cuts.with_reset(samples, cut, media).orderBy("frame").collect()] == [False, True, False]
+
+
+def face(sample, frame, cx, area=100.0, idx=0):
+    return {"sample_idx": sample, "frame": frame, "face_idx": idx, "cx": cx, "area": area, "conf": 1.0, "width": 40.0, "mouth": None}
+
+
+def test_crop_of_a_clip():
+    made = crop.crop_clip([face(0, 0, 300.0), face(1, 7, 310.0), face(2, 14, 900.0)], [10, 99], 1280, 720, 25.0, 20)
+    assert [(k["frame"], k["cx"], k["reset"]) for k in made["keys"]] == [(0, 300.0, False), (7, 310.0, False), (14, 900.0, True)]
+    at = [p["cx"] for p in made["path"]]
+    # The picture's width is 1280, the crop's 405: a dead zone of 36 pixels hides the step of ten, the cut jumps.
+    assert at[:10] == [300.0] * 10 and at[10:] == [900.0] * 10 and [p["frame"] for p in made["path"] if p["jump"]] == [10]
+
+
+def test_clips_without_faces(spark):
+    none = crop.crop_clip([], [], 1920, 1080, 30.0, 5)
+    assert [k["cx"] for k in none["keys"]] == [960.0] and [p["cx"] for p in none["path"]] == [960.0] * 5
+    blank = {**face(0, 0, None), "face_idx": None}
+    assert crop.crop_clip([blank], [], 1920, 1080, 30.0, 3)["keys"][0]["cx"] == 960.0
+    assert crop.crop_clip([], [], 1920, 1080, 30.0, 0)["path"] == []
+
+
+def test_pass_over_clips(spark):
+    faces = spark.createDataFrame([(1, 0, 0, 0, 300.0, 100.0, 1.0, 40.0, None)], "clip_id bigint, sample_idx bigint, frame bigint, face_idx bigint, cx double, area double, conf double, width double, mouth array<double>")
+    cut = spark.createDataFrame([], "clip_id bigint, frame bigint")
+    media = spark.createDataFrame([(1, 1920, 1080, 0.0, 3), (2, 1920, 1080, 30.0, 2)], "clip_id bigint, src_w int, src_h int, fps double, total_frames bigint")
+    made = crop.crop_paths(crop.gathered(faces, cut, media)).cache()
+    assert {r.clip_id: (r.fps, [p.cx for p in r.path]) for r in made.collect()} == {1: (30.0, [303.5] * 3), 2: (30.0, [960.0] * 2)}
+    frames = spark.createDataFrame([(1, 0), (1, 9), (2, 1)], "clip_id bigint, frame bigint")
+    assert sorted(map(tuple, crop.placed(frames, made).collect())) == [(1, 0, 0, 607), (1, 9, 0, 607), (2, 1, 656, 607)]
+
+
+def test_hidden_lines(spark):
+    lines = spark.range(5).select("id")
+    assert [tuple(logs.hidden(lines, n).first()) for n in (3, 9)] == [(2, "... 2 baris sebelumnya disembunyikan dari live view ..."), (0, None)]
+
+
+def test_manifests_from_files(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"video_title": "é", "own": {"a": [1, null]}, "clips": [{"clip_id": 1, "mine": null}, {"clip_id": null, "b": 2.50}, {"start_time": "0:01"}]}')
+    (tmp_path / "a.MP4").write_bytes(b"x")
+    (tmp_path / "b.txt").write_text("x")
+    raw = manifest.read_manifests(spark, f"file://{tmp_path}/*.json")
+    assert raw.select(manifest.validated(F.col("raw")).alias("s")).first().s == "ok"
+    assert [(r.pos, r.clip_id) for r in manifest.clips_of(raw).orderBy("pos").collect()] == [(0, 1), (1, None), (2, None)]
+    text = raw.select(manifest.rendered(F.col("raw"), F.array(F.lit(1))).alias("t")).first().t
+    assert text.startswith('{\n  "video_title": "é",\n  "own": {') and '"b": 2.5' in text and '"mine"' not in text and '"start_time": "0:01"' in text
+    assert spark.createDataFrame([("[]",), (None,), ('{"clips": 1}',)], "r string").select(manifest.rendered(F.col("r"), F.array(F.lit(1))).alias("t")).distinct().collect() == [(None,)]
+    assert [r.path.rsplit("/", 1)[1] for r in manifest.video_files(spark, f"file://{tmp_path}").collect()] == ["a.MP4"]
+
+
+def test_subtitle_files(spark, tmp_path):
+    words = spark.createDataFrame([(1, 0, 0, "a", 0.0, 0.1), (1, 0, 1, "b", 0.2, 0.3), (2, 0, 0, "c", 0.3, 0.4)], "clip_id bigint, seg_idx int, word_idx int, word string, start double, end double")
+    captions.write_subtitles(captions.events(captions.numbered(words)), f"file://{tmp_path}/out")
+    text = "".join(p.read_text() for p in (tmp_path / "out/clip_id=1").glob("*.txt"))
+    assert text.startswith("[Script Info]") and text.count("Dialogue:") == 2
+
+
+def test_listing_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(manifest, "BOUNDS", 3)
+    names = spark.createDataFrame([(f"n{k * 37 % 50}", k) for k in range(60)], "path string, id int")
+    found = manifest.numbered(names, ["path", "id"], "place").orderBy("place").collect()
+    assert [(r.path, r.id) for r in found] == sorted((r.path, r.id) for r in found) and [r.place for r in found] == list(range(1, 61))
+    assert manifest.numbered(names.limit(0), ["path", "id"], "place").count() == 0
+
+
 STEP = {"src_w": 1920, "src_h": 1080, "fps": 30.0}
 
 

@@ -13,10 +13,15 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_without_sql(spark, name):
-    df = catalog.queries()[name](spark, SMALL)
-    assert df.count() > 0
-    if name == "crop_path":
-        assert df.where("cx < 303.5 or cx > 1616.5").count() == 0
+    assert catalog.queries()[name](spark, SMALL).count() > 0
+
+
+def test_usual_clips_are_cropped_alike(spark):
+    """Clips with 1920 by 1080 pixels and 30, or no, frames a second have the windows of crop_path."""
+    each = catalog.queries()["clip_pipeline"](spark, SMALL).where("clip_id % 4 in (0, 3)")
+    usual = catalog.queries()["crop_path"](spark, SMALL).selectExpr("clip_id", "frame", "greatest(0, least(cast(cx - 303.5 as int), 1313)) as x").where("clip_id % 4 in (0, 3)")
+    both = each.join(usual.withColumnRenamed("x", "y"), ["clip_id", "frame"])
+    assert both.count() == each.count() == usual.count() > 0 and both.where("abs(x - y) > 1").count() == 0
 
 
 def test_entry_without_the_llm_subpackage(tmp_path):

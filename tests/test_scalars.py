@@ -50,3 +50,14 @@ def test_config():
     assert Config.from_env({"REELFRAME_LIP_MIN_MOTION": "2.5"}).lip_min_motion == 2.5
     with pytest.raises(ValueError):
         Config.from_env({"REELFRAME_LIP_MIN_MOTION": "x"})
+
+
+def test_settings_of_the_environment():
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    asked = "from reelframe.config import DEFAULT; from reelframe.functions.scalars import smoothing_window; print(DEFAULT.lip_smooth_sec, smoothing_window(30.0))"
+    made = subprocess.run([sys.executable, "-c", asked], cwd=ROOT, env={"REELFRAME_LIP_SMOOTH_SEC": "2", "PATH": "/usr/bin"}, capture_output=True, text=True, check=True)
+    assert made.stdout.split() == ["2.0", "8"]
