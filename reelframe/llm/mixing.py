@@ -1,16 +1,17 @@
 """Mixing sources to target weights (operator 3), with DataFrame functions only.
 
 The words of a source's documents, in a pseudorandom order, are packed end to end into blocks of BLOCK words. The
-mix has as many slots as its words need, in shards of SHARD slots. A shard draws how many of its slots go to each
-source: what is sure of a multinomial's expectation is taken as it is, the rest is drawn from the multinomial of
-the fractions. A source's slots are numbered on from shard to shard; slot i takes the block that a pseudorandom
-permutation of the source's blocks has at i, a new one for each time around. Slots then join blocks by index.
+mix has as many slots as its words need, in shards of SHARD slots. A shard draws how many of its slots go to each source:
+each slot in turn draws one of the slots that are still to be given, so the counts of a shard are multinomial by what
+remains of the targets, and over all shards they add up to them. All draws together are one pseudorandom permutation of the slots: a
+slot's place under it tells its source, and which of the source's slots it is. Slot i of a source takes the block that a
+pseudorandom permutation of the source's blocks has at i, a new one for each time around. Slots then join blocks by index.
 
 The permutation is a swap-or-not shuffle: in each round an index and its mirror image around a round key change
 places or not, by one bit of a hash of the larger of them. It works for any number of blocks and needs no table.
 
-A target is at most MOST times its source's size, and no block is taken more than MOST times. Sources are few
-beside documents: their table passes through single tasks, documents and blocks never do.
+A target is at most MOST times its source's size, and no block is taken more than MOST times. There may be SOURCES sources
+at most: their table passes through single tasks and goes to all of them, documents, blocks and slots never do.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ MOST = 3
 #: Weights of sources by rank, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
 ROUNDS = 12
+#: Rounds of the permutation of all slots.
+SLOT_ROUNDS = 24
+SOURCES = 10_000
 SEED = 20_240_229
 
 
@@ -82,11 +86,14 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: tuple[fl
     Carried columns keep their values, whatever their names.
     """
     kept = F.struct(*[F.col(c) for c in carry]).alias("row")
-    sized = docs.select("source", "doc_id", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", "text", "source").alias("h"), kept)
+    sized = docs.select("source", F.col("doc_id").alias("__id"), F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", "text", "source").alias("h"), kept)
+    sized = stored(sized, "sized")
     by_source = stored(sources(sized, weights, most), "sources")
+    if by_source.count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     ranked = sized.join(F.broadcast(by_source.select(F.col("source").alias("s"), "rank", "docs")), F.col("source").eqNullSafe(F.col("s"))).drop("source", "s")
     bucket = F.pmod(F.xxhash64("h", F.lit(SEED)), F.ceil(F.col("docs") / TOGETHER))
-    placed = with_running(ranked.where("size > 0"), ["rank"], bucket, [F.col("h"), F.col("doc_id")], F.col("size"), "start")
+    placed = with_running(ranked.where("size > 0"), ["rank"], bucket, [F.col("h"), F.col("__id")], F.col("size"), "start")
     placed = stored(placed.select("rank", "start", "size", "row"), "placed")
     slots = stored(_slots(by_source.where("source_size > 0"), block, shard, most), "slots")
     taken = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
@@ -101,38 +108,32 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: tuple[fl
 def _slots(by_source: DataFrame, block: int, shard: int, most: int) -> DataFrame:
     """(shard, rank, turn, block) of every slot of the mix."""
     blocks = F.ceil(F.col("source_size") / block).cast("long")
-    full = by_source.select("rank", blocks.alias("blocks"), (F.col("target") * blocks / F.col("source_size")).alias("wanted"))
-    # One row with all sources, then one for each shard; a thousand shards make a row first, to be dealt out.
-    one = full.agg(F.sum("wanted").alias("total"), F.array_sort(F.collect_list(F.struct("rank", "wanted"))).alias("parts")).where("total > 0")
-    one = one.select("total", F.round("total").cast("long").alias("slots"), "parts")
-    some = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / (shard * 1000)))).alias("some")).repartition("some")
-    shards = some.select("*", F.explode(F.sequence(F.col("some") * 1000, F.least(F.col("some") * 1000 + 999, F.floor((F.col("slots") - 1) / shard)))).alias("shard"))
-    shards = shards.withColumn("room", F.least(F.lit(shard).cast("long"), F.col("slots") - F.col("shard") * shard))
-    expected = F.transform("parts", lambda p: F.struct(p["rank"].alias("rank"), (p["wanted"] / F.col("total") * F.col("room")).alias("x")))
-    dealt = shards.select("shard", "room", expected.alias("expected"))
-    sure = F.transform("expected", lambda p: F.struct(p["rank"].alias("rank"), F.floor(p["x"]).alias("n")))
-    mass = F.aggregate("expected", F.array().cast("array<double>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + p["x"] - F.floor(p["x"]))))
-    drawn = F.col("room") - F.aggregate("sure", F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
-    dealt = dealt.select("shard", "room", sure.alias("sure"), mass.alias("mass")).withColumn("drawn", drawn)
-    certain = dealt.select("shard", F.inline("sure"))
-    draws = dealt.where("drawn > 0").select("shard", "sure", "mass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("drawn"))).alias("draw"))
-    u = F.pmod(F.xxhash64("shard", "draw", F.lit(SEED)), F.lit(1 << 53)) / 2.0**53 * F.element_at("mass", -1)
-    draws = draws.withColumn("u", u).withColumn("at", F.size(F.filter("mass", lambda m: m <= F.col("u"))))
-    draws = draws.select("shard", F.get(F.col("sure"), F.least(F.col("at"), F.size("sure") - 1))["rank"].alias("rank"), F.lit(1).cast("long").alias("n"))
-    counts = certain.unionByName(draws).groupBy("rank", "shard").agg(F.sum("n").alias("n")).where("n > 0")
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    slots = counts.select("rank", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    slots = slots.join(F.broadcast(full.select("rank", "blocks")), "rank").withColumn("turn", F.floor(F.col("slot") / F.col("blocks")))
-    slots = slots.where(F.col("turn") < most).withColumn("index", F.col("slot") % F.col("blocks"))
+    each = by_source.select("rank", blocks.alias("blocks"), F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), most * blocks).alias("n"))
+    # One row with all sources: their slots lie in order of rank, each source's from first on.
+    listed = F.array_sort(F.collect_list(F.struct("rank", "blocks", "n")))
+    one = each.agg(listed.alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))
+    first = F.transform("parts", lambda p, k: p.withField("first", F.aggregate(F.slice("parts", 1, k), F.lit(0).cast("long"), lambda acc, q: acc + q["n"])))
+    one = stored(one.select(first.alias("parts"), "total"), "shares")
+    total = one.first()["total"]
+    slots = by_source.sparkSession.range(total).select(F.floor(F.col("id") / shard).alias("shard"), F.col("id").alias("index"), F.lit(total).cast("long").alias("total"))
     # Each round refers to the one before it more than once, so each is a column of its own.
+    for r in range(SLOT_ROUNDS):
+        slots = slots.withColumn("index", swapped(F.col("index"), F.col("total"), ROUNDS + r))
+    own = F.element_at(F.filter(F.col("parts"), lambda p: p["first"] <= F.col("index")), -1)
+    slots = slots.withColumn("parts", one.select("parts").scalar()).withColumn("own", own)
+    slots = slots.select("shard", F.col("own.rank").alias("rank"), F.col("own.blocks").alias("blocks"), (F.col("index") - F.col("own.first")).alias("slot"))
+    slots = slots.select("shard", "rank", "blocks", F.floor(F.col("slot") / F.col("blocks")).alias("turn"), (F.col("slot") % F.col("blocks")).alias("index"))
     for r in range(ROUNDS):
         slots = slots.withColumn("index", swapped(F.col("index"), F.col("blocks"), r, F.col("rank"), F.col("turn")))
     return slots.select("shard", "rank", "turn", F.col("index").alias("block"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target and the words taken of every document."""
+    """doc_id, size, source_size, target and the words taken of every document.
+
+    A null or blank text has size 0 and nothing taken; a null source is a source, the last; equal rows are placed and
+    taken each by itself; an empty table stays empty.
+    """
     mixed_ = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     taken = mixed_.pieces.groupBy("rank", "start").agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("taken"))
     some = mixed_.placed.join(taken, ["rank", "start"], "left").select("rank", "row", "size", F.coalesce("taken", F.lit(0)).alias("taken"))

@@ -1,10 +1,10 @@
 """Secret scans (operator 2): an incremental ledger of scanned blobs, with DataFrame functions only.
 
 A history holds versions of texts under paths. A version's text is a blob, known by its content address (SHA-256).
-The ledger has a row for each pair of blob and rule version that was scanned, with the spans found, also where
-there are none. A scan takes the history's distinct blobs, leaves out pairs the ledger has, scans the rest and
-appends them; findings then join back to every path and version that holds the blob. Running it again after new
-versions or new rules scans only what is new.
+The ledger tells for each pair of blob and rule version that was scanned the spans found, also where there are none; a
+scan appends one row for each blob that had pairs missing, with those pairs alone. So a new version of a text is scanned by
+every rule, and a new rule, or a new version of one, scans the known blobs by itself. Findings then join back to every path
+and version that holds the blob. Scans that race may leave a pair twice; it counts once.
 
 Spans come from splitting a text at a rule's matches: lengths of what lies between and of the matches add up to
 code-point offsets, in two linear passes of the regular expression and without Python.
@@ -37,14 +37,15 @@ RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]+", 0, 24),
-    # Added by the ledger's rule set to the three above.
+    # Added by the ledger to the three above.
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+PLACES = "array<struct<start:int,end:int>>"
 
 
-def spans(text: Column, number: int, rule: Rule) -> Column:
+def spans(text: Column, rule: Rule) -> Column:
     """The rule's spans in a text, in order: leftmost matches that don't overlap, less those too short."""
     short_ok = rule.pattern
     if rule.group == 0 and rule.pattern.endswith("+"):
@@ -57,48 +58,55 @@ def spans(text: Column, number: int, rule: Rule) -> Column:
     counted = F.regexp_extract_all(text, F.lit(short_ok), F.lit(rule.group)) if rule.group else whole
     counted = F.transform(counted, F.length)
     parts = F.arrays_zip(between.alias("gap"), sized.alias("size"), counted.alias("counted"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
         z = a + F.coalesce(x["size"], F.lit(0))
-        one = F.array(F.struct(a.alias("start"), F.lit(number).alias("kind"), z.alias("end")))
+        one = F.array(F.struct(a.alias("start"), z.alias("end")))
         return F.struct(z.alias("at"), F.when(x["counted"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(parts, start, add, lambda acc: acc["out"])
-    return F.when(text.rlike(short_ok), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(short_ok), found).otherwise(F.array().cast(PLACES))
 
 
-LEDGER = "blob string, rules string, spans array<struct<start:int,kind:int,end:int>>"
+#: Rows of the ledger: pairs of the blob and a rule version, with the places found.
+LEDGER = f"blob string, pairs array<struct<rule:string,places:{PLACES}>>"
 
 
-def rule_set(rules: tuple[Rule, ...]) -> str:
-    """Names the rules and their versions: a new version makes a new pair with every blob."""
-    return ",".join(f"{r.kind}@{r.version}" for r in rules)
+def name_of(rule: Rule) -> str:
+    return f"{rule.kind}@{rule.version}"
 
 
 def scan(history: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
     """The history with columns blob (its address) and spans, one row for each row of it.
 
-    ledger: a folder of Parquet that is read, and to which newly scanned blobs are appended; none: all are new.
-    A null text is an empty one. Rows with equal texts share one scan.
+    ledger: a folder of Parquet that is read, and to which newly scanned pairs are appended; none: all are new. A null
+    text is an empty one. Rows with equal texts share one scan. The input's columns of the two names are replaced, all
+    others stay. An empty history scans nothing.
     """
-    spark = history.sparkSession
+    spark, history = history.sparkSession, history.drop(*({"blob", "spans"} - {text}))
     content = F.coalesce(F.col(text), F.lit(""))
-    blobs = history.select(F.sha2(content, 256).alias("blob"), content.alias("content"))
-    if ledger is None:
-        ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
-        known = spark.createDataFrame([], LEDGER)
-    else:
-        known = read_ledger(spark, ledger)
-    wanted = rule_set(rules)
-    new = blobs.join(known.where(F.col("rules") == wanted).select("blob"), "blob", "left_anti")
-    new = new.groupBy("blob").agg(F.first("content").alias("content"))
-    found = F.array_sort(F.flatten(F.array(*[spans(F.col("content"), k, r) for k, r in enumerate(rules)])))
-    scanned = new.select("blob", F.lit(wanted).alias("rules"), found.alias("spans"))
-    scanned.write.mode("append").parquet(ledger)
-    hits = read_ledger(spark, ledger).where((F.col("rules") == wanted) & (F.size("spans") > 0)).select("blob", "spans")
-    return history.withColumn("blob", F.sha2(content, 256)).join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    fresh = ledger is None
+    ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    blobs = history.select(F.sha2(content, 256).alias("blob"), content.alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
+    if not fresh:
+        have = read_ledger(spark, ledger).select("blob", F.explode("pairs.rule").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("have"))
+        blobs = blobs.join(have, "blob", "left").where(F.coalesce(F.size(F.array_except(F.array(*[F.lit(name_of(r)) for r in rules]), "have")) > 0, F.lit(True)))
+    wanted = []
+    for r in rules:
+        pair = F.struct(F.lit(name_of(r)).alias("rule"), spans(F.col("content"), r).alias("places"))
+        wanted.append(pair if fresh else F.when(~F.coalesce(F.array_contains("have", name_of(r)), F.lit(False)), pair))
+    pairs = F.array(*wanted)
+    blobs.select("blob", (pairs if fresh else F.array_compact(pairs)).alias("pairs")).write.mode("append").parquet(ledger)
+    kinds = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (name_of(r), k)])
+    hits = read_ledger(spark, ledger).select("blob", F.filter("pairs", lambda p: p["rule"].isin([name_of(r) for r in rules]) & (F.size(p["places"]) > 0)).alias("pairs")).where("size(pairs) > 0")
+    each = F.transform("pairs", lambda p: F.transform(p["places"], lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, p["rule"]).alias("kind"), s["end"].alias("end"))))
+    hits = hits.select("blob", F.flatten(each).alias("spans"))
+    if not fresh:
+        hits = hits.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = history.withColumn("blob", F.sha2(content, 256)).join(hits.withColumnRenamed("spans", "__s"), "blob", "left")
+    return found.withColumn("spans", F.coalesce(F.array_sort("__s"), F.array().cast(SPAN))).drop("__s")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +126,10 @@ def listed(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, digest and list of secrets in every document; each document is a path with one version."""
+    """Counts, digest and list of secrets in every document; each document is a path with one version.
+
+    Every row gives one, repeated ones too; a null or empty text has none; an empty table stays empty.
+    """
     found = scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")

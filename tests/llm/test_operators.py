@@ -104,17 +104,37 @@ def test_secrets(spark, duck, docs, odd):
 
 def test_ledger_scans_only_what_is_new(spark, odd, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
-    count = lambda: spark.read.parquet(ledger).count()
-    secrets.scan(odd.where("doc_id < 5"), ledger=ledger).collect()
-    before = count()
-    secrets.scan(odd.where("doc_id < 5"), ledger=ledger).collect()
-    assert count() == before
+
+    def pairs():
+        return {(r.blob, p.rule) for r in spark.read.parquet(ledger).collect() for p in r.pairs}
+
+    rows = lambda: sum(len(r.pairs) for r in spark.read.parquet(ledger).collect())
+    few = odd.where("doc_id < 5")
+    secrets.scan(few, ledger=ledger).collect()
+    before = pairs()
+    secrets.scan(few, ledger=ledger).collect()
+    assert rows() == len(before) == len(pairs())
     assert secrets.scan(odd, ledger=ledger).count() == len(ODD)
     every = odd.select(F.coalesce("text", F.lit(""))).distinct().count()
-    assert count() == every
-    newer = (secrets.Rule("hex", 2, r"[0-9a-f]+", 0, 30),)
-    secrets.scan(odd, rules=newer, ledger=ledger).collect()
-    assert count() == 2 * every
+    assert rows() == len(pairs()) == 4 * every
+    # A new version of one rule, beside the old ones: only its pairs are new.
+    newer = (*secrets.RULES[:2], secrets.Rule("hex", 2, r"[0-9a-f]+", 0, 30))
+    got = secrets.scan(odd, rules=newer, ledger=ledger).collect()
+    assert rows() == len(pairs()) == 5 * every and len(got) == len(ODD)
+    assert [s["end"] - s["start"] for r in got for s in r.spans if s["kind"] == 2] == [40]
+
+
+def test_history_with_many_paths(spark, tmp_path):
+    """Versions of texts under paths; a blob that two racing scans left twice; columns that clash."""
+    ledger = f"file://{tmp_path}/ledger"
+    rows = [("a", 1, "token: abcdef", 0), ("a", 2, "no more", 0), ("b", 1, "token: abcdef", 0), ("b", 1, "token: abcdef", 0), ("c", 1, None, 0)]
+    history = spark.createDataFrame(rows, "path string, version int, text string, spans int")
+    once = secrets.scan(history, ledger=ledger).select("path", "version", "spans")
+    want = sorted(once.collect())
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger)
+    assert sorted(secrets.scan(history, ledger=ledger).select("path", "version", "spans").collect()) == want
+    assert [(r.path, r.version, len(r.spans)) for r in want] == [("a", 1, 1), ("a", 2, 0), ("b", 1, 1), ("b", 1, 1), ("c", 1, 0)]
+    assert secrets.scan(history.limit(0), ledger=ledger).count() == secrets.scan(history.limit(0)).count() == 0
 
 
 # 3 mixing
