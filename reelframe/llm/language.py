@@ -101,7 +101,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of every document."""
+    """doc_id, held_out, lang_pred, score and rejected of every document.
+
+    A null text, one without a letter, and every text of a table that teaches no language is `und` with score 0; a null
+    doc_id counts as an empty one; every row is answered; an empty table stays empty.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     of = language_of(dictionaries(docs.where(~F.col("held_out"))))
     return docs.select("doc_id", "held_out", of("text").alias("x")).select("doc_id", "held_out", "x.*")

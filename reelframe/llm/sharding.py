@@ -5,7 +5,8 @@ is cut along its widest metadata dimension (each scaled to 0 .. 1 over all kinds
 where its bytes divide as its leaves do. Rows are points; their weight is the size.
 
 A median is found over all nodes of a level at once, digit by digit of a sort key: the place in the dimension, then
-a hash that breaks ties, so one value that many rows share can be cut as well. Each digit takes one aggregation to
+a hash that breaks ties, so one value that many rows share can be cut as well, then one by the row's place in the table,
+so rows that are equal in everything can be. Each digit takes one aggregation to
 at most 2 ** DIGIT sums a node, and running sums over those. Nothing is gathered but the table of the level's nodes.
 """
 
@@ -14,13 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents, stored
+from reelframe.llm.common import documents, dropped, stored
 from reelframe.llm.numbering import TOGETHER, with_running
 
 SHARDS = 16
 LAW = "bytes"
-#: Bits of a digit of the sort key, and digits: one of the place in the dimension, one of the hash.
-DIGIT, DIGITS = 16, 2
+#: Bits of a digit of the sort key, and digits: of the place in the dimension, of the hash, and of the row.
+DIGIT, DIGITS = 16, 3
 SEED = 20_240_306
 OWN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -39,19 +40,19 @@ def dimensions(docs: DataFrame) -> dict[str, Column]:
 def leaves(points: DataFrame, dims: list[str], shards: int = SHARDS) -> DataFrame:
     """The points (size, tie and the columns of dims in 0 .. 1) with a leaf number from 0, as a written table.
 
-    tie is a hash that orders rows with one place. A leaf's bytes come within about half a row, for each level, of
+    tie is a number that orders rows with one place, by its low DIGIT bits. A leaf's bytes come within about half a row, for each level, of
     the table's bytes by shards. With fewer rows than shards some leaves stay empty.
     """
-    points = stored(points.withColumn("leaf", F.lit(0)).withColumn("n", F.lit(shards)), "points")
-    bits = DIGIT * DIGITS // 2
+    again = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << DIGIT))
+    points = stored(points.withColumns({"leaf": F.lit(0), "n": F.lit(shards), "again": again}), "points")
     levels = max(0, (shards - 1).bit_length())
     for _ in range(levels):
         stats = points.where("n > 1").groupBy("leaf", "n").agg(F.sum("size").alias("total"), *[(F.max(d) - F.min(d)).alias(f"w_{d}") for d in dims])
         widest = F.array_max(F.array(*[F.struct(F.col(f"w_{d}").alias("w"), F.lit(-k).alias("k")) for k, d in enumerate(dims)]))
         goal = F.col("total") * F.floor(F.col("n") / 2) / F.col("n")
         nodes = stored(stats.select("leaf", (-widest["k"]).alias("dim"), goal.alias("goal"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below")), "nodes")
-        place = F.floor(F.element_at(F.array(*dims), F.col("dim") + 1) * float((1 << bits) - 1)).cast("long")
-        key = F.shiftleft(place, bits).bitwiseOR(F.pmod("tie", F.lit(1 << bits)))
+        place = F.floor(F.element_at(F.array(*dims), F.col("dim") + 1) * float((1 << DIGIT) - 1)).cast("long")
+        key = F.shiftleft(place, 2 * DIGIT).bitwiseOR(F.shiftleft(F.pmod("tie", F.lit(1 << DIGIT)), DIGIT)).bitwiseOR(F.col("again"))
         for digit in range(DIGITS):
             low = DIGIT * (DIGITS - 1 - digit)
             keyed = points.where("n > 1").join(F.broadcast(nodes), "leaf").select("leaf", "size", key.alias("key"), "prefix")
@@ -65,8 +66,9 @@ def leaves(points: DataFrame, dims: list[str], shards: int = SHARDS) -> DataFram
         half = F.floor(F.col("n") / 2).cast("int")
         moved = points.join(F.broadcast(cuts), "leaf", "left").withColumn("right", F.coalesce(key > F.col("cut"), F.lit(False)) & (F.col("n") > 1))
         moved = moved.withColumn("leaf_", F.when(F.col("right"), F.col("leaf") + half).otherwise(F.col("leaf"))).withColumn("n", F.when(F.col("n") <= 1, F.col("n")).when(F.col("right"), F.col("n") - half).otherwise(half))
-        points = stored(moved.drop("leaf", "dim", "cut", "right").withColumnRenamed("leaf_", "leaf"), "points")
-    return points.drop("n")
+        before, points = points, stored(moved.drop("leaf", "dim", "cut", "right").withColumnRenamed("leaf_", "leaf"), "points")
+        dropped(before)
+    return points.drop("n", "again")
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -90,6 +92,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document."""
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
+
+    Null, empty and repeated rows have shards and slots like all others; an empty table stays empty.
+    """
     found = sharded(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

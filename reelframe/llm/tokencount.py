@@ -27,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.llm.common import documents
+from reelframe.llm.wordhash import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Parts of up to SHORT characters are counted side by side, TOGETHER at a time.
 SHORT, TOGETHER = 64, 20_000
-#: Sections whose counts a Python worker keeps for its next tasks.
-CACHE = 400_000
+#: Sections whose counts a Python worker keeps for its next tasks, and bytes of texts that it counts at a time.
+CACHE = 300_000
+BATCH = 2 << 20
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
@@ -171,8 +173,6 @@ class Counter:
 
 
 def _counted(column: pa.Array, counter: Counter) -> pa.Array:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     # A gap in a text counts as any other character that no piece has.
     text = pc.replace_substring(pc.fill_null(column, ""), counter.gap, counter.other)
     # Each part starts with its mark; a literal mark in the text starts one too.
@@ -209,12 +209,18 @@ def token_counts(pieces: list[tuple[str, float]]):
             _counters.clear()
             counter = _counters[key] = Counter(pieces)
         for column in columns:
-            yield _counted(column, counter)
+            if isinstance(column, pa.ChunkedArray):
+                column = column.combine_chunks()
+            some = [_counted(column.slice(k, len(ends) - 1), counter) for k, _, ends in slices(column, BATCH)]
+            yield pa.concat_arrays(some) if some else pa.array([], pa.int64())
 
     of.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(of, "bigint")
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """doc_id and n_tokens of every document."""
+    """doc_id and n_tokens of every document.
+
+    A null or empty text has 0 tokens; every row is counted, repeated ones too; an empty table stays empty.
+    """
     return documents(spark, sf_dir).select("doc_id", token_counts(vocabulary(model))("text").alias("n_tokens"))

@@ -185,11 +185,12 @@ def fit_chain(labelled: DataFrame, categories: tuple[str, ...], most: int = TRAI
     A category's model leaves out rows where it is null. Without both 0 and 1 among a category's rows its
     probability is constant: the share of ones, 0 where there are no rows.
     """
-    by = F.xxhash64(F.coalesce("text", F.lit("")))
-    known = labelled.select("text", *[F.col(c).cast("double").alias(c) for c in categories])
-    sample = known.orderBy(by, *categories).limit(most).withColumn("fold", F.pmod(F.xxhash64(by, F.lit(7)), F.lit(folds)).cast("int"))
     listed = F.arrow_udf(_features, "array<int>")
-    data = stored(sample.withColumn("features", listed("text")).withColumn("earlier", F.array().cast("array<double>")).drop("text"), "toxicity")
+    by = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    known = labelled.select(by, *[F.col(c).cast("double").alias(c) for c in categories], listed("text").alias("features"))
+    # Features, not texts, come together here: at most so many rows.
+    sample = known.orderBy("h", *categories).limit(most).withColumn("fold", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(folds)).cast("int"))
+    data = stored(sample.withColumn("earlier", F.array().cast("array<double>")).drop("h"), "toxicity")
     weights: list[np.ndarray] = []
     for k, category in enumerate(categories):
         last = k + 1 == len(categories)
@@ -227,7 +228,11 @@ def labelled_documents(docs: DataFrame, marks: DataFrame, categories: tuple[str,
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, probabilities of junk and of toxic, and toxic (boolean) of every document."""
+    """doc_id, probabilities of junk and of toxic, and toxic (boolean) of every document.
+
+    Every row is scored, repeated and empty ones too (a text without words by the constants); labels without a doc_id
+    teach nothing; without labels nothing is toxic; an empty table stays empty.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     categories = ("junk", "toxic")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null")

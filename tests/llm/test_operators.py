@@ -287,6 +287,20 @@ def test_language(spark, odd, empty):
     assert language.dictionaries(empty) == {}
 
 
+def test_smallest_compression_wins(spark, docs):
+    import regex
+    import zstandard
+
+    contents = language.dictionaries(docs)
+    by_name = {}
+    for name, content in contents.items():
+        by_name[name] = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+    for r in docs.select("text", language.language_of(contents)("text").alias("x")).limit(60).collect():
+        data = regex.sub(r"[^\p{L}]+", " ", r.text.lower()).strip().encode()
+        sizes = sorted((sum(len(c.compress(data[k : k + 8192])) for k in range(0, len(data), 8192)), n) for n, c in by_name.items())
+        assert r.x.lang_pred == sizes[0][1] and r.x.score == pytest.approx(1 - sizes[0][0] / sizes[1][0])
+
+
 # 6 sharding
 
 
@@ -309,6 +323,46 @@ def test_sharding(request, which):
         assert max(sums) - min(sums) <= 4 * max(r.size for r in got)
 
 
+def brute_leaves(points, dims, shards):
+    """Leaves of a k-d tree over (size, tie, places), cut at weighted medians."""
+    leaf = [0] * len(points)
+
+    def cut(rows, first, n):
+        for k in rows:
+            leaf[k] = first
+        if n < 2 or not rows:
+            return
+        spread = [max(points[k][2][d] for k in rows) - min(points[k][2][d] for k in rows) for d in range(dims)]
+        d = spread.index(max(spread))
+        key = lambda k: (int(points[k][2][d] * 65535.0), points[k][1])
+        rows, goal, below = sorted(rows, key=key), sum(points[k][0] for k in rows) * (n // 2) / n, 0
+        for i, k in enumerate(rows):
+            if below + points[k][0] >= goal:
+                at = i + 1 if below + points[k][0] - goal <= goal - below else i
+                break
+            below += points[k][0]
+        cut(rows[:at], first, n // 2)
+        cut(rows[at:], first + n // 2, n - n // 2)
+
+    cut(list(range(len(points))), 0, shards)
+    return leaf
+
+
+@pytest.mark.parametrize("shards", [1, 5, 16])
+def test_tree_equals_brute_force(spark, shards):
+    rng = random.Random(shards)
+    points = [(rng.randrange(1, 1000), k * 7919 % 65536, [rng.choice([0.0, 0.3, rng.random()]), rng.random() / 2]) for k in range(300)]
+    rows = spark.createDataFrame([(k, size, tie, *at) for k, (size, tie, at) in enumerate(points)], "k int, size long, tie long, a double, b double")
+    got = [r.leaf for r in sharding.leaves(rows, ["a", "b"], shards).orderBy("k").collect()]
+    assert got == brute_leaves(points, 2, shards)
+
+
+def test_equal_rows_are_cut_apart(spark):
+    rows = spark.range(640).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    n = {r.shard: r["count"] for r in sharding.sharded(rows).groupBy("shard").count().collect()}
+    assert len(n) == 16 and max(n.values()) - min(n.values()) <= 4
+
+
 # 7 near duplicates
 
 
@@ -560,3 +614,36 @@ def test_pipeline(spark):
             assert docs.exceptAll(before).count() == 0
     assert sizes[0] > sizes[1] > 0 and sizes[3] == sizes[4]
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+CLASHES = ("slot", "size", "score", "kept", "leaks", "node", "row", "shard", "h", "words", "n", "key_a", "__q")
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_stages_on_odd_rows(spark, request, which):
+    """Nulls, empty and long texts, repeated rows, no rows, and columns named like those that operators use."""
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(which)
+    docs = docs.withColumns({c: F.concat(F.lit("mine"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SMALL)
+        if name == "sharding":
+            assert after.count() == docs.count()
+            continue
+        assert after.columns == docs.columns and after.where("size != 'mine' || coalesce(cast(doc_id as string), '?') or __q != size").count() == 0
+        assert after.select("doc_id").exceptAll(docs.select("doc_id")).count() <= (3 * docs.count() if name == "mixing" else 0)
+        if name in ("near_dedup", "decontamination"):
+            assert after.exceptAll(docs).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_queries_on_empty_and_wide_tables(spark, empty, odd, tmp_path, name):
+    """No rows give none; every odd row, with further columns, gives one."""
+    for k, (docs, n) in enumerate(((empty, 0), (odd.withColumn("blob", F.lit(1)).withColumn("node", F.lit("x")), len(ODD)))):
+        sf = f"{tmp_path}/{k}"
+        docs.write.parquet(f"{sf}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            part = spark.read.parquet(f"{SMALL}/{t}.parquet")
+            (part if k else part.limit(0)).write.parquet(f"{sf}/{t}.parquet")
+        assert catalog.queries()[name](spark, sf).count() == n
