@@ -533,6 +533,17 @@ def clip_pipeline(spark, sf):
     return crop.placed(decoded, made)
 
 
+@query(rf"""WITH {I.WORDS}, {I.FACES}, {I.MEDIA}, said AS (SELECT clip_id, count(*) AS n FROM words GROUP BY clip_id)
+SELECT clip_id, src_w, src_h, CASE WHEN fps > 0 THEN fps ELSE 30 END::DOUBLE AS fps, total_frames::INT AS n_windows, coalesce(n, 0)::BIGINT AS n_lines, concat_ws(',', 'ass=out/clip_' || clip_id || '.ass', 'drawtext=text=''Talks''{render.CHANNEL}', CASE WHEN clip_id % 2 = 1 THEN 'drawtext=text=''by ' || clip_id || '''{render.CREDIT}' END) AS graph, 'out/clip_' || clip_id || '.mp4' AS path FROM media LEFT JOIN said USING (clip_id)""")
+def render_jobs(spark, sf):
+    """What the encoder gets for each clip: size, rate, windows, subtitle lines, filter graph and path."""
+    said = captions.lines(captions.events(I.words(spark, sf))).groupBy("clip_id").agg(F.count("line").alias("n_lines"))
+    k = F.col("clip_id").cast("string")
+    graph = render.filter_graph(F.concat(F.lit("out/clip_"), k, F.lit(".ass")), F.lit("Talks"), F.when(F.col("clip_id") % 2 == 1, F.concat(F.lit("by "), k)))
+    jobs = _paths(spark, sf, False).select("clip_id", "src_w", "src_h", "fps", F.size("path").alias("n_windows")).join(said, "clip_id", "left")
+    return jobs.withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)), "graph": graph, "path": S.output_path(F.lit("out"), F.concat(F.lit("clip "), k))})
+
+
 @query("SELECT s_suppkey, round(1 - exp(-1 / greatest(CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 30 END * 0.45::DOUBLE, 1)), 9) AS alpha, greatest(1, trunc(CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 30 END * 0.3::DOUBLE)::INT) AS gap FROM supplier")
 def rate_settings(spark, sf):
     """What follows from a clip's frames per second: the weight of smoothing and the least gap of cuts."""
