@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents, dropped, stored
+from reelframe.llm.common import documents, dropped, in_small_batches, stored
 from reelframe.llm.wordhash import Words, hash_text, word_hashes
 
 K1, B = 1.2, 0.75
@@ -230,6 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     holds several items lists them all.
     """
     spark = docs.sparkSession
+    in_small_batches(spark)
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, -(-n // MAX_ITEMS), -(-size // MAX_BYTES))

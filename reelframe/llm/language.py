@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents
+from reelframe.llm.common import documents, in_small_batches
 
 SAMPLE = 400
 EXCERPT = 600
@@ -106,6 +106,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     A null text, one without a letter, and every text of a table that teaches no language is `und` with score 0; a null
     doc_id counts as an empty one; every row is answered; an empty table stays empty.
     """
+    in_small_batches(spark)
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     of = language_of(dictionaries(docs.where(~F.col("held_out"))))
     return docs.select("doc_id", "held_out", of("text").alias("x")).select("doc_id", "held_out", "x.*")

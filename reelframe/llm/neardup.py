@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents, dropped, stored
+from reelframe.llm.common import documents, dropped, in_small_batches, stored
 from reelframe.llm.wordhash import Words, mix, word_hashes
 
 SHINGLE = 5
@@ -297,6 +297,7 @@ def _apart(placed: DataFrame, comps: DataFrame, reps: DataFrame, shingles: DataF
 
 def _classed(docs: DataFrame, least: float) -> DataFrame:
     """doc_id, key_a, key_b, n, class_id and class_size of every row; class_id is null where n is 0."""
+    in_small_batches(docs.sparkSession)
     sign = F.arrow_udf(_signed, SIGNED)
     signed = stored(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"), "signed")
     firsts = [F.first(c).alias(c) for c in ("n", "bands", "sketch_a", "sketch_b")]

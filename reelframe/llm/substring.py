@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents, stored
+from reelframe.llm.common import documents, in_small_batches, stored
 from reelframe.llm.wordhash import SPACES, Words, mix, slices, word_hashes
 
 WINDOW = 13
@@ -46,7 +46,7 @@ ANCHOR = 3
 #: Stands for a null doc_id, which sorts after every other.
 NO_ID = (1 << 63) - 1
 #: Bytes of texts to a slice and to a group, and of segments that a group holds before it folds.
-SLICE, GROUP, FOLD = 4 << 20, 6 << 20, 24 << 20
+SLICE, GROUP, FOLD = 9 << 19, 6 << 20, 24 << 20
 #: Bytes of slices in which anchors are counted. The counts only steer which group a window goes to.
 SAMPLE = 1 << 30
 #: A prefix is frequent if it is the anchor of more segments than this, or of more than this part of them all.
@@ -342,6 +342,7 @@ def _subtree(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
 
 def sliced(docs: DataFrame, n: int = WINDOW) -> tuple[DataFrame, int, np.ndarray]:
     """The texts in slices, as a written table; the number of groups; and the hashes of frequent anchors, in order."""
+    in_small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     every = max(1, total // SAMPLE)
     # Segments are some six windows each, words some six bytes.

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents
+from reelframe.llm.common import documents, in_small_batches
 from reelframe.llm.wordhash import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -223,4 +223,5 @@ def op8_tokens(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFram
 
     A null or empty text has 0 tokens; every row is counted, repeated ones too; an empty table stays empty.
     """
+    in_small_batches(spark)
     return documents(spark, sf_dir).select("doc_id", token_counts(vocabulary(model))("text").alias("n_tokens"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents, stored
+from reelframe.llm.common import documents, in_small_batches, stored
 from reelframe.llm.wordhash import word_hashes
 
 #: Bits of a feature's number.
@@ -233,6 +233,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every row is scored, repeated and empty ones too (a text without words by the constants); labels without a doc_id
     teach nothing; without labels nothing is toxic; an empty table stays empty.
     """
+    in_small_batches(spark)
     docs = documents(spark, sf_dir).select("doc_id", "text")
     categories = ("junk", "toxic")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null")
