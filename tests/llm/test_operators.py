@@ -247,6 +247,7 @@ def test_scores_by_join(spark, docs, odd, monkeypatch):
     key = lambda df: sorted((str(r.doc_id), r.n_words, r.n_repeat_words, round(r.score, 9), r.kept) for r in df.collect())
     by_array = key(quality.judged(rows, labels))
     monkeypatch.setattr(quality, "ARRAY", 0)
+    monkeypatch.setattr(quality, "IDS", 0)
     assert key(quality.judged(rows, labels)) == by_array
 
 
