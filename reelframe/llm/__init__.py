@@ -1 +1 @@
-"""Operators for preparing training data: ten document operators and their queries."""
+"""Operators for preparing training data: the document operators and their queries."""

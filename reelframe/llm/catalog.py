@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import decontam, language, mixing, neardup, quality, secrets, sharding, substring, tokencount, toxicity
+from reelframe.llm import decontam, language, mixing, neardup, quality, runs, secrets, sharding, substring, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokens": tokencount.op8_tokens,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_substring": substring.op10_substring,
+        "op11_runs": runs.op11_runs,
     }
 
 
