@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import decontam, language, mixing, neardup, quality, runs, secrets, sharding, substring, tokencount, toxicity
+from reelframe.llm import codes, decontam, language, mixing, neardup, quality, runs, secrets, sharding, substring, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": decontam.op9_decontamination,
         "op10_substring": substring.op10_substring,
         "op11_runs": runs.op11_runs,
+        "op13_codes": codes.op13_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.OP2_SQL, "op10_substring": substring.OP10_SQL}
+    return {"op2_secrets": secrets.OP2_SQL, "op10_substring": substring.OP10_SQL, "op13_codes": codes.OP13_SQL}
