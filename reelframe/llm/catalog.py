@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import codes, decontam, language, mixing, neardup, quality, runs, secrets, sharding, substring, tokencount, toxicity
+from reelframe.llm import codes, decontam, htmltext, language, mixing, neardup, quality, runs, secrets, sharding, substring, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": decontam.op9_decontamination,
         "op10_substring": substring.op10_substring,
         "op11_runs": runs.op11_runs,
+        "op12_html": htmltext.op12_html,
         "op13_codes": codes.op13_codes,
     }
 
