@@ -9,10 +9,13 @@ from reelframe.config import DEFAULT, Config
 
 WHOLE = r"^[+-]?[0-9]+$"
 
+# White space of any kind in Unicode, with the four separators of records; part of a class in a pattern.
+SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
 
 def stripped(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def timecode_seconds(x: Column) -> Column:
@@ -31,8 +34,8 @@ def caption_time(s: Column) -> Column:
 
 def slug(x: Column) -> Column:
     """A caption as a file name: letters, digits and underscores, 100 characters at most."""
-    plain = F.regexp_replace(x, r"[^\p{L}\p{N}_\s-]", "")
-    return F.substring(F.regexp_replace(F.regexp_replace(plain, r"[-\s]+", "_"), "^_+|_+$", ""), 1, 100)
+    plain = F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}_{SPACE}-]", "")
+    return F.substring(F.regexp_replace(F.regexp_replace(plain, rf"[-{SPACE}]+", "_"), "^_+|_+$", ""), 1, 100)
 
 
 def output_path(folder: Column, caption: Column) -> Column:
@@ -68,10 +71,10 @@ def escape_filter_path(x: Column) -> Column:
 
 
 def escape_html(x: Column) -> Column:
-    """HTML text; a blank line is a hard space."""
+    """HTML text; an empty line is a hard space, one of white space stays as it is."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.when(stripped(x) == "", F.lit("&nbsp;")).otherwise(x)
+    return F.when(x == "", F.lit("&nbsp;")).otherwise(x)
 
 
 def clip_label(clip_id: Column, caption: Column) -> Column:

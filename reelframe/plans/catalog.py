@@ -83,12 +83,16 @@ def score_band(spark, sf):
     return I.clips(spark, sf).select("video", "pos", S.score_band(F.col("viral_score")).alias("band"))
 
 
-@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN printf('%02d:%02d:%02d', o_orderkey % 30, o_orderkey % 60, o_orderkey % 59) WHEN 1 THEN ' ' || o_orderkey || ':07 ' WHEN 2 THEN o_orderkey::VARCHAR WHEN 3 THEN '1:2:3:' || o_orderkey WHEN 4 THEN o_orderkey || ':1.5' ELSE '-1:' || (o_orderkey % 60) END AS ts FROM orders),
-p AS (SELECT *, list_transform(string_split(trim(ts), ':'), lambda x: try_cast(CASE WHEN regexp_full_match(trim(x), '[+-]?[0-9]+') THEN trim(x) END AS BIGINT)) AS v FROM t)
+def _trimmed(x: str) -> str:
+    return rf"regexp_replace({x}, '\A[{S.SPACE}]+|[{S.SPACE}]+\z', '', 'g')"
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN printf('%02d:%02d:%02d', o_orderkey % 30, o_orderkey % 60, o_orderkey % 59) WHEN 1 THEN chr(160) || o_orderkey || ' :07' || chr(8195) WHEN 2 THEN o_orderkey::VARCHAR WHEN 3 THEN '1:2:3:' || o_orderkey WHEN 4 THEN o_orderkey || ':1.5' ELSE '-1:' || (o_orderkey % 60) END AS ts FROM orders),
+p AS (SELECT *, list_transform(string_split(ts, ':'), lambda x: try_cast(CASE WHEN regexp_full_match(""" + _trimmed("x") + """, '[+-]?[0-9]+') THEN """ + _trimmed("x") + """ END AS BIGINT)) AS v FROM t)
 SELECT o_orderkey, ts, coalesce(CASE len(v) WHEN 3 THEN v[1] * 3600 + v[2] * 60 + v[3] WHEN 2 THEN v[1] * 60 + v[2] ELSE v[1] END, 0)::BIGINT AS seconds FROM p""")
 def timecode_parse(spark, sf):
     k = F.col("o_orderkey")
-    kinds = [F.format_string("%02d:%02d:%02d", (k % 30).cast("int"), (k % 60).cast("int"), (k % 59).cast("int")), F.concat(F.lit(" "), k, F.lit(":07 ")), k.cast("string"), F.concat(F.lit("1:2:3:"), k), F.concat(k, F.lit(":1.5"))]
+    kinds = [F.format_string("%02d:%02d:%02d", (k % 30).cast("int"), (k % 60).cast("int"), (k % 59).cast("int")), F.concat(F.lit("\u00a0"), k, F.lit(" :07\u2003")), k.cast("string"), F.concat(F.lit("1:2:3:"), k), F.concat(k, F.lit(":1.5"))]
     ts = F.concat(F.lit("-1:"), k % 60)
     for n, kind in enumerate(kinds):
         ts = F.when(k % 6 == n, kind).otherwise(ts)
@@ -103,24 +107,32 @@ def timecode_format(spark, sf):
     return I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.caption_time(F.col("l_extendedprice") / 7).alias("t"))
 
 
-_SLUG = r"left(regexp_replace(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g'), '[-\s]+', '_', 'g'), '^_+|_+$', '', 'g'), 100)"
+#: Of every five texts two have white space of other kinds at their ends and within.
+_CAPTION = "CASE doc_id % 5 WHEN 0 THEN chr(160) || replace(text, ' ', chr(12288)) || chr(8232) || chr(9) WHEN 1 THEN chr(28) || text || chr(133) || ' ' ELSE text END"
+_SLUG = rf"left(regexp_replace(regexp_replace(regexp_replace({_CAPTION}, '[^\p{{L}}\p{{N}}_{S.SPACE}-]', '', 'g'), '[-{S.SPACE}]+', '_', 'g'), '^_+|_+$', '', 'g'), 100)"
+
+
+def _captions(spark, sf):
+    k, x = F.col("doc_id"), F.col("text")
+    odd = F.when(k % 5 == 0, F.concat(F.lit("\u00a0"), F.replace(x, F.lit(" "), F.lit("\u3000")), F.lit("\u2028\t"))).when(k % 5 == 1, F.concat(F.lit("\x1c"), x, F.lit("\x85 "))).otherwise(x)
+    return I.table(spark, sf, "documents").withColumn("text", odd)
 
 
 @query(f"SELECT doc_id, {_SLUG} AS slug, coalesce({_SLUG}, '') || '.mp4' AS file FROM documents")
 def caption_slug(spark, sf):
     slug = S.slug(F.col("text"))
-    return I.table(spark, sf, "documents").select("doc_id", slug.alias("slug")).withColumn("file", F.concat(F.coalesce("slug", F.lit("")), F.lit(".mp4")))
+    return _captions(spark, sf).select("doc_id", slug.alias("slug")).withColumn("file", F.concat(F.coalesce("slug", F.lit("")), F.lit(".mp4")))
 
 
 @query(f"SELECT doc_id, 'out/' || coalesce(source, '') || '/' || coalesce({_SLUG}, '') || '.mp4' AS path FROM documents")
 def output_path(spark, sf):
     folder = F.concat(F.lit("out/"), F.coalesce("source", F.lit("")))
-    return I.table(spark, sf, "documents").select("doc_id", S.output_path(folder, F.col("text")).alias("path"))
+    return _captions(spark, sf).select("doc_id", S.output_path(folder, F.col("text")).alias("path"))
 
 
 @query(f"SELECT slug, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {_SLUG} AS slug FROM documents) GROUP BY slug HAVING count(*) > 1")
 def slug_collisions(spark, sf):
-    s = I.table(spark, sf, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"))
+    s = _captions(spark, sf).select("doc_id", S.slug(F.col("text")).alias("slug"))
     return s.groupBy("slug").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
@@ -165,13 +177,15 @@ def escape_html(spark, sf):
     return I.table(spark, sf, "pages").where("html is not null").select("page_id", S.escape_html(F.col("html")).alias("t"))
 
 
-_PART = "CASE WHEN trim({0}) <> '' THEN 'drawtext=text=''' || " + _DRAW.format("trim({0})") + " || '''{1}' END"
+def _part(x: str, look: str) -> str:
+    return f"CASE WHEN {_trimmed(x)} <> '' THEN 'drawtext=text=''' || {_DRAW.format(_trimmed(x))} || '''{look}' END"
+
 
 
-@query(rf"""SELECT c_custkey, concat_ws(',', 'ass=' || replace(replace('C:\v\' || c_name, '\', '/'), ':', '\:'), {_PART.format("CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment || ':''' ELSE ' ' END", render.CHANNEL)}, {_PART.format("CASE WHEN c_custkey % 2 > 0 THEN c_name END", render.CREDIT)}) AS graph, c_custkey % 3 > 0 AND c_custkey % 2 > 0 AS ready FROM customer""")
+@query(rf"""SELECT c_custkey, concat_ws(',', 'ass=' || replace(replace('C:\v\' || c_name, '\', '/'), ':', '\:'), {_part("CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment || ':''' || chr(8195) ELSE chr(160) || ' ' END", render.CHANNEL)}, {_part("CASE WHEN c_custkey % 2 > 0 THEN c_name END", render.CREDIT)}) AS graph, c_custkey % 3 > 0 AND c_custkey % 2 > 0 AS ready FROM customer""")
 def filter_graph(spark, sf):
     k = F.col("c_custkey")
-    channel = F.when(k % 3 > 0, F.concat("c_mktsegment", F.lit(":'"))).otherwise(" ")
+    channel = F.when(k % 3 > 0, F.concat("c_mktsegment", F.lit(":'\u2003"))).otherwise("\u00a0 ")
     credit = F.when(k % 2 > 0, F.col("c_name"))
     return I.table(spark, sf, "customer").select("c_custkey", render.filter_graph(F.concat(F.lit("C:\\v\\"), "c_name"), channel, credit).alias("graph"), render.ready(channel, credit).alias("ready"))
 
@@ -551,17 +565,26 @@ def rate_settings(spark, sf):
     return I.table(spark, sf, "supplier").select("s_suppkey", F.round(S.smoothing_alpha(fps), 9).alias("alpha"), S.cut_gap(fps).alias("gap"))
 
 
-@query(rf"""WITH l AS (SELECT doc_id AS seq, unnest(string_split(regexp_replace(replace(text, chr(10), chr(13)), '\n+$', ''), chr(13))) AS line, generate_subscripts(string_split(regexp_replace(replace(text, chr(10), chr(13)), '\n+$', ''), chr(13)), 1) - 1 AS part FROM documents),
+#: Every seventh document has an empty line and one of white space only.
+_LOG = "replace(CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || chr(10) || '  ' || chr(160) || chr(10) || 'end' ELSE text END, chr(10), chr(13))"
+
+
+def _logs(spark, sf):
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n\n  \u00a0\nend"))).otherwise(F.col("text"))
+    return I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.translate(text, "\n", "\r").alias("raw"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id AS seq, unnest(string_split(regexp_replace({_LOG}, '\n+$', ''), chr(13))) AS line, generate_subscripts(string_split(regexp_replace({_LOG}, '\n+$', ''), chr(13)), 1) - 1 AS part FROM documents),
 t AS (SELECT * FROM l ORDER BY seq DESC, part DESC LIMIT 350)
-SELECT seq, part::INT AS part, CASE WHEN trim(line) = '' THEN '&nbsp;' ELSE {_HTML.format("line")} END AS line FROM t""")
+SELECT seq, part::INT AS part, CASE WHEN line = '' THEN '&nbsp;' ELSE {_HTML.format("line")} END AS line FROM t""")
 def log_tail(spark, sf):
     """The last 350 lines: the limit is the report's own."""
-    raw = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.translate("text", "\n", "\r").alias("raw"))
+    raw = _logs(spark, sf)
     return logs.tail(logs.log_lines(raw))
 
 
-@query("SELECT greatest(0, sum(len(string_split(regexp_replace(replace(text, chr(10), chr(13)), '\n+$', ''), chr(13)))) - 350)::BIGINT AS hidden FROM documents")
+@query(f"SELECT greatest(0, sum(len(string_split(regexp_replace({_LOG}, '\n+$', ''), chr(13)))) - 350)::BIGINT AS hidden FROM documents")
 def log_hidden(spark, sf):
     """How many lines the tail of the log leaves out."""
-    raw = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.translate("text", "\n", "\r").alias("raw"))
+    raw = _logs(spark, sf)
     return logs.hidden(logs.log_lines(raw)).select("hidden")

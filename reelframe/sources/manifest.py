@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelframe.functions.scalars import has_suffix, stripped
+
 CLIP = "struct<clip_id:bigint,start_time:string,end_time:string,duration_seconds:double,speaker:string,viral_score:double,category:string,hook:string,summary:string,suggested_caption:string>"
 MANIFEST = f"struct<video_title:string,video_duration:string,clips:array<{CLIP}>>"
 VIDEO_SUFFIXES = (".mp4", ".mkv", ".mov", ".avi")
@@ -20,8 +22,6 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def video_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of the videos in a folder, in order; contents are not read."""
-    from reelframe.functions.scalars import has_suffix
-
     return spark.read.format("binaryFile").load(folder).where(has_suffix(F.col("path"), VIDEO_SUFFIXES)).select("path").orderBy("path")
 
 
@@ -29,7 +29,7 @@ def validated(raw: Column) -> Column:
     """ok, empty (blank text), malformed (no JSON object) or no_clips; null text is blank."""
     doc = F.try_parse_json(raw)
     clips = F.from_json(raw, MANIFEST)["clips"]
-    blank = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", "") == ""
+    blank = stripped(F.coalesce(raw, F.lit(""))) == ""
     return F.when(blank, "empty").when(doc.isNull() | ~F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False)), "malformed").when(F.coalesce(F.size(clips), F.lit(0)) < 1, "no_clips").otherwise("ok")
 
 
@@ -65,18 +65,19 @@ def _rendered(raw: str | None, excluded: list | None) -> str | None:
     """Indented JSON of a manifest without the excluded clips; every other key and value stays, in its order."""
     try:
         doc = json.loads(raw or "")
-    except ValueError:
-        return None
-    if not isinstance(doc, dict) or not isinstance(doc.get("clips"), list):
+        if not isinstance(doc, dict) or not isinstance(doc.get("clips"), list):
+            return None
+        out = list(excluded or [])
+        kept = [c for c in doc["clips"] if not isinstance(c, dict) or c.get("clip_id") is None or c["clip_id"] not in out]
+        return json.dumps({**doc, "clips": kept}, ensure_ascii=False, indent=2).encode("utf-8", "replace").decode()
+    except (ValueError, RecursionError):
+        # No JSON, or nested too deeply to be read. Half a surrogate pair, which JSON may name, becomes a question mark.
         return None
-    out = set(excluded or [])
-    kept = [c for c in doc["clips"] if not isinstance(c, dict) or c.get("clip_id") is None or c["clip_id"] not in out]
-    return json.dumps({**doc, "clips": kept}, ensure_ascii=False, indent=2)
 
 
 def rendered(raw: Column, excluded: Column) -> Column:
     """The manifest's text to render from: without the clips whose ids are in excluded (an array). Null where the text
-    is no manifest. Values keep their kinds and keys their order, so each text is parsed and written by a small helper."""
+    is no manifest or nested too deeply; an id that is a list or an object is among none. Values keep their kinds and keys their order, so each text is parsed and written by a small helper."""
 
     def of(texts: pa.Array, ids: pa.Array) -> pa.Array:
         return pa.array([_rendered(t, i) for t, i in zip(texts.to_pylist(), ids.to_pylist(), strict=True)], pa.string())

@@ -1,5 +1,7 @@
 """Worked examples of the operators."""
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -119,6 +121,9 @@ def test_manifests_from_files(spark, tmp_path):
     text = raw.select(manifest.rendered(F.col("raw"), F.array(F.lit(1))).alias("t")).first().t
     assert text.startswith('{\n  "video_title": "é",\n  "own": {') and '"b": 2.5' in text and '"mine"' not in text and '"start_time": "0:01"' in text
     assert spark.createDataFrame([("[]",), (None,), ('{"clips": 1}',)], "r string").select(manifest.rendered(F.col("r"), F.array(F.lit(1))).alias("t")).distinct().collect() == [(None,)]
+    odd = ['{"clips": [{"clip_id": [1]}, {"clip_id": 1}, {"clip_id": {"a": 2}}]}', '{"clips": ' + "[" * 200_000, '{"clips": [], "x": "\\\\ud800"}'.replace("\\\\", "\\")]
+    found = [r.t for r in spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, r string").orderBy("k").select(manifest.rendered(F.col("r"), F.array(F.lit(1))).alias("t")).collect()]
+    assert json.loads(found[0])["clips"] == [{"clip_id": [1]}, {"clip_id": {"a": 2}}] and found[1] is None and json.loads(found[2])["x"] == "?"
     assert [r.path.rsplit("/", 1)[1] for r in manifest.video_files(spark, f"file://{tmp_path}").collect()] == ["a.MP4"]
 
 

@@ -13,8 +13,8 @@ def each(spark, f, values, kind):
 
 
 def test_timecode(spark):
-    given = ["01:02:03", "2:03", "45", "", "abc", "00:12:34.5", "1:2:3:4", "-1:30", " 7 ", "::", None]
-    assert each(spark, S.timecode_seconds, given, "string") == [3723, 123, 45, 0, 0, 0, 1, -30, 7, 0, 0]
+    given = ["01:02:03", "2:03", "45", "", "abc", "00:12:34.5", "1:2:3:4", "-1:30", " 7 ", "::", None, "\u00a01\u2003:\u20282 "]
+    assert each(spark, S.timecode_seconds, given, "string") == [3723, 123, 45, 0, 0, 0, 1, -30, 7, 0, 0, 62]
 
 
 def test_caption_time(spark):
@@ -27,8 +27,8 @@ def test_score_band(spark):
 
 
 def test_slug(spark):
-    given = ["The 2-minute rule will fix!", "a_ b", "--x--", "!!!", "été à Paris"]
-    assert each(spark, S.slug, given, "string") == ["The_2_minute_rule_will_fix", "a__b", "x", "", "été_à_Paris"]
+    given = ["The 2-minute rule will fix!", "a_ b", "--x--", "!!!", "été à Paris", "a\u00a0b\u3000\x1cc\u2028"]
+    assert each(spark, S.slug, given, "string") == ["The_2_minute_rule_will_fix", "a__b", "x", "", "été_à_Paris", "a_b_c"]
 
 
 def test_percent_bar(spark):
@@ -38,7 +38,8 @@ def test_percent_bar(spark):
 
 def test_escapes(spark):
     assert each(spark, S.escape_drawtext, ["a\\b:c'd"], "string") == ["a\\\\b\\:c\\'d"]
-    assert each(spark, S.escape_html, ["<a & 'b'>", "  "], "string") == ["&lt;a &amp; &#x27;b&#x27;&gt;", "&nbsp;"]
+    assert each(spark, S.escape_html, ["<a & 'b'>", "  ", "", None], "string") == ["&lt;a &amp; &#x27;b&#x27;&gt;", "  ", "&nbsp;", None]
+    assert each(spark, S.stripped, ["\u00a0\x1fa b\x85\u205f"], "string") == ["a b"]
 
 
 def test_cut_predicate(spark):
