@@ -1,116 +1,177 @@
-"""From a clip's faces to its crop path in one pass: tracks, speech, focus, targets and smoothing.
+"""From a clip's faces to its crop path: tracks, speech, focus, targets and smoothing.
 
-Everything that a clip needs is gathered by one shuffle into one row; the folds then run one after the other in plain
-Python. A clip is minutes long, so its samples and frames fit a task; clips are dealt out by their ids.
+Faces, cuts and media meet as one timeline, which one shuffle by clip_id and one sort bring into order. Tracks and focus are
+a fold over it that takes a batch of rows at a time and gives a row for each sample; it holds the tracks and the
+faces of one sample, however long the clip. Its keys go on as pieces (see path.py), whose smoothing is dealt out by
+segments.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.config import DEFAULT, Config
 from reelframe.functions.scalars import safe_fps, smoothing_window
+from reelframe.operators import path
 from reelframe.operators.focus import Face, Focus, Key, Track, clamped, focus_step, mouth_of, speak
-from reelframe.operators.path import smooth
-
-FACE = "struct<sample_idx:bigint,frame:bigint,face_idx:bigint,cx:double,area:double,conf:double,width:double,mouth:array<double>>"
-MADE = (
-    "spoken array<struct<sample_idx:bigint,face_idx:bigint,track:bigint,speaking:double>>,"
-    "keys array<struct<seq:bigint,frame:bigint,cx:double,hard:boolean,reset:boolean,change:boolean>>,"
-    "path array<struct<frame:bigint,cx:double,jump:boolean>>"
-)
-
-
-def targets(keys: list[Key], cuts: list[int], total: int, middle: float) -> list[float]:
-    """A centre for each frame: eased between the keys of a segment; segments begin at cuts. Of keys of one frame
-    the last counts. A segment without keys goes on with the value before it."""
-    of = {k.frame: k.cx for k in keys}
-    starts = [0, *cuts]
-    known: list[list[int]] = [[] for _ in starts]
-    for f in sorted(of):
-        known[bisect_right(starts, f) - 1].append(f)
-    out: list[float] = []
-    for begin, end, frames in zip(starts, [*cuts, total], known, strict=True):
-        if not frames:
-            out += [out[-1] if out else middle] * (end - begin)
-            continue
-        out += [of[frames[0]]] * (frames[0] - begin)
-        for a, b in zip(frames[:-1], frames[1:], strict=True):
-            part = [(f - a) / (b - a) for f in range(a, b)]
-            out += [of[a] + (of[b] - of[a]) * (t * t * (3 - 2 * t)) for t in part]
-        out += [of[frames[-1]]] * (end - frames[-1])
-    return out
-
-
-def crop_clip(faces: list[dict], cuts: list[int], src_w: int, src_h: int, fps: float, total: int, conf: Config = DEFAULT) -> dict:
-    """spoken, keys and path of one clip; a face without face_idx stands for a sample without faces."""
-    window, width = smoothing_window(fps, conf), int(src_h * 9 / 16)
-    cuts = sorted({c for c in cuts if 0 < c < total})
-    samples: dict[tuple[int, int], list[dict]] = {}
-    for f in sorted(faces, key=lambda f: (f["sample_idx"], -1 if f["face_idx"] is None else f["face_idx"])):
-        samples.setdefault((f["sample_idx"], f["frame"]), []).extend([f] if f["face_idx"] is not None else [])
-    tracks: list[Track] = []
-    state, before, spoken, keys = Focus(), -1, [], []
-    for n, ((sample, frame), some) in enumerate(samples.items()):
-        found = [Face(f["cx"], f["area"], f["conf"], f["width"], mouth_of(f["mouth"])) for f in some]
-        said = speak(tracks, found, window)
-        spoken += [{"sample_idx": sample, "face_idx": f["face_idx"], "track": k, "speaking": x} for f, (k, x) in zip(some, said, strict=True)]
-        reset = bisect_right(cuts, frame) > bisect_right(cuts, before)
-        key = focus_step(state, frame, found, [x for _, x in said], reset, src_w, src_h, fps, conf)
-        before = frame
-        if total > 0:
-            keys.append((n, clamped(key, src_w, src_h, total)))
-    if not keys and total > 0:
-        keys.append((0, clamped(Key(0, src_w / 2), src_w, src_h, total)))
-    hard = {k.frame for _, k in keys if k.hard}
-    every = sorted(set(cuts) | hard)
-    at = targets([k for _, k in keys], [c for c in every if c > 0], total, src_w / 2) if total > 0 else []
-    jumps_at = set(every)
-    cx, jumps = smooth(at, [f in jumps_at for f in range(len(at))], width, fps, conf)
-    low, high = width / 2, src_w - width / 2
-    path = [{"frame": f, "cx": min(max(x, low), high), "jump": j} for f, (x, j) in enumerate(zip(cx, jumps, strict=True))]
-    return {"spoken": spoken, "keys": [{"seq": n, "frame": k.frame, "cx": k.cx, "hard": k.hard, "reset": k.reset, "change": k.change} for n, k in keys], "path": path}
-
-
-def gathered(faces: DataFrame, cuts: DataFrame, media: DataFrame) -> DataFrame:
-    """One row for each clip of media (clip_id, src_w, src_h, fps, total_frames), with its faces and cuts."""
-    face = F.struct(*[F.col(c).cast(kind).alias(c) for c, kind in (x.split(":") for x in FACE[7:-1].split(","))])
-    by_face = faces.groupBy("clip_id").agg(F.collect_list(face).alias("faces"))
-    by_cut = cuts.groupBy("clip_id").agg(F.collect_list(F.col("frame").cast("long")).alias("cuts"))
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return media.join(by_face, "clip_id", "left").join(by_cut, "clip_id", "left").select("clip_id", "src_w", "src_h", safe_fps(F.col("fps")).alias("fps"), "total_frames", empty("faces", f"array<{FACE}>"), empty("cuts", "array<bigint>"))
-
-
-def crop_paths(clips: DataFrame, conf: Config = DEFAULT) -> DataFrame:
-    """The gathered clips with spoken, keys and path, and their media."""
-
-    def of(faces: pa.Array, cuts: pa.Array, src_w: pa.Array, src_h: pa.Array, fps: pa.Array, total: pa.Array) -> pa.Array:
-        rows = zip(faces, cuts, src_w, src_h, fps, total, strict=True)
-        return pa.array([crop_clip(*(x.as_py() for x in r), conf) for r in rows], kind)
-
-    number, real, flag = pa.int64(), pa.float64(), pa.bool_()
-    kind = pa.struct([("spoken", pa.list_(pa.struct([("sample_idx", number), ("face_idx", number), ("track", number), ("speaking", real)]))), ("keys", pa.list_(pa.struct([("seq", number), ("frame", number), ("cx", real), ("hard", flag), ("reset", flag), ("change", flag)]))), ("path", pa.list_(pa.struct([("frame", number), ("cx", real), ("jump", flag)])))])
-    made = F.arrow_udf(of, MADE)("faces", "cuts", "src_w", "src_h", "fps", "total_frames")
-    return clips.withColumn("made", made).select("clip_id", "src_w", "src_h", "fps", "total_frames", F.size("cuts").cast("long").alias("scene_cuts"), "made.*")
-
-
-def stats(paths: DataFrame) -> DataFrame:
-    """The counts that a clip's crop path is reported with."""
-    many = lambda c, field: F.size(F.filter(c, lambda x: x[field])).cast("long")
-    return paths.select("clip_id", F.size("keys").cast("long").alias("target_keyframes"), many("keys", "reset").alias("source_cut_resets"), many("keys", "change").alias("smooth_focus_changes"), many("path", "jump").alias("hard_crop_jumps"), "scene_cuts")
-
-
-def placed(frames: DataFrame, paths: DataFrame) -> DataFrame:
-    """x and width for each decoded frame (clip_id, frame): by place, the last centre for frames past the path's end."""
-    width = (F.col("src_h") * 9 / 16).cast("int")
-    centre = F.element_at("path", F.least(F.col("frame") + 1, F.size("path")).cast("int"))["cx"]
-    x = F.greatest(F.lit(0), F.least((centre - width / 2).cast("int"), F.col("src_w") - width))
-    return frames.join(paths.where("size(path) > 0"), "clip_id").select("clip_id", "frame", x.cast("int").alias("x"), width.alias("width"))
-
-
-def exploded(paths: DataFrame, column: str) -> DataFrame:
-    return paths.select("clip_id", F.inline(column))
+
+MEDIA_FIELDS = "src_w int, src_h int, fps double, total_frames bigint"
+FACE_FIELDS = "sample_idx bigint, face_idx bigint, cx double, area double, conf double, width double, mouth array<double>"
+#: A timeline's rows: media (kind 0, before all frames), cuts (1) and faces (2), one without face_idx for a sample without faces.
+ROW = f"frame bigint, kind int, {FACE_FIELDS}, {MEDIA_FIELDS}"
+SAMPLE = f"clip_id bigint, kind int, seq bigint, sample_idx bigint, frame bigint, cx double, hard boolean, reset boolean, change boolean, spoken array<struct<face_idx:bigint,track:bigint,speaking:double>>, {MEDIA_FIELDS}"
+BEGIN, CUT, KEY = 0, 1, 2
+
+
+def row(kind: int, **values: Column) -> Column:
+    """A timeline's row as a struct of ROW."""
+    given = values | {"kind": F.lit(kind)}
+    return F.struct(*[given.get(name, F.lit(None)).cast(of).alias(name) for name, of in (f.split(" ") for f in ROW.split(", "))])
+
+
+def media_row() -> Column:
+    return row(BEGIN, frame=F.lit(-(1 << 62)), src_w=F.col("src_w"), src_h=F.col("src_h"), fps=safe_fps(F.col("fps")), total_frames=F.col("total_frames"))
+
+
+def face_row() -> Column:
+    return row(KEY, **{f.split(" ")[0]: F.col(f.split(" ")[0]) for f in ["frame x", *FACE_FIELDS.split(", ")]})
+
+
+def timeline(faces: DataFrame, cuts: DataFrame, media: DataFrame) -> DataFrame:
+    """One table (clip_id and ROW) of faces (clip_id, frame and FACE_FIELDS), cuts (clip_id, frame) and media (clip_id and
+    MEDIA_FIELDS). Tables that come from one base are better made to rows there, with row(), in one reading."""
+    each = [media.select("clip_id", media_row().alias("r")), cuts.select("clip_id", row(CUT, frame=F.col("frame")).alias("r")), faces.select("clip_id", face_row().alias("r"))]
+    return each[0].union(each[1]).union(each[2]).select("clip_id", "r.*")
+
+
+class Fold:
+    """Tracks, speech and focus of one clip, from its media on."""
+
+    def __init__(self, src_w: int, src_h: int, fps: float, total: int, conf: Config = DEFAULT):
+        self.media, self.conf, self.window = (src_w, src_h, fps, total), conf, smoothing_window(fps, conf)
+        self.tracks: list[Track] = []
+        self.state, self.cut, self.seq = Focus(), False, 0
+
+    def within(self, frame: int) -> bool:
+        return 0 < frame < self.media[3]
+
+    def sample(self, frame: int, faces: list[tuple]) -> tuple[Key | None, list[tuple[int, float]]]:
+        """The key frame (none in a clip without frames), and track and speech of each face (cx, area, conf, width, mouth)."""
+        src_w, src_h, fps, total = self.media
+        found = [Face(cx, area, conf, width, mouth_of(mouth)) for cx, area, conf, width, mouth in faces]
+        said = speak(self.tracks, found, self.window)
+        key = focus_step(self.state, frame, found, [x for _, x in said], self.cut, src_w, src_h, fps, self.conf)
+        self.cut = False
+        return (clamped(key, src_w, src_h, total) if total > 0 else None), said
+
+    def middle(self) -> Key:
+        return clamped(Key(0, self.media[0] / 2), self.media[0], self.media[1], self.media[3])
+
+
+def samples(timeline: DataFrame, conf: Config = DEFAULT, together: bool = False) -> DataFrame:
+    """SAMPLE rows of a timeline: one for each sample (kind 2) with its key frame and what its faces say, one for each cut
+    (1; frame is null where it lies outside the clip), and one for frame 0 of each clip (0).
+
+    The key of a clip without frames is null; a clip without samples has one key in its middle; clips without media are
+    left out. Faces go by frame, sample_idx and face_idx, so the frames of samples grow with their numbers. together says
+    that rows of a clip are in one partition already, as after a window or groupBy over clip_id.
+    """
+    dealt = timeline if together else timeline.repartition("clip_id")
+    names = [f.split(" ")[0] for f in ROW.split(", ")]
+    out = [f.split(" ")[0] for f in SAMPLE.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.struct([("face_idx", pa.int64()), ("track", pa.int64()), ("speaking", pa.float64())])), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+
+    def of(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clip, fold, last = key[0].as_py(), None, None
+        made: list[tuple] = []
+        at, faces = None, []
+
+        def close() -> None:
+            nonlocal at, faces
+            if at is not None:
+                k, said = fold.sample(at[0], [f[1:] for f in faces])
+                spoken = [{"face_idx": f[0], "track": t, "speaking": x} for f, (t, x) in zip(faces, said, strict=True)]
+                made.append((clip, KEY, fold.seq, at[1], *((k.frame, k.cx, k.hard, k.reset, k.change) if k else (None,) * 5), spoken, *fold.media))
+                fold.seq += 1
+            at, faces = None, []
+
+        def batch_of() -> pa.RecordBatch:
+            full = pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], out)
+            made.clear()
+            return full
+
+        for batch in batches:
+            for frame, kind, sample, face, cx, area, sure, width, mouth, *media in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if last is not None and (frame, kind) < last:
+                    raise ValueError("the rows of a clip are out of order")
+                last = (frame, kind)
+                if at is not None and at != (frame, sample):
+                    close()
+                if kind == BEGIN and fold is None:
+                    fold = Fold(*media, conf)
+                    if media[3] > 0:
+                        made.append((clip, BEGIN, None, None, 0, None, False, False, False, None, *media))
+                elif kind == CUT and fold:
+                    inside = fold.within(frame)
+                    fold.cut |= inside
+                    made.append((clip, CUT, None, None, frame if inside else None, None, True, False, False, None, *fold.media))
+                elif kind == KEY and fold:
+                    at = (frame, sample)
+                    if face is not None:
+                        faces.append((face, cx, area, sure, width, mouth))
+            if made:
+                yield batch_of()
+        if fold:
+            close()
+            if not fold.seq and fold.media[3] > 0:
+                k = fold.middle()
+                made.append((clip, KEY, 0, None, k.frame, k.cx, False, False, False, [], *fold.media))
+        if made:
+            yield batch_of()
+
+    of.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return dealt.sortWithinPartitions("clip_id", "frame", "kind", "sample_idx", "face_idx").groupBy("clip_id").applyInArrow(of, SAMPLE)
+
+
+def keys(samples: DataFrame) -> DataFrame:
+    """The key frames of samples."""
+    return samples.where(f"kind = {KEY} and frame is not null").select("clip_id", "seq", "frame", "cx", "hard", "reset", "change")
+
+
+def spoken(samples: DataFrame) -> DataFrame:
+    """Track and speech of each face of samples."""
+    some = samples.select("clip_id", "sample_idx", F.explode_outer("spoken").alias("s"))
+    return some.where("s is not null").select("clip_id", "sample_idx", "s.*")
+
+
+def pieces_of(samples: DataFrame, *more: str) -> DataFrame:
+    """The pieces of the samples' keys and cuts."""
+    marks = samples.where("frame is not null").select("clip_id", "frame", "seq", "cx", F.col("hard").alias("starts"), "src_w", "src_h", "fps", "total_frames", *more)
+    return path.pieces(marks, F.col("src_w") / 2)
+
+
+def paths(samples: DataFrame, conf: Config = DEFAULT) -> DataFrame:
+    """clip_id, frame and cx of every frame, held within the picture, with src_w, src_h and total_frames."""
+    made = path.smoothed(pieces_of(samples), conf, jumps=False, keep=("src_w", "src_h", "total_frames"))
+    return path.held(made, F.col("src_w"), F.col("src_h")).drop("jump")
+
+
+def stats(samples: DataFrame, conf: Config = DEFAULT) -> DataFrame:
+    """The counts that a clip's crop path is reported with; clips without frames have none.
+
+    What samples and cuts add to them goes along with the marks of their frame, so all is one pass over the samples.
+    """
+    one = lambda c: F.when(c, 1).otherwise(0)
+    key = F.col("kind") == KEY
+    counts = {"n_keys": one(key), "n_resets": one(key & F.col("reset")), "n_changes": one(key & F.col("change")), "n_cuts": one(F.col("kind") == CUT)}
+    # Cuts outside a clip count as well; they are put on its first frame.
+    some = samples.withColumns(counts).withColumns({"frame": F.when((F.col("kind") == CUT) & F.col("frame").isNull(), 0).otherwise(F.col("frame")), "hard": F.col("hard") & F.col("frame").isNotNull()})
+    marks = some.where("frame is not null and total_frames > 0").select("clip_id", "frame", "seq", "cx", F.col("hard").alias("starts"), "src_w", "src_h", "fps", "total_frames", *counts)
+    each = path.pieces(marks, F.col("src_w") / 2, sums=tuple(counts)).withColumn("first", F.col("begin"))
+    made = path.smoothed(each, conf, keep=("first", *counts))
+    long = lambda c: F.sum(F.when(F.col("frame") == F.col("first"), F.col(c))).cast("long")
+    return made.groupBy("clip_id").agg(long("n_keys").alias("target_keyframes"), long("n_resets").alias("source_cut_resets"), long("n_changes").alias("smooth_focus_changes"), F.count_if("jump").alias("hard_crop_jumps"), long("n_cuts").alias("scene_cuts"))

@@ -446,14 +446,13 @@ targets AS (SELECT clip_id, frame, is_cut, CASE WHEN p.s = seg AND n.s = seg AND
 _TARGETS = I.PATH + _FRAMES
 
 
-def _targets(spark, sf):
-    f = I.faces(spark, sf)
-    return path.interpolated(I.frames(f), I.keys(f), path.all_cuts(I.cuts(f), I.keys(f)), I.SRC_W / 2)
+def _pieces(spark, sf):
+    return path.pieces(I.marks(I.faces(spark, sf)), F.lit(I.SRC_W / 2))
 
 
 @query(f"WITH {_TARGETS} SELECT clip_id, frame, is_cut, round(cx, 4) AS cx FROM targets")
 def interpolate_targets(spark, sf):
-    return _targets(spark, sf).withColumn("cx", F.round("cx", 4))
+    return path.interpolated(_pieces(spark, sf)).withColumn("cx", F.round("cx", 4))
 
 
 _STEPS = """,
@@ -465,8 +464,13 @@ _SMOOTH = "WITH RECURSIVE " + _TARGETS + _STEPS
 _CROP = "WITH RECURSIVE " + I.FOCUS + _FRAMES + _STEPS
 
 
-def _smoothed(spark, sf):
-    return path.smoothed(_targets(spark, sf), int(I.SRC_H * 9 / 16), I.FPS)
+def _smoothed(spark, sf, **asked):
+    return path.smoothed(_pieces(spark, sf), **asked)
+
+
+def _held(spark, sf):
+    made = _smoothed(spark, sf, jumps=False, keep=("src_w", "src_h", "total_frames"))
+    return path.held(made, F.col("src_w"), F.col("src_h"))
 
 
 @query(f"{_SMOOTH} SELECT clip_id, frame, round(c, 4) AS cx, jump FROM s")
@@ -481,17 +485,15 @@ def hard_jumps(spark, sf):
 
 @query(f"{_SMOOTH} SELECT clip_id, frame, greatest(0, least(trunc(least(greatest(c, 303.5), 1616.5) - 303.5)::INT, 1313)) AS x, 607 AS width FROM s")
 def crop_windows(spark, sf):
-    return path.crop_windows(path.held(_smoothed(spark, sf), I.SRC_W, I.SRC_H), I.SRC_W, I.SRC_H)
+    return path.crop_windows(_held(spark, sf), F.col("src_w"), F.col("src_h"))
 
 
 @query(f"""{_SMOOTH}, m AS (SELECT clip_id, max(frame) AS last FROM s GROUP BY clip_id), o AS (SELECT clip_id, unnest(generate_series(0, last + clip_id % 5)) AS frame, last FROM m)
 SELECT o.clip_id, o.frame, greatest(0, least(trunc(least(greatest(c, 303.5), 1616.5) - 303.5)::INT, 1313)) AS x, 607 AS width FROM o JOIN s ON s.clip_id = o.clip_id AND s.frame = least(o.frame, last)""")
 def output_windows(spark, sf):
     """Windows of the frames that are decoded, some of which may lie past the path's end: the last centre holds there."""
-    f = I.faces(spark, sf)
-    path_ = path.held(_smoothed(spark, sf), I.SRC_W, I.SRC_H).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame", "cx"))).alias("path"))
-    decoded = I.media(f).select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1 + F.col("clip_id") % 5)).alias("frame"))
-    return crop.placed(decoded, path_.withColumns({"src_w": F.lit(I.SRC_W), "src_h": F.lit(I.SRC_H)}))
+    made = path.padded(_held(spark, sf), F.col("total_frames") + F.col("clip_id") % 5)
+    return path.crop_windows(made, F.col("src_w"), F.col("src_h"))
 
 
 @query(f"WITH {I.FACES}, {I.MEDIA} SELECT clip_id, src_w, src_h, CASE WHEN fps > 0 THEN fps ELSE 30 END::DOUBLE AS fps, total_frames FROM media")
@@ -500,34 +502,32 @@ def clip_media(spark, sf):
     return I.media(I.faces(spark, sf), False).withColumn("fps", S.safe_fps(F.col("fps")))
 
 
-def _paths(spark, sf, fixed=True):
-    """Everything of each clip's crop, in one pass over its faces."""
-    f = I.faces(spark, sf)
-    px = F.when(F.col("area").cast("long") % 11 != 0, F.array(*[(F.col("k") + j).cast("double") for j in range(4)]))
-    return crop.crop_paths(crop.gathered(f.withColumn("mouth", px), I.cuts(f), I.media(f, fixed)))
+def _samples(spark, sf, fixed=True):
+    """Tracks, speech and focus of every sample, in one reading and one shuffle by clip."""
+    return crop.samples(I.timeline(I.faces(spark, sf), fixed), together=True)
 
 
 @query(f"WITH RECURSIVE {I.SPOKEN} SELECT clip_id, sample_idx, face_idx, track FROM spoken")
 def track_assign(spark, sf):
-    return crop.exploded(_paths(spark, sf), "spoken").drop("speaking")
+    return crop.spoken(_samples(spark, sf)).drop("speaking")
 
 
 @query(f"WITH RECURSIVE {I.SPOKEN} SELECT clip_id, sample_idx, face_idx, track, speaking FROM spoken")
 def speaking_scores(spark, sf):
     """Tracks and speech of faces."""
-    return crop.exploded(_paths(spark, sf), "spoken")
+    return crop.spoken(_samples(spark, sf))
 
 
 @query(f"WITH RECURSIVE {I.FOCUS} SELECT clip_id, seq, frame, cx, hard, reset, change FROM keys")
 def focus_keyframes(spark, sf):
     """Key frames of the focus."""
-    return crop.exploded(_paths(spark, sf), "keys")
+    return crop.keys(_samples(spark, sf))
 
 
 @query(f"{_CROP} SELECT clip_id, frame, round(least(greatest(c, 303.5), 1616.5), 4) AS cx FROM s")
 def crop_path(spark, sf):
     """The whole way from faces to crop centres."""
-    return crop.exploded(_paths(spark, sf), "path").select("clip_id", "frame", F.round("cx", 4).alias("cx"))
+    return crop.paths(_samples(spark, sf)).select("clip_id", "frame", F.round("cx", 4).alias("cx"))
 
 
 @query(f"""{_CROP} SELECT clip_id, target_keyframes, source_cut_resets, smooth_focus_changes, hard_crop_jumps, coalesce(scene_cuts, 0) AS scene_cuts
@@ -535,16 +535,13 @@ FROM (SELECT clip_id, count(*) AS target_keyframes, count(*) FILTER (reset) AS s
 JOIN (SELECT clip_id, count(*) FILTER (jump) AS hard_crop_jumps FROM s GROUP BY clip_id) USING (clip_id) LEFT JOIN (SELECT clip_id, count(*) AS scene_cuts FROM cuts GROUP BY clip_id) USING (clip_id)""")
 def crop_stats(spark, sf):
     """Counts of each clip's crop path."""
-    return crop.stats(_paths(spark, sf))
+    return crop.stats(_samples(spark, sf))
 
 
-@query()
+@query(f"{I.by_rate(_CROP)} SELECT s.clip_id, frame, greatest(0, least(trunc(least(greatest(c, half), src_w - half) - half)::INT, src_w - w))::INT AS x, w AS width FROM s JOIN rates USING (clip_id)")
 def clip_pipeline(spark, sf):
-    """Crop windows of every frame of clips that differ in size and rate: a fold without SQL; tests compare clips of the
-    usual size and rate with crop_path, and others with worked examples."""
-    made = _paths(spark, sf, False)
-    decoded = made.select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame"))
-    return crop.placed(decoded, made)
+    """Crop windows of every frame of clips that differ in size and rate."""
+    return path.crop_windows(crop.paths(_samples(spark, sf, False)), F.col("src_w"), F.col("src_h"))
 
 
 @query(rf"""WITH {I.WORDS}, {I.FACES}, {I.MEDIA}, said AS (SELECT clip_id, count(*) AS n FROM words GROUP BY clip_id)
@@ -554,7 +551,8 @@ def render_jobs(spark, sf):
     said = captions.lines(captions.events(I.words(spark, sf))).groupBy("clip_id").agg(F.count("line").alias("n_lines"))
     k = F.col("clip_id").cast("string")
     graph = render.filter_graph(F.concat(F.lit("out/clip_"), k, F.lit(".ass")), F.lit("Talks"), F.when(F.col("clip_id") % 2 == 1, F.concat(F.lit("by "), k)))
-    jobs = _paths(spark, sf, False).select("clip_id", "src_w", "src_h", "fps", F.size("path").alias("n_windows")).join(said, "clip_id", "left")
+    # Each frame has a window, so their number needs no path.
+    jobs = clip_media(spark, sf).select("clip_id", "src_w", "src_h", "fps", F.col("total_frames").cast("int").alias("n_windows")).join(said, "clip_id", "left")
     return jobs.withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)), "graph": graph, "path": S.output_path(F.lit("out"), F.concat(F.lit("clip "), k))})
 
 

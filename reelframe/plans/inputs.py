@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelframe.operators import crop
+
 SRC_W, SRC_H, FPS = 1920, 1080, 30.0
 EVERY = 7
+#: Which faces stand for a cut, a simple key, and a clip as a whole.
+CUT_IF, KEY_IF, FIRST_IF = "det = 0 and kind = 'error' and frame > 2", "face_idx = 0 and sample_idx % 2 = 0", "det = 0 and sample_idx = 0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +50,7 @@ def samples(faces_: DataFrame) -> DataFrame:
 
 def cuts(faces_: DataFrame) -> DataFrame:
     """Two frames before each sample whose first event is an error."""
-    return faces_.where("det = 0 and kind = 'error' and frame > 2").select("clip_id", (F.col("frame") - 2).alias("frame"))
+    return faces_.where(CUT_IF).select("clip_id", (F.col("frame") - 2).alias("frame"))
 
 
 def frames(faces_: DataFrame) -> DataFrame:
@@ -56,19 +60,45 @@ def frames(faces_: DataFrame) -> DataFrame:
 
 def keys(faces_: DataFrame) -> DataFrame:
     """Simple key frames: the largest face of every other sample, hard where it speaks loudest."""
-    return faces_.where("face_idx = 0 and sample_idx % 2 = 0").select("clip_id", F.col("sample_idx").alias("seq"), "frame", "cx", (F.col("k") >= 95).alias("hard"))
+    return faces_.where(KEY_IF).select("clip_id", F.col("sample_idx").alias("seq"), "frame", "cx", (F.col("k") >= 95).alias("hard"))
+
+
+def _media(fixed: bool) -> dict:
+    k = F.col("clip_id") % 4
+    if fixed:
+        return {"src_w": F.lit(SRC_W), "src_h": F.lit(SRC_H), "fps": F.lit(FPS)}
+    fps = F.when(k == 0, 0.0).when(k == 1, 25.0).when(k == 2, 60.0).otherwise(FPS)
+    return {"src_w": F.when(k == 1, 1280).otherwise(SRC_W), "src_h": F.when(k == 1, 720).otherwise(SRC_H), "fps": fps}
 
 
 def media(faces_: DataFrame, fixed: bool = True) -> DataFrame:
     """What a clip's file says of itself: (clip_id, src_w, src_h, fps, total_frames); one size and rate for all clips, or
     by clip some that differ, with a rate that is missing."""
     n = faces_.groupBy("clip_id").agg((F.max("sample_idx") * EVERY + EVERY).alias("total_frames"))
-    k = F.col("clip_id") % 4
-    if fixed:
-        return n.select("clip_id", F.lit(SRC_W).alias("src_w"), F.lit(SRC_H).alias("src_h"), F.lit(FPS).alias("fps"), "total_frames")
-    w, h = F.when(k == 1, 1280).otherwise(SRC_W), F.when(k == 1, 720).otherwise(SRC_H)
-    fps = F.when(k == 0, 0.0).when(k == 1, 25.0).when(k == 2, 60.0).otherwise(FPS)
-    return n.select("clip_id", w.alias("src_w"), h.alias("src_h"), fps.alias("fps"), "total_frames")
+    return n.withColumns(_media(fixed)).select("clip_id", "src_w", "src_h", "fps", "total_frames")
+
+
+def _with_media(faces_: DataFrame, fixed: bool = True) -> DataFrame:
+    """The faces with their clip's media, so that what is made of them needs one reading and no join."""
+    return faces_.withColumn("total_frames", F.max("sample_idx").over(Window.partitionBy("clip_id")) * EVERY + EVERY).withColumns(_media(fixed))
+
+
+def timeline(faces_: DataFrame, fixed: bool = True) -> DataFrame:
+    """Faces, the cuts of cuts() and the media of media() as a timeline; a clip's rows are together."""
+    px = F.when(F.col("area").cast("long") % 11 != 0, F.array(*[(F.col("k") + j).cast("double") for j in range(4)]))
+    cut = F.when(F.expr(CUT_IF), crop.row(crop.CUT, frame=F.col("frame") - 2))
+    each = F.array_compact(F.array(crop.face_row(), cut, F.when(F.expr(FIRST_IF), crop.media_row())))
+    return _with_media(faces_, fixed).withColumn("mouth", px).select("clip_id", F.inline(each))
+
+
+def marks(faces_: DataFrame) -> DataFrame:
+    """The keys of keys(), the cuts of cuts() and frame 0 of each clip as marks."""
+    null = F.lit(None)
+    mark = lambda frame, seq, cx, starts: F.struct(frame.cast("long").alias("frame"), seq.cast("long").alias("seq"), cx.cast("double").alias("cx"), starts.alias("starts"))
+    key = F.when(F.expr(KEY_IF), mark(F.col("frame"), F.col("sample_idx"), F.col("cx"), F.col("k") >= 95))
+    cut = F.when(F.expr(CUT_IF), mark(F.col("frame") - 2, null, null, F.lit(True)))
+    each = F.array_compact(F.array(key, cut, F.when(F.expr(FIRST_IF), mark(F.lit(0), null, null, F.lit(False)))))
+    return _with_media(faces_).select("clip_id", "src_w", "src_h", "fps", "total_frames", F.inline(each))
 
 
 MEDIA = """media AS (SELECT clip_id, CASE WHEN clip_id % 4 = 1 THEN 1280 ELSE 1920 END AS src_w, CASE WHEN clip_id % 4 = 1 THEN 720 ELSE 1080 END AS src_h,
@@ -138,6 +168,32 @@ keys AS (SELECT clip_id, n - 1 AS seq, frame, least(greatest(cx, 303.5), 1616.5)
 )
 
 
+#: What follows from each clip's size and rate.
+RATES = """rates AS (SELECT *, w / 2::DOUBLE AS half, greatest(0.35::DOUBLE * w, 36) AS r, trunc(fps * 1.5::DOUBLE)::BIGINT AS lock, trunc(fps * 0.8::DOUBLE)::BIGINT AS grace, trunc(fps * 0.85::DOUBLE)::BIGINT AS confirm,
+  trunc(fps)::BIGINT AS short, trunc(fps * 2)::BIGINT AS long, trunc(fps * 4)::BIGINT AS burst, greatest(0.07::DOUBLE * w, 36) AS dz, greatest(480 / fps, 1) AS vmax, 1 - exp(-1 / greatest(fps * 0.45::DOUBLE, 1)) AS alpha
+ FROM (SELECT clip_id, src_w, total_frames, trunc(src_h * 9 / 16)::INT AS w, CASE WHEN fps > 0 THEN fps ELSE 30 END AS fps FROM media))"""
+
+
+def by_rate(sql: str) -> str:
+    """SQL of the focus and the path of clips of one size and rate, for clips that each have their own."""
+    for fixed, own in [
+        ("samples AS (SELECT clip_id, sample_idx, min(frame)", f"{MEDIA},\n{RATES},\nsamples AS (SELECT clip_id, sample_idx, min(frame)"),
+        ("0.35::DOUBLE * 607 AS r FROM seen s JOIN listed USING (clip_id, sample_idx)", "g.r, g.lock, g.grace, g.confirm, g.short, g.long, g.burst FROM seen s JOIN listed USING (clip_id, sample_idx) JOIN rates g ON g.clip_id = s.clip_id"),
+        ("frame + 45", "frame + lock"),
+        ("[30, 60, 30]", "[short, long, short]"),
+        ("frame - since1 >= 25", "frame - since1 >= confirm"),
+        ("frame - x <= 120", "frame - x <= burst"),
+        ("frame - last > 24", "frame - last > grace"),
+        ("least(greatest(cx, 303.5), 1616.5) AS cx, hard, reset, change FROM focus WHERE n > 0", "least(greatest(cx, half), src_w - half) AS cx, hard, reset, change FROM focus JOIN rates USING (clip_id) WHERE n > 0"),
+        ("coalesce(p.k, 960)", "coalesce(p.k, (SELECT src_w / 2 FROM rates g WHERE g.clip_id = t3.clip_id))"),
+        ("g AS (SELECT 42.49::DOUBLE AS dz, 16::DOUBLE AS vmax, 1 - exp(-1 / 13.5::DOUBLE) AS alpha)", "g AS (SELECT clip_id AS of, dz, vmax, alpha FROM rates)"),
+        ("t.frame = s.frame + 1, g)", "t.frame = s.frame + 1 JOIN g ON g.of = s.clip_id)"),
+    ]:
+        assert fixed in sql, fixed
+        sql = sql.replace(fixed, own)
+    return sql
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as clips of a customer's manifest; some lack an id, a length, a score or a caption."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))

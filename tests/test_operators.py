@@ -10,6 +10,7 @@ from reelframe.functions.scalars import smoothing_window
 from reelframe.operators import captions, crop, cuts, logs, path
 from reelframe.operators.focus import Face, Focus, Track, focus_step, speak
 from reelframe.sources import manifest
+from tests import plain
 
 
 def test_captions_cross_segments(spark):
@@ -29,12 +30,18 @@ def test_exclusion_keeps_null_ids(spark):
     assert sorted(manifest.included(clips, clips.where("clip_id = 1")).collect(), key=str) == [(2,), (None,)]
 
 
+MEDIA = "clip_id bigint, src_w int, src_h int, fps double, total_frames bigint"
+
+
 def test_interpolation(spark):
-    frames = spark.range(10).select(F.lit(1).cast("long").alias("clip_id"), F.col("id").alias("frame"))
-    keys = spark.createDataFrame([(1, 2, 100.0), (1, 6, 200.0)], "clip_id bigint, frame bigint, cx double")
-    cut = spark.createDataFrame([(1, 8)], "clip_id bigint, frame bigint")
-    found = [r.cx for r in path.interpolated(frames, keys, cut, 960.0).orderBy("frame").collect()]
-    assert found == [100, 100, 100, 115.625, 150, 184.375, 200, 200, 200, 200]
+    keys = spark.createDataFrame([(1, 0, 2, 100.0, False), (1, 1, 6, 150.0, False), (1, 2, 6, 200.0, False), (2, 0, 3, 50.0, True), (1, 3, 99, 5.0, False)], "clip_id bigint, seq bigint, frame bigint, cx double, hard boolean")
+    cut = spark.createDataFrame([(1, 8), (1, 0), (1, -3), (3, 1)], "clip_id bigint, frame bigint")
+    media = spark.createDataFrame([(1, 1920, 1080, 30.0, 10), (2, 1920, 1080, 30.0, 5), (3, 1920, 1080, 30.0, 3)], MEDIA)
+    pieces = path.pieces(path.marks(keys, cut, media), F.lit(960.0))
+    found = [(r.clip_id, r.cx, r.is_cut) for r in path.interpolated(pieces).orderBy("clip_id", "frame").collect()]
+    assert [x for c, x, _ in found if c == 1] == [100, 100, 100, 115.625, 150, 184.375, 200, 200, 200, 200]
+    assert [(x, cut) for c, x, cut in found if c == 2] == [(960, False)] * 3 + [(50, True), (50, False)]
+    assert [(x, cut) for c, x, cut in found if c == 3] == [(960, False), (960, True), (960, False)]
 
 
 def test_smoothing():
@@ -81,29 +88,87 @@ def face(sample, frame, cx, area=100.0, idx=0):
 
 
 def test_crop_of_a_clip():
-    made = crop.crop_clip([face(0, 0, 300.0), face(1, 7, 310.0), face(2, 14, 900.0)], [10, 99], 1280, 720, 25.0, 20)
+    made = plain.crop_clip([face(0, 0, 300.0), face(1, 7, 310.0), face(2, 14, 900.0)], [10, 99], 1280, 720, 25.0, 20)
     assert [(k["frame"], k["cx"], k["reset"]) for k in made["keys"]] == [(0, 300.0, False), (7, 310.0, False), (14, 900.0, True)]
     at = [p["cx"] for p in made["path"]]
     # The picture's width is 1280, the crop's 405: a dead zone of 36 pixels hides the step of ten, the cut jumps.
     assert at[:10] == [300.0] * 10 and at[10:] == [900.0] * 10 and [p["frame"] for p in made["path"] if p["jump"]] == [10]
 
 
-def test_clips_without_faces(spark):
-    none = crop.crop_clip([], [], 1920, 1080, 30.0, 5)
-    assert [k["cx"] for k in none["keys"]] == [960.0] and [p["cx"] for p in none["path"]] == [960.0] * 5
-    blank = {**face(0, 0, None), "face_idx": None}
-    assert crop.crop_clip([blank], [], 1920, 1080, 30.0, 3)["keys"][0]["cx"] == 960.0
-    assert crop.crop_clip([], [], 1920, 1080, 30.0, 0)["path"] == []
+FACES = "clip_id bigint, sample_idx bigint, frame bigint, face_idx bigint, cx double, area double, conf double, width double, mouth array<double>"
+CUTS = "clip_id bigint, frame bigint"
 
 
 def test_pass_over_clips(spark):
-    faces = spark.createDataFrame([(1, 0, 0, 0, 300.0, 100.0, 1.0, 40.0, None)], "clip_id bigint, sample_idx bigint, frame bigint, face_idx bigint, cx double, area double, conf double, width double, mouth array<double>")
-    cut = spark.createDataFrame([], "clip_id bigint, frame bigint")
-    media = spark.createDataFrame([(1, 1920, 1080, 0.0, 3), (2, 1920, 1080, 30.0, 2)], "clip_id bigint, src_w int, src_h int, fps double, total_frames bigint")
-    made = crop.crop_paths(crop.gathered(faces, cut, media)).cache()
-    assert {r.clip_id: (r.fps, [p.cx for p in r.path]) for r in made.collect()} == {1: (30.0, [303.5] * 3), 2: (30.0, [960.0] * 2)}
-    frames = spark.createDataFrame([(1, 0), (1, 9), (2, 1)], "clip_id bigint, frame bigint")
-    assert sorted(map(tuple, crop.placed(frames, made).collect())) == [(1, 0, 0, 607), (1, 9, 0, 607), (2, 1, 656, 607)]
+    """Clips with one face, without faces, with an empty sample, without frames, and faces without a clip."""
+    faces = spark.createDataFrame([(1, 0, 0, 0, 300.0, 100.0, 1.0, 40.0, None), (3, 0, 0, None, None, None, None, None, None), (4, 0, 0, 0, 1.0, 1.0, 1.0, None, [1.0]), (9, 0, 0, 0, 1.0, 1.0, 1.0, 1.0, None)], FACES)
+    media = spark.createDataFrame([(1, 1920, 1080, 0.0, 3), (2, 1920, 1080, 30.0, 2), (3, 1920, 1080, 30.0, 3), (4, 1920, 1080, 30.0, 0)], MEDIA)
+    samples = crop.samples(crop.timeline(faces, spark.createDataFrame([], CUTS), media)).cache()
+    made = crop.paths(samples)
+    assert sorted((r.clip_id, r.frame, r.cx) for r in made.collect()) == [(1, k, 303.5) for k in range(3)] + [(2, k, 960.0) for k in range(2)] + [(3, k, 960.0) for k in range(3)]
+    assert sorted(tuple(r) for r in crop.keys(samples).select("clip_id", "seq", "frame", "cx").collect()) == [(1, 0, 0, 303.5), (2, 0, 0, 960.0), (3, 0, 0, 960.0)]
+    assert sorted((r.clip_id, r.track) for r in crop.spoken(samples).collect()) == [(1, 0), (4, 0)]
+    padded = path.crop_windows(path.padded(made, F.when(F.col("clip_id") == 1, 5).otherwise(1)), F.col("src_w"), F.col("src_h"))
+    assert sorted(map(tuple, padded.collect())) == [(1, k, 0, 607) for k in range(5)] + [(2, 0, 656, 607), (3, 0, 656, 607)]
+
+
+def clip_of(samples, seed=4, every=7):
+    rng = np.random.default_rng(seed)
+    faces = [(1, k, k * every, j, float(rng.integers(0, 1920)), float(rng.integers(1, 40000)), float(rng.random()), 120.0, [float(rng.integers(0, 9))] * 4 if rng.random() < 0.9 else None) for k in range(samples) for j in range(int(rng.integers(1, 4)))]
+    cuts = [(1, int(x)) for x in rng.integers(-20, samples * every + 50, samples // 15)]
+    return faces, cuts, samples * every + 3
+
+
+def test_long_clip(spark):
+    """A clip of 17,503 frames: keys, speech, path, jumps and counts as a plain pass has them, its segments in many tasks."""
+    faces, cut, total = clip_of(2500)
+    names = [c.split()[0] for c in FACES.split(", ")]
+    made = plain.crop_clip([dict(zip(names, f, strict=True)) for f in faces], [c for _, c in cut], 1280, 720, 25.0, total)
+    media = spark.createDataFrame([(1, 1280, 720, 25.0, total)], MEDIA)
+    samples = crop.samples(crop.timeline(spark.createDataFrame(faces, FACES).repartition(5), spark.createDataFrame(cut, CUTS), media)).cache()
+    assert sorted(tuple(r)[1:] for r in crop.spoken(samples).collect()) == sorted((s["sample_idx"], s["face_idx"], s["track"], s["speaking"]) for s in made["spoken"])
+    assert [tuple(r)[1:] for r in crop.keys(samples).orderBy("seq").collect()] == [tuple(k.values()) for k in made["keys"]]
+    found = path.smoothed(crop.pieces_of(samples), keep=("src_w", "src_h"))
+    rows = path.held(found, F.col("src_w"), F.col("src_h")).orderBy("frame").collect()
+    assert [(r.frame, r.cx, r.jump) for r in rows] == [(p["frame"], p["cx"], p["jump"]) for p in made["path"]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found.select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    many = lambda field, of: sum(x[field] for x in made[of])
+    assert tuple(crop.stats(samples).first()) == (1, len(made["keys"]), many("reset", "keys"), many("change", "keys"), many("jump", "path"), len(cut))
+
+
+def test_pieces_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(path, "CHUNK", 5)
+    faces = spark.createDataFrame([(1, 0, 0, 0, 300.0, 100.0, 1.0, 40.0, None), (1, 1, 90, 0, 900.0, 100.0, 1.0, 40.0, None)], FACES)
+    media = spark.createDataFrame([(1, 1920, 1080, 30.0, 100)], MEDIA)
+    made = plain.crop_clip([{**face(0, 0, 300.0)}, face(1, 90, 900.0)], [40], 1920, 1080, 30.0, 100)
+    found = crop.paths(crop.samples(crop.timeline(faces, spark.createDataFrame([(1, 40)], CUTS), media)))
+    assert [r.cx for r in found.orderBy("frame").collect()] == [p["cx"] for p in made["path"]]
+
+
+def test_rows_out_of_order_are_an_error(spark):
+    """A timeline that is said to be together but isn't would be shuffled after its sort."""
+    import pytest
+
+    faces, cut, total = clip_of(300)
+    media = spark.createDataFrame([(1, 1280, 720, 25.0, total)], MEDIA)
+    line = crop.timeline(spark.createDataFrame(faces, FACES).repartition(4), spark.createDataFrame(cut, CUTS), media)
+    with pytest.raises(Exception, match="out of order"):
+        crop.samples(line, together=True).collect()
+
+
+def test_each_fold_runs_once(spark):
+    """One reading of events, one fold of samples and one of segments in each query."""
+    from reelframe.plans import catalog
+    from tests.conftest import SMALL
+
+    for name, folds in [("track_assign", 1), ("speaking_scores", 1), ("focus_keyframes", 1), ("crop_path", 2), ("clip_pipeline", 2), ("crop_stats", 2), ("smooth_path", 1), ("hard_jumps", 1)]:
+        plan = catalog.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        tree = plan.split("== Initial Plan ==")[-1]
+        assert (tree.count("FlatMapGroupsInArrow") + tree.count("ArrowEvalPython"), tree.count("FileScan")) == (folds, 1), (name, plan)
 
 
 def test_hidden_lines(spark):

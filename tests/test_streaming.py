@@ -21,7 +21,10 @@ def test_cuts(spark, tmp_path):
 
 def test_smoothing(spark, tmp_path):
     df = spark.range(60).select((F.col("id") % 2).alias("clip_id"), F.floor(F.col("id") / 2).alias("frame"), (F.col("id") * 131 % 1900).cast("double").alias("cx"), (F.col("id") % 13 == 0).alias("is_cut"))
-    batch = sorted(map(tuple, path.smoothed(df, 607).collect()))
+    batch = []
+    for clip in (0, 1):
+        rows = sorted(r[1:] for r in df.collect() if r.clip_id == clip)
+        batch += [(clip, r[0], x, j) for r, x, j in zip(rows, *path.smooth([r[1] for r in rows], [r[2] for r in rows], 607, 30.0), strict=True)]
     assert streamed(spark, df, tmp_path, lambda s: stateful.smooth_stream(s, 607)) == batch
 
 
@@ -33,7 +36,7 @@ def test_focus(spark, tmp_path):
 
     faces = inputs.faces(spark, SMALL).withColumn("mouth", F.lit(None).cast("array<double>"))
     media, cut = inputs.media(faces), inputs.cuts(faces)
-    batch = sorted(tuple(r) for r in crop.exploded(crop.crop_paths(crop.gathered(faces, cut, media)), "keys").drop("seq").collect())
+    batch = sorted(tuple(r) for r in crop.keys(crop.samples(crop.timeline(faces, cut, media))).drop("seq").collect())
     reset = cuts.with_reset(inputs.samples(faces).drop("n_faces"), cut, media).select("clip_id", "sample_idx", F.col("reset").alias("cut"))
     df = faces.join(reset, ["clip_id", "sample_idx"]).join(media, "clip_id").select("clip_id", "frame", "face_idx", "cx", "area", "conf", F.lit(0.0).alias("speaking"), "cut", "total_frames")
     assert streamed(spark, df, tmp_path, lambda s: stateful.focus_stream(s, 1920, 1080)) == batch
