@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.config import DEFAULT, Config
@@ -72,25 +72,26 @@ class Fold:
         return clamped(Key(0, self.media[0] / 2), self.media[0], self.media[1], self.media[3])
 
 
-def samples(timeline: DataFrame, conf: Config = DEFAULT, together: bool = False) -> DataFrame:
+def samples(timeline: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """SAMPLE rows of a timeline: one for each sample (kind 2) with its key frame and what its faces say, one for each cut
     (1; frame is null where it lies outside the clip), and one for frame 0 of each clip (0).
 
     The key of a clip without frames is null; a clip without samples has one key in its middle; clips without media are
-    left out. Faces go by frame, sample_idx and face_idx, so the frames of samples grow with their numbers. together says
-    that rows of a clip are in one partition already, as after a window or groupBy over clip_id.
+    left out. Faces go by frame, sample_idx and face_idx, so the frames of samples grow with their numbers. The window
+    that numbers a clip's rows brings them together and into order; it shuffles only what is not together yet.
     """
-    dealt = timeline if together else timeline.repartition("clip_id")
-    names = [f.split(" ")[0] for f in ROW.split(", ")]
+    by = Window.partitionBy("clip_id").orderBy("frame", "kind", "sample_idx", "face_idx")
+    names = ["clip_id", "place", *[f.split(" ")[0] for f in ROW.split(", ")]]
     out = [f.split(" ")[0] for f in SAMPLE.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.struct([("face_idx", pa.int64()), ("track", pa.int64()), ("speaking", pa.float64())])), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+    spoken = pa.list_(pa.struct([("face_idx", pa.int64()), ("track", pa.int64()), ("speaking", pa.float64())]))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), spoken, pa.int32(), pa.int32(), pa.float64(), pa.int64()]
 
-    def of(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clip, fold, last = key[0].as_py(), None, None
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clip, fold, last, at, faces = None, None, 0, None, []
         made: list[tuple] = []
-        at, faces = None, []
 
         def close() -> None:
+            """The sample that is open becomes a row."""
             nonlocal at, faces
             if at is not None:
                 k, said = fold.sample(at[0], [f[1:] for f in faces])
@@ -99,16 +100,25 @@ def samples(timeline: DataFrame, conf: Config = DEFAULT, together: bool = False)
                 fold.seq += 1
             at, faces = None, []
 
+        def end() -> None:
+            close()
+            if fold and not fold.seq and fold.media[3] > 0:
+                k = fold.middle()
+                made.append((clip, KEY, 0, None, k.frame, k.cx, False, False, False, [], *fold.media))
+
         def batch_of() -> pa.RecordBatch:
             full = pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], out)
             made.clear()
             return full
 
         for batch in batches:
-            for frame, kind, sample, face, cx, area, sure, width, mouth, *media in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
-                if last is not None and (frame, kind) < last:
+            for own, place, frame, kind, sample, face, cx, area, sure, width, mouth, *media in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if place == 1:
+                    end()
+                    clip, fold = own, None
+                elif (own, place) != (clip, last + 1):
                     raise ValueError("the rows of a clip are out of order")
-                last = (frame, kind)
+                last = place
                 if at is not None and at != (frame, sample):
                     close()
                 if kind == BEGIN and fold is None:
@@ -125,16 +135,11 @@ def samples(timeline: DataFrame, conf: Config = DEFAULT, together: bool = False)
                         faces.append((face, cx, area, sure, width, mouth))
             if made:
                 yield batch_of()
-        if fold:
-            close()
-            if not fold.seq and fold.media[3] > 0:
-                k = fold.middle()
-                made.append((clip, KEY, 0, None, k.frame, k.cx, False, False, False, [], *fold.media))
+        end()
         if made:
             yield batch_of()
 
-    of.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return dealt.sortWithinPartitions("clip_id", "frame", "kind", "sample_idx", "face_idx").groupBy("clip_id").applyInArrow(of, SAMPLE)
+    return timeline.withColumn("place", F.row_number().over(by)).select(*names).mapInArrow(of, SAMPLE)
 
 
 def keys(samples: DataFrame) -> DataFrame:

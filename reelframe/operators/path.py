@@ -133,12 +133,14 @@ def smoothed(pieces: DataFrame, conf: Config = DEFAULT, jumps: bool = True, keep
     kinds = dict(pieces.dtypes)
     schema = "clip_id bigint, frame bigint, cx double, jump boolean" + "".join(f", {c} {kinds[c]}" for c in keep)
 
-    def of(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = None
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, s, made = None, None, []
         for batch in batches:
-            fixed = [batch.column(c) for c in keep]
-            for k, (clip, _, part, begin, end, starts, at, x, next_at, next_x, src_h, fps) in enumerate(zip(*[batch.column(c).to_pylist() for c in columns], strict=True)):
-                s = s or Smoother(int(src_h * 9 / 16), fps, conf)
+            rows = zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+            of_row: list[int] = []
+            for k, (clip, seg, part, begin, end, starts, at, x, next_at, next_x, src_h, fps) in enumerate(rows):
+                if (clip, seg) != segment:
+                    segment, s = (clip, seg), Smoother(int(src_h * 9 / 16), fps, conf)
                 for a in range(begin, end, CHUNK):
                     b = min(a + CHUNK, end)
                     targets = eased(a, b, at, x, next_at, next_x).tolist()
@@ -147,10 +149,20 @@ def smoothed(pieces: DataFrame, conf: Config = DEFAULT, jumps: bool = True, keep
                     if part == 1:
                         flags = np.zeros(b - a, bool)
                         flags[0] = jump
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(clip, pa.int64()), b - a), pa.array(np.arange(a, b)), pa.array(cx, pa.float64()), pa.array(flags), *[pa.repeat(f[k], b - a) for f in fixed]], ["clip_id", "frame", "cx", "jump", *keep])
-
-    of.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return dealt.groupBy("clip_id", "seg").applyInArrow(of, schema)
+                        made.append((np.full(b - a, clip), np.arange(a, b), np.array(cx), flags))
+                        of_row += [k] * (b - a)
+                        if len(of_row) >= CHUNK:
+                            yield batch_of(made, batch, of_row)
+                            made, of_row = [], []
+            if made:
+                yield batch_of(made, batch, of_row)
+                made = []
+
+    def batch_of(made: list, batch: pa.RecordBatch, of_row: list[int]) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate([m[k] for m in made])) for k in range(4)]
+        return pa.RecordBatch.from_arrays([*columns, *[batch.column(c).take(pa.array(of_row)) for c in keep]], ["clip_id", "frame", "cx", "jump", *keep])
+
+    return dealt.mapInArrow(of, schema)
 
 
 def held(path: DataFrame, src_w: Column, src_h: Column) -> DataFrame:

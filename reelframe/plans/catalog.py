@@ -504,7 +504,7 @@ def clip_media(spark, sf):
 
 def _samples(spark, sf, fixed=True):
     """Tracks, speech and focus of every sample, in one reading and one shuffle by clip."""
-    return crop.samples(I.timeline(I.faces(spark, sf), fixed), together=True)
+    return crop.samples(I.timeline(I.faces(spark, sf), fixed))
 
 
 @query(f"WITH RECURSIVE {I.SPOKEN} SELECT clip_id, sample_idx, face_idx, track FROM spoken")
