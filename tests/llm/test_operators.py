@@ -244,11 +244,13 @@ def test_likelihood_ratio(spark, docs):
 def test_scores_by_join(spark, docs, odd, monkeypatch):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     rows = docs.union(odd).union(odd)
-    key = lambda df: sorted((str(r.doc_id), r.n_words, r.n_repeat_words, round(r.score, 9), r.kept) for r in df.collect())
+    key = lambda df: sorted((str(r.doc_id), r.n_words, r.n_repeat_words, r.score, r.kept) for r in df.collect())
     by_array = key(quality.judged(rows, labels))
     monkeypatch.setattr(quality, "ARRAY", 0)
     monkeypatch.setattr(quality, "IDS", 0)
-    assert key(quality.judged(rows, labels)) == by_array
+    for heavy in (quality.HEAVY, 50):
+        monkeypatch.setattr(quality, "HEAVY", heavy)
+        assert key(quality.judged(rows, labels)) == by_array
 
 
 def test_long_repetitive_text(spark):
