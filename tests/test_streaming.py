@@ -40,3 +40,101 @@ def test_focus(spark, tmp_path):
     reset = cuts.with_reset(inputs.samples(faces).drop("n_faces"), cut, media).select("clip_id", "sample_idx", F.col("reset").alias("cut"))
     df = faces.join(reset, ["clip_id", "sample_idx"]).join(media, "clip_id").select("clip_id", "frame", "face_idx", "cx", "area", "conf", F.lit(0.0).alias("speaking"), "cut", "total_frames")
     assert streamed(spark, df, tmp_path, lambda s: stateful.focus_stream(s, 1920, 1080)) == batch
+
+
+def replayed(spark, df, folder, of, parts=3):
+    """Rows with a time `at`, in files that lie apart in time and overlap a little, one a batch; the query is stopped after
+    the first files and started anew. A row of a clip of its own in the far future brings the watermark past all ends."""
+    rows = df.withColumn("late", F.when(F.xxhash64("at", "frame") % 3 == 0, F.lit(40)).otherwise(F.lit(0)))
+    span = df.agg(F.min("at").cast("long").alias("a"), F.max("at").cast("long").alias("b")).first()
+    cut = F.least(F.lit(parts - 1), F.floor((F.col("at").cast("long") + F.col("late") - span.a) * parts / (span.b - span.a + 1)))
+    kinds = dict(df.dtypes)
+    far = spark.range(1).select(*[F.lit("2100-01-01").cast("timestamp").alias(c) if c == "at" else (F.lit(-5) if c == "clip_id" else F.lit(0) if c in ("frame", "kind") else F.lit(None)).cast(kinds[c]).alias(c) for c in df.columns])
+    for k in range(parts):
+        rows.where(cut == k).drop("late").coalesce(1).write.parquet(f"{folder}/in/{k}")
+    far.write.parquet(f"{folder}/in/{parts}")
+    import shutil
+
+    (folder / "now").mkdir()
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/now")
+    for k in range(parts + 1):
+        for n, p in enumerate((folder / f"in/{k}").glob("part-*.parquet")):
+            shutil.copy(p, folder / f"now/{k}-{n}.parquet")
+        if k in (0, parts):
+            of(stream.withWatermark("at", "60 seconds")).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def at(frame, fps):
+    """The time of a frame of a clip that begins at a minute of its own."""
+    return F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("clip_id") % 5) * 30 + F.greatest(frame, F.lit(0)) / fps)
+
+
+def timed(spark, sf):
+    """The timeline of inputs with times; a row's rate is its clip's."""
+    from pyspark.sql import Window
+
+    from reelframe.plans import inputs
+
+    line = inputs.timeline(inputs.faces(spark, sf), False).where("clip_id < 12")
+    rate = F.max("fps").over(Window.partitionBy("clip_id"))
+    return line.withColumn("at", at(F.col("frame"), rate))
+
+
+def test_samples_and_speech(spark, tmp_path):
+    """Tracks as entries of a map, replayed in batches, give what the fold over whole clips gives."""
+    from reelframe.operators import crop
+    from reelframe.streaming import clips
+    from tests.conftest import SMALL
+
+    df = timed(spark, SMALL)
+    found = replayed(spark, df, tmp_path, clips.sample_stream)
+    batch = crop.samples(df.drop("at"))
+    assert found.where(f"kind = {clips.END}").count() == df.select("clip_id").distinct().count()
+    some = lambda x: sorted(map(str, x.collect()))
+    assert some(crop.spoken(found)) == some(crop.spoken(batch)) and crop.spoken(batch).count() > 500
+    assert some(crop.keys(found)) == some(crop.keys(batch))
+
+
+def test_whole_path_in_one_query(spark, tmp_path):
+    """Two stateful operators in a chain, stopped and started anew, give the batch's path and jumps."""
+    from reelframe.operators import crop
+    from reelframe.streaming import clips
+    from tests.conftest import SMALL
+
+    df = timed(spark, SMALL)
+    found = replayed(spark, df, tmp_path, clips.path_stream)
+    samples = crop.samples(df.drop("at"))
+    made = path.held(path.smoothed(crop.pieces_of(samples), keep=("src_w", "src_h")), F.col("src_w"), F.col("src_h"))
+    some = lambda x: sorted(map(tuple, x.select("clip_id", "frame", "cx", "jump").collect()))
+    assert some(found) == some(made) and made.where("jump").count() > 5
+
+
+def test_targets(spark, tmp_path):
+    """Frames held open until the next key, a cut or the clip's end."""
+    from reelframe.plans import inputs
+    from reelframe.streaming import clips
+    from tests.conftest import SMALL
+
+    marks = inputs.marks(inputs.faces(spark, SMALL)).withColumn("at", at(F.col("frame"), F.col("fps")))
+    found = replayed(spark, marks, tmp_path, clips.target_stream)
+    batch = path.interpolated(path.pieces(marks.drop("at"), F.lit(960.0)))
+    some = lambda x: sorted(map(tuple, x.select("clip_id", "frame", "cx", "is_cut").collect()))
+    assert some(found) == some(batch) and batch.count() > 1000
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A row behind the watermark changes nothing."""
+    from reelframe.operators import crop
+    from reelframe.streaming import clips
+    from tests.conftest import SMALL
+
+    df = timed(spark, SMALL).where("clip_id = 1").cache()
+    late = df.where("kind = 2 and sample_idx = 1").limit(1).withColumn("cx", F.lit(1.0))
+    (tmp_path / "now").mkdir()
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/now")
+    for part in (df, late, df.where("kind = 2").limit(1).withColumns({"clip_id": F.lit(-5).cast("bigint"), "at": F.lit("2100-01-01").cast("timestamp")})):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/now")
+        clips.sample_stream(stream.withWatermark("at", "1 second")).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    keys = lambda x: sorted(map(str, crop.keys(x).collect()))
+    assert keys(spark.read.parquet(f"{tmp_path}/out")) == keys(crop.samples(df.drop("at")))
