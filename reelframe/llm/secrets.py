@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import documents, shared_dir
+from reelframe.llm.common import documents, let, shared_dir
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def spans(text: Column, rule: Rule) -> Column:
     counted = F.regexp_extract_all(text, F.lit(short_ok), F.lit(rule.group)) if rule.group else whole
     counted = F.transform(counted, F.length)
     parts = F.arrays_zip(between.alias("gap"), sized.alias("size"), counted.alias("counted"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
@@ -66,7 +66,19 @@ def spans(text: Column, rule: Rule) -> Column:
         one = F.array(F.struct(a.alias("start"), z.alias("end")))
         return F.struct(z.alias("at"), F.when(x["counted"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(parts, start, add, lambda acc: acc["out"])
+    # A fold copies its list at every match, so it goes over groups of about as many matches as there are groups; then
+    # each group's places move on by the lengths of the groups before it.
+    def grouped(xs: Column) -> Column:
+        each = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        return F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / each).cast("int")), lambda g: F.aggregate(F.slice(xs, g * each + 1, each), none, add))
+
+    def placed(groups: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("firsts"))
+        firsts = F.aggregate(groups, begin, lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["firsts"], F.array(acc["at"])).alias("firsts")), lambda acc: acc["firsts"])
+        moved = F.zip_with(groups, firsts, lambda g, by: F.transform(g["out"], lambda p: F.struct((p["start"] + by).alias("start"), (p["end"] + by).alias("end"))))
+        return F.flatten(moved)
+
+    found = let(let(parts, grouped), placed)
     return F.when(text.rlike(short_ok), found).otherwise(F.array().cast(PLACES))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -102,6 +103,23 @@ def test_secrets(spark, duck, docs, odd):
             assert [tuple(s) for s in r.spans if s["kind"] < 3] == brute_spans(r.text)
 
 
+def test_many_secrets_in_one_text(spark):
+    """All places in texts with up to 40,000 secrets, in time about proportional to their number."""
+    took = {}
+    for n in (500, 20_000, 40_000):
+        text = " ".join(f"x{k % 7} token=abcdef{k:06d}" if k % 3 else f"{k:024x}" for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        times = []
+        for _ in range(2):
+            start = time.time()
+            got = secrets.scan(df).first()["spans"]
+            times.append(time.time() - start)
+        took[n] = min(times)
+        at = re.compile(r"token=([A-Za-z0-9+/_.=-]+)|[0-9a-f]{24,}")
+        assert [(s.start, s.end) for s in got] == [m.span() for m in at.finditer(text)]
+    assert took[40_000] < 3 * took[20_000] + 1
+
+
 def test_ledger_scans_only_what_is_new(spark, odd, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
 
