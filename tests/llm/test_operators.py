@@ -203,6 +203,47 @@ def test_mixing(spark, request, which, tmp_path):
         assert abs(taken[s] - t) <= 0.02 * t + 3 * mixing.BLOCK
 
 
+@pytest.mark.parametrize("sent", [mixing.SENT, 2])
+def test_draws_are_multinomial_and_meet_the_targets(spark, monkeypatch, sent):
+    """Counts of shards follow the shares as a multinomial's would; their sums are the targets; no block goes over; also
+    beyond the sources that are sent to all tasks."""
+    monkeypatch.setattr(mixing, "SENT", sent)
+    sizes = {k: 64 * 3000 * (1 + k % 3) for k in range(6)} | {6: 10, 7: 64 * 5 + 1}
+    rows = spark.createDataFrame([(k, n, 3) for k, n in sizes.items()], "source int, source_size long, docs long").withColumn("rank", F.col("source"))
+    target = {k: 0.4 * n if k < 6 else 1.7 * n for k, n in sizes.items()}
+    by_source = rows.withColumn("target", F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col("source")])
+    slots = mixing._slots(by_source, 64, 256, 3).collect()
+    mine = {k: [s for s in slots if s["rank"] == k] for k in sizes}
+    for k, some in mine.items():
+        blocks = -(-sizes[k] // 64)
+        assert len({(s.turn, s.block) for s in some}) == len(some) and all(0 <= s.block < blocks for s in some)
+        assert max([0, *(s.turn for s in some)]) <= 2
+        words = sum(s.words if s.words is not None else min(64, sizes[k] - 64 * s.block) for s in some)
+        assert abs(words - target[k]) <= 64
+    # The expected counts of a shard are the shares; their variances are a multinomial's, up to chance and the last slots.
+    n, shards = len(slots), -(-len(slots) // 256)
+    assert n > 9000
+    for k in range(6):
+        p = len(mine[k]) / n
+        counts = np.array([sum(1 for s in mine[k] if s.shard == j) for j in range(shards - 1)])
+        assert abs(counts.mean() - 256 * p) < 4 * np.sqrt(256 * p * (1 - p) / shards) + 2
+        assert 0.5 < counts.var() / (256 * p * (1 - p)) < 1.8
+
+
+def test_many_small_sources(spark, tmp_path):
+    """Sources of less than a block meet their targets to the word."""
+    rows = [(k, " ".join(f"w{j}" for j in range(1 + k % 9)), "en", f"s{k % 40}", 0) for k in range(160)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {}
+    for k, text, _, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    target, taken = brute_targets(sizes), {}
+    for r in mixing.op3_mixing(spark, str(tmp_path)).collect():
+        assert r.taken <= 3 * r.size
+        taken[f"s{r.doc_id % 40}"] = taken.get(f"s{r.doc_id % 40}", 0) + r.taken
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
 def test_mixed_documents(spark, docs, empty):
     got = mixing.mixed_documents(docs)
     assert got.columns == docs.columns
