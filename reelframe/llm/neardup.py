@@ -13,7 +13,8 @@ which connects groups of near copies of any size without pairing them. What the
 blocks: only texts of buckets that still hold more than one component, and of these only texts that share enough
 shingles with any other such text to reach the similarity at all. A block is two parts of a bucket, each of about PART
 shingles, and gives no more links than it has texts; a pair is looked at in the first band it shares. The work of
-that last step grows with the square of such a bucket's rest; its rows and its memory do not.
+that last step grows with the square of such a bucket's rest, and so do the rows that are dealt to its blocks (each text
+once for each part of its bucket); a block's memory does not.
 
 Verification takes the exact multiset overlap: the k-th occurrence of a shingle in a text is an element of its own,
 so multisets are sets. Classes are the components of the verified links. Shingles are 64-bit hashes; two unequal ones
@@ -151,6 +152,12 @@ def _shingled(column: pa.Array) -> pa.Array:
     return pa.concat_arrays(out) if out else pa.array([], pa.struct([("key_a", pa.int64()), ("key_b", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
 
 
+def _all_shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = _shingled(batch.column("text"))
+        yield pa.RecordBatch.from_arrays(made.flatten(), ["key_a", "key_b", "shingles"])
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
     """Similarity of two sets given as sorted arrays."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -198,11 +205,12 @@ def _verify(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
 def _shingles_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes, from the one document that stands for each."""
     wanted = reps.join(nodes, "node").select("node", "rep", "key_a", "key_b")
-    made = F.arrow_udf(_shingled, SHINGLED)
     ids = wanted.select("rep").distinct()
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi")
     # A doc_id may occur with other texts too: the key tells which one is meant.
-    return texts.select(made("text").alias("s")).select("s.*").join(wanted.drop("rep"), ["key_a", "key_b"]).dropDuplicates(["node"]).select("node", "shingles")
+    # Not a function of a column: a join's condition on its result would be moved below it, and have it worked out twice.
+    made = texts.select("text").mapInArrow(_all_shingled, SHINGLED)
+    return made.join(wanted.drop("rep"), ["key_a", "key_b"]).dropDuplicates(["node"]).select("node", "shingles")
 
 
 class _Block:
