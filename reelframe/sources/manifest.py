@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.scalars import has_suffix, stripped
+from reelframe.sources.steps import kept
 
 CLIP = "struct<clip_id:bigint,start_time:string,end_time:string,duration_seconds:double,speaker:string,viral_score:double,category:string,hook:string,summary:string,suggested_caption:string>"
 MANIFEST = f"struct<video_title:string,video_duration:string,clips:array<{CLIP}>>"
@@ -85,22 +86,15 @@ def rendered(raw: Column, excluded: Column) -> Column:
     return F.arrow_udf(of, "string")(raw, excluded)
 
 
-#: Rows that part a listing's names into ranges.
-BOUNDS = 200
-
-
 def numbered(listing: DataFrame, order: list[str], name: str) -> DataFrame:
     """The rows with their place from 1 in the given order, in which no two are equal.
 
-    Some rows, picked by hash, bound ranges; a range's rows are numbered by one task, and its first place comes from the
-    counts of the ranges before it. Only bounds and counts, BOUNDS of each at most, are in one place.
+    The rows are sorted by ranges, as many as there are shuffle partitions, and kept; a row's place is the one in its
+    partition after the counts of the partitions before it, which are all that is in one place.
     """
-    key = F.struct(*order)
-    bounds = sorted(tuple(r) for r in listing.select(*order).orderBy(F.xxhash64(*order), *order).limit(BOUNDS).toLocalIterator())
-    kinds = dict(listing.dtypes)
-    of = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for v, c in zip(b, order, strict=True)]) for b in bounds])
-    ranged = listing.withColumn("__r", F.size(F.filter(of, lambda b: b <= key)) if bounds else F.lit(0))
-    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__r").agg(F.count("*").alias("__n")).select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
-    place = F.row_number().over(Window.partitionBy("__r").orderBy(*order)) + F.col("__b")
-    return ranged.join(F.broadcast(counts), "__r").withColumn(name, place.cast("long")).drop("__r", "__b")
+    sorted_ = kept(listing.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).alias("__part")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sorted_.groupBy(part).agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__at").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1
+    return sorted_.withColumn("__part", part).join(F.broadcast(counts), "__part").withColumn(name, place.cast("long")).drop("__part", "__at", "__before")

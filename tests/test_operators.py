@@ -188,11 +188,17 @@ def test_subtitle_files(spark, tmp_path):
     assert text.startswith("[Script Info]") and text.count("Dialogue:") == 2
 
 
-def test_listing_in_ranges(spark, monkeypatch):
-    monkeypatch.setattr(manifest, "BOUNDS", 3)
-    names = spark.createDataFrame([(f"n{k * 37 % 50}", k) for k in range(60)], "path string, id int")
-    found = manifest.numbered(names, ["path", "id"], "place").orderBy("place").collect()
-    assert [(r.path, r.id) for r in found] == sorted((r.path, r.id) for r in found) and [r.place for r in found] == list(range(1, 61))
+def test_listing_in_ranges(spark):
+    """Places over several partitions, with nulls and equal paths; ids make the order whole."""
+    names = spark.createDataFrame([(None if k == 7 else f"n{k * 37 % 50}", k) for k in range(60)], "path string, id int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = manifest.numbered(names, ["path", "id"], "place")
+        rows = found.orderBy("place").collect()
+        assert found.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.path, r.id) for r in rows] == sorted(((r.path, r.id) for r in rows), key=lambda r: (r[0] or "", r[1])) and [r.place for r in rows] == list(range(1, 61))
     assert manifest.numbered(names.limit(0), ["path", "id"], "place").count() == 0
 
 
