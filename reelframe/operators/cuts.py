@@ -26,7 +26,12 @@ def differences(features: DataFrame) -> DataFrame:
 def scene_cuts(features: DataFrame, media: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """(clip_id, frame) of the accepted cuts: differences, the predicate, and thinning by a gap that goes by each clip's
     frames per second (media: clip_id, fps)."""
-    found = differences(features).where(is_cut(F.col("hist_diff"), F.col("pixel_diff"), conf)).select("clip_id", "frame")
+    return accepted(differences(features), media, conf)
+
+
+def accepted(differences: DataFrame, media: DataFrame, conf: Config = DEFAULT) -> DataFrame:
+    """The cuts of differences (clip_id, frame, hist_diff, pixel_diff)."""
+    found = differences.where(is_cut(F.col("hist_diff"), F.col("pixel_diff"), conf)).select("clip_id", "frame")
     rates = media.select("clip_id", cut_gap(safe_fps(F.col("fps")), conf).alias("gap"))
     return refractory(found.join(rates, "clip_id"), F.col("gap"))
 

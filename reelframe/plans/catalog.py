@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions import scalars as S
-from reelframe.operators import captions, crop, cuts, logs, path, render, vision
+from reelframe.operators import captions, crop, cuts, logs, path, pixels, render, vision
 from reelframe.plans import inputs as I
 from reelframe.sources import manifest
 
@@ -407,6 +407,22 @@ def scene_cuts(spark, sf):
     return cuts.scene_cuts(features, media)
 
 
+@query()
+def pixel_differences(spark, sf):
+    """How much each frame differs from the one before it, from its pixels."""
+    found = pixels.differences(pixels.features(I.pixels(spark, sf)))
+    return found.select("clip_id", "frame", F.round("hist_diff", 6).alias("hist_diff"), F.round("pixel_diff", 6).alias("pixel_diff"))
+
+
+@query()
+def pixel_cuts(spark, sf):
+    """Scene cuts from pixels, in clips with 30 (or no), 25 and 60 frames a second."""
+    frames = I.pixels(spark, sf)
+    k = F.col("clip_id") % 3
+    media = I.table(spark, sf, "embeddings").select((F.col("vec_id") % 20).alias("clip_id")).distinct().withColumn("fps", F.when(k == 0, 0.0).when(k == 1, 25.0).otherwise(60.0))
+    return pixels.scene_cuts(frames, media)
+
+
 # Sequences
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,24 @@ f1 AS (SELECT user_id AS clip_id, (rn // 3)::BIGINT AS sample_idx, (rn % 3)::INT
 faces AS (SELECT *, sample_idx * 7 AS frame, (row_number() OVER (PARTITION BY clip_id, sample_idx ORDER BY area DESC, det) - 1)::BIGINT AS face_idx FROM f1)"""
 
 
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as frames of 192 by 108 pixels, (clip_id, frame, height, width, pixels): 8 by 8 fields, whose colours differ
+    the more the higher the label's remainder by four."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels = batch.column("vec_id").to_pylist(), batch.column("label").to_pylist()
+            frames = []
+            for values, label in zip(batch.column("embedding").to_pylist(), labels, strict=True):
+                field = np.resize(np.array(values, float), (8, 8)) * 120 * ((label or 0) % 4)
+                colours = np.stack([100 + field, 130 - field, 90 + np.roll(field, 1, 0)], 2)
+                frames.append(np.clip(np.repeat(np.repeat(colours, 14, 0)[:108], 24, 1), 0, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([k % 20 for k in ids]), pa.array([k // 20 for k in ids]), pa.array([108] * len(ids), pa.int32()), pa.array([192] * len(ids), pa.int32()), pa.array(frames, pa.binary())], ["clip_id", "frame", "height", "width", "pixels"])
+
+    some = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").where("vec_id is not null and embedding is not null")
+    return some.mapInArrow(of, "clip_id bigint, frame bigint, height int, width int, pixels binary")
+
+
 def samples(faces_: DataFrame) -> DataFrame:
     return faces_.groupBy("clip_id", "sample_idx").agg(F.min("frame").alias("frame"), F.count("*").alias("n_faces"))
 
