@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions import scalars as S
-from reelframe.operators import captions, crop, cuts, logs, path, pixels, render, vision
+from reelframe.operators import audio, captions, crop, cuts, logs, path, pixels, render, vision
 from reelframe.plans import inputs as I
 from reelframe.sources import manifest
 
@@ -423,6 +423,15 @@ def pixel_cuts(spark, sf):
     return pixels.scene_cuts(frames, media)
 
 
+@query(f"WITH {I.AUDIO} SELECT clip_id, n, CASE WHEN abs(value * 32768) < 5e-4 THEN 0 ELSE round(value * 32768, 3) END::DOUBLE AS level FROM audio")
+def speech_audio(spark, sf):
+    """Audio in several rates and channels as 16 kHz, mono, in steps of 16 bits."""
+    level = F.col("value") * audio.FULL
+    found = audio.speech_audio(I.audio(spark, sf), 200)
+    each = found.select("clip_id", "first", F.posexplode("samples").alias("k", "value"))
+    return each.select("clip_id", (F.col("first") + F.col("k")).alias("n"), F.when(F.abs(level) < 5e-4, 0.0).otherwise(F.round(level, 3)).alias("level"))
+
+
 # Sequences
 
 

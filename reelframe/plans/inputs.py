@@ -13,6 +13,7 @@ from reelframe.operators import crop
 
 SRC_W, SRC_H, FPS = 1920, 1080, 30.0
 EVERY = 7
+RATES_OF_AUDIO = (44_100, 48_000, 16_000, 8_000)
 #: Which faces stand for a cut, a simple key, and a clip as a whole.
 CUT_IF, KEY_IF, FIRST_IF = "det = 0 and kind = 'error' and frame > 2", "face_idx = 0 and sample_idx % 2 = 0", "det = 0 and sample_idx = 0"
 
@@ -66,6 +67,31 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.mapInArrow(of, "clip_id bigint, frame bigint, height int, width int, pixels binary")
 
 
+def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as chunks of audio, (clip_id, start, rate, channels, samples), in four rates, in one or two channels."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px = [np.floor(np.array(v, float) * 20_000).clip(-32_768, 32_767).astype("<i2").tobytes() for v in batch.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(px, pa.binary())], ["vec_id", "samples"])
+
+    k = F.col("vec_id") % 20
+    some = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where("vec_id is not null and embedding is not null").mapInArrow(of, "vec_id bigint, samples binary")
+    channels = F.when(k % 2 == 0, 1).otherwise(2)
+    return some.select(k.alias("clip_id"), (F.floor(F.col("vec_id") / 20) * 64 / channels).cast("long").alias("start"), F.element_at(F.array(*map(F.lit, RATES_OF_AUDIO)), (k % 4 + 1).cast("int")).alias("rate"), channels.alias("channels"), "samples")
+
+
+#: By hand what audio() and its resampling say, one sum over the taps of each output sample.
+AUDIO = """s0 AS (SELECT vec_id % 20 AS clip_id, vec_id // 20 AS chunk, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
+s1 AS (SELECT clip_id, (chunk * 64 + j) // (CASE WHEN clip_id % 2 = 0 THEN 1 ELSE 2 END) AS k, avg(greatest(-32768, least(32767, floor(e::DOUBLE * 20000)))) AS v FROM s0 GROUP BY ALL),
+r AS (SELECT clip_id, [44100, 48000, 16000, 8000][clip_id % 4 + 1] AS rate, max(k) + 1 AS total FROM s1 GROUP BY clip_id),
+r1 AS (SELECT *, least(1, 16000 / rate)::DOUBLE AS cut, ceil(16 * greatest(1, rate / 16000))::BIGINT AS half FROM r),
+o AS (SELECT *, unnest(generate_series(0, ceil(total * 16000 / rate)::BIGINT - 1)) AS n FROM r1),
+t AS (SELECT *, (n * rate) // 16000 + unnest(generate_series(1 - half, half)) AS k, ((n * rate) % 16000) / 16000::DOUBLE AS part, (n * rate) // 16000 AS place FROM o),
+w AS (SELECT clip_id, n, k, cut, part - (k - place) AS x, 16 / cut AS width FROM t),
+audio AS (SELECT w.clip_id, n, sum(CASE WHEN abs(x) < width THEN coalesce(v, 0) * cut * (CASE WHEN x = 0 THEN 1 ELSE sin(pi() * cut * x) / (pi() * cut * x) END) * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * x / width)) ELSE 0 END) / 32768 AS value FROM w LEFT JOIN s1 ON s1.clip_id = w.clip_id AND s1.k = w.k GROUP BY ALL)"""
+
+
 def samples(faces_: DataFrame) -> DataFrame:
     return faces_.groupBy("clip_id", "sample_idx").agg(F.min("frame").alias("frame"), F.count("*").alias("n_faces"))
 
