@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelframe.config import DEFAULT
 from reelframe.functions.scalars import caption_time, stripped
+from reelframe.sources.subtitles import registered
 
 # Colours of the format, and the head of a subtitle file.
 WHITE, YELLOW = "&H00FFFFFF", "&H0000FFFF"
@@ -60,9 +61,10 @@ def lines(events_: DataFrame) -> DataFrame:
     return events_.select("clip_id", F.col("rn").alias("ord"), line.alias("line"))
 
 
-def write_subtitles(events_: DataFrame, path: str) -> None:
-    """One folder of text for each clip, header first."""
-    body = lines(events_)
+def write_subtitles(events_: DataFrame, path: str, overwrite: bool = True) -> None:
+    """A file clip_<id>.ass for each clip, header first; all of them or none. Without overwrite the files of other clips
+    stay. A clip without an id has no file."""
+    body = lines(events_).where("clip_id is not null")
     head = body.select("clip_id").distinct().select("clip_id", F.lit(-1).cast("long").alias("ord"), F.lit(HEADER).alias("line"))
     whole = body.unionByName(head).repartition("clip_id").sortWithinPartitions("clip_id", "ord")
-    whole.select("clip_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("clip_id").text(path)
+    whole.select(F.col("clip_id").cast("long"), F.col("ord").cast("long"), "line").write.format(registered(whole.sparkSession)).mode("overwrite" if overwrite else "append").save(path)

@@ -182,10 +182,40 @@ def test_manifests_from_files(spark, tmp_path):
 
 
 def test_subtitle_files(spark, tmp_path):
-    words = spark.createDataFrame([(1, 0, 0, "a", 0.0, 0.1), (1, 0, 1, "b", 0.2, 0.3), (2, 0, 0, "c", 0.3, 0.4)], "clip_id bigint, seg_idx int, word_idx int, word string, start double, end double")
-    captions.write_subtitles(captions.events(captions.numbered(words)), f"file://{tmp_path}/out")
-    text = "".join(p.read_text() for p in (tmp_path / "out/clip_id=1").glob("*.txt"))
-    assert text.startswith("[Script Info]") and text.count("Dialogue:") == 2
+    """One file a clip; writing again gives the same, replaces files of its clips, and without overwrite keeps others."""
+    kinds = "clip_id bigint, seg_idx int, word_idx int, word string, start double, end double"
+    rows = [(k, 0, j, f"w{j}", j * 1.0, j + 0.5) for k in range(9) for j in range(12)]
+    events = captions.events(captions.numbered(spark.createDataFrame(rows, kinds)))
+    for _ in range(2):
+        captions.write_subtitles(events, f"file://{tmp_path}/out")
+        assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"clip_{k}.ass" for k in range(9)]
+    text = (tmp_path / "out/clip_3.ass").read_text()
+    want = [r.line for r in captions.lines(events).where("clip_id = 3").orderBy("ord").collect()]
+    assert text == "\n".join([captions.HEADER, *want]) + "\n" and text.count("Dialogue:") == 12
+    one = captions.events(captions.numbered(spark.createDataFrame([(3, 0, 0, "new", 0.0, 0.1), (40, 0, 0, "x", 0.0, 0.1), (None, 0, 0, "y", 0.0, 0.1)], kinds)))
+    captions.write_subtitles(one, f"file://{tmp_path}/out", overwrite=False)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"clip_{k}.ass" for k in [*range(9), 40]) and "NEW" in (tmp_path / "out/clip_3.ass").read_text()
+    captions.write_subtitles(one, f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["clip_3.ass", "clip_40.ass"]
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    """Clips that are done when another fails don't appear, and what was there stays."""
+    import pytest
+
+    from reelframe.sources.subtitles import registered
+
+    lines = spark.createDataFrame([(k, j, f"line {j}") for k in range(6) for j in range(3)], "clip_id bigint, ord bigint, line string")
+    target = tmp_path / "out"
+    write = lambda df, mode: df.write.format(registered(spark)).mode(mode).save(f"file://{target}")
+    write(lines.where("clip_id = 1").coalesce(1).sortWithinPartitions("clip_id", "ord"), "append")
+    before = {p.name: p.read_text() for p in target.iterdir()}
+    bad = lines.withColumn("line", F.when((F.col("clip_id") == 5) & (F.col("ord") == 2), F.raise_error(F.lit("broken"))).otherwise(F.col("line")))
+    for df in (bad.repartition(3, "clip_id").sortWithinPartitions("clip_id", "ord"), lines.repartition(2, "ord").sortWithinPartitions("line", "clip_id"), lines.coalesce(1).sortWithinPartitions("clip_id", F.desc("ord"))):
+        for mode in ("append", "overwrite"):
+            with pytest.raises(Exception, match="broken|not together|out of order"):
+                write(df, mode)
+            assert {p.name: p.read_text() for p in target.iterdir()} == before
 
 
 def test_listing_in_ranges(spark):
