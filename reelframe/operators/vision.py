@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.scalars import face_score, sampling_interval
@@ -42,3 +42,21 @@ def nearest(faces: DataFrame, centre: Column, radius: Column) -> DataFrame:
 def detection_stats(samples: DataFrame) -> DataFrame:
     """Samples, those with faces, and faces of each clip, from (clip_id, n_faces)."""
     return samples.groupBy("clip_id").agg(F.count("*").alias("n_samples"), F.count_if(F.col("n_faces") > 0).alias("with_faces"), F.sum("n_faces").cast("long").alias("n_faces"))
+
+
+def watched(rows: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """The rows as they are, with totals that are counted as they go by: whatever is done with the rows next fills
+    them, without a second pass. Read them by the observation's get."""
+    seen = Observation(name)
+    return rows.observe(seen, *[m.alias(k) for k, m in metrics.items()]), seen
+
+
+def watched_samples(samples: DataFrame) -> tuple[DataFrame, Observation]:
+    """Samples (clip_id, sample_idx, n_faces) with totals of what detection_stats counts by clip."""
+    return watched(samples, "detections", n_samples=F.count(F.lit(1)), with_faces=F.count_if(F.col("n_faces") > 0), n_faces=F.coalesce(F.sum("n_faces"), F.lit(0)))
+
+
+def watched_stats(stats: DataFrame) -> tuple[DataFrame, Observation]:
+    """Crop statistics of clips with their totals."""
+    names = ("target_keyframes", "source_cut_resets", "smooth_focus_changes", "hard_crop_jumps", "scene_cuts")
+    return watched(stats, "crops", n_clips=F.count(F.lit(1)), **{c: F.coalesce(F.sum(c), F.lit(0)) for c in names})

@@ -231,6 +231,23 @@ def manifest_rendered(spark, sf):
     return made.select("o_orderkey", F.col("b.video_title.t").alias("title"), F.to_json("b.extra").alias("extra"), F.size("b.clips").alias("n_clips"), F.get("b.clips", F.lit(0))["note"].alias("first_note"), F.col("json").contains('\n    {\n      "clip_id"').cast("long").alias("indented"))
 
 
+_OTHERS = """SELECT 'own_' || o_orderkey % 4 AS key, CASE o_orderkey % 6 WHEN 0 THEN '7' WHEN 1 THEN '"t"' WHEN 2 THEN 'true' WHEN 3 THEN '[1, ' || o_orderkey || ']' WHEN 4 THEN '{"a": 1.5}' ELSE 'null' END AS value FROM orders WHERE o_orderkey % 7 > 0"""
+
+
+@query(f"""WITH o AS ({_OTHERS}), k AS (SELECT key, CASE json_type(value::JSON) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'NULL' THEN 'VOID' ELSE json_type(value::JSON) END AS kind FROM o)
+SELECT key, kind, count(*) AS n, CASE kind WHEN 'ARRAY' THEN 'ARRAY<BIGINT>' WHEN 'OBJECT' THEN 'OBJECT<a: DECIMAL(2,1)>' ELSE kind END AS shape FROM k GROUP BY key, kind""")
+def manifest_other_keys(spark, sf):
+    """Keys of manifests that the engine doesn't know; some manifests are cut off, or no objects."""
+    k = F.col("o_orderkey")
+    values = ["7", '"t"', "true", None, '{"a": 1.5}', "null"]
+    value = F.concat(F.lit("[1, "), k, F.lit("]"))
+    for n, v in enumerate(values):
+        value = F.when(k % 6 == n, F.lit(v)).otherwise(value) if v else value
+    whole = F.concat(F.lit('{"video_title": "x", "clips": [], "own_'), k % 4, F.lit('": '), value, F.lit("}"))
+    raw = F.when(k % 7 > 0, whole).when(k % 2 == 0, F.lit('{"cut": ')).when(k % 3 == 0, F.lit("[1]"))
+    return manifest.other_keys(I.table(spark, sf, "orders").select(raw.alias("raw")))
+
+
 # Captions
 
 

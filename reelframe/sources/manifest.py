@@ -58,6 +58,22 @@ def to_json(clips: DataFrame, group: str) -> DataFrame:
     return clips.groupBy(group).agg(listed.alias("c")).select(group, F.to_json(F.struct(F.col("c.clip").alias("clips"))).alias("json"))
 
 
+#: Keys that the engine itself reads from a manifest.
+OWN_KEYS = ("video_title", "video_duration", "clips")
+
+
+def other_keys(manifests: DataFrame, own: tuple[str, ...] = OWN_KEYS) -> DataFrame:
+    """(key, kind, n, shape) of the keys in manifests (raw) that the engine doesn't read: how many have them with a value of
+    which kind (STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, ARRAY, OBJECT or VOID), and the shape that all values of the key and
+    kind fit. Texts that are no JSON object have none.
+    """
+    doc = F.try_parse_json("raw")
+    values = F.try_variant_get(doc, "$", "map<string,variant>")
+    each = manifests.select(F.explode(values).alias("key", "value")).where(~F.col("key").isin(*own))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    return each.groupBy("key", kind.alias("kind")).agg(F.count("*").alias("n"), F.schema_of_variant_agg("value").alias("shape"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -24,6 +24,25 @@ def test_usual_clips_are_cropped_alike(spark):
     assert both.count() == each.count() == usual.count() > 0 and both.where("abs(x - y) > 1").count() == 0
 
 
+def test_totals_without_a_second_pass(spark):
+    """What goes by is counted: as detection_stats and crop_stats have it, in the job that writes the rows."""
+    from pyspark.sql import functions as F
+
+    from reelframe.operators import vision
+    from reelframe.plans import inputs
+
+    samples, seen = vision.watched_samples(inputs.samples(inputs.faces(spark, SMALL)))
+    samples.write.format("noop").mode("overwrite").save()
+    names = ("n_samples", "with_faces", "n_faces")
+    assert seen.get == {c: catalog.queries()["detection_stats"](spark, SMALL).agg(F.sum(c)).first()[0] for c in names}
+    stats, seen = vision.watched_stats(catalog.queries()["crop_stats"](spark, SMALL))
+    rows = stats.collect()
+    assert seen.get == {"n_clips": len(rows)} | {c: sum(r[c] for r in rows) for c in stats.columns if c != "clip_id"}
+    none, seen = vision.watched_samples(inputs.samples(inputs.faces(spark, SMALL)).where("false"))
+    none.collect()
+    assert seen.get == dict.fromkeys(names, 0)
+
+
 def test_entry_without_the_llm_subpackage(tmp_path):
     import subprocess
     import sys
