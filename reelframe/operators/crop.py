@@ -153,15 +153,16 @@ def spoken(samples: DataFrame) -> DataFrame:
     return some.where("s is not null").select("clip_id", "sample_idx", "s.*")
 
 
-def pieces_of(samples: DataFrame, *more: str) -> DataFrame:
+def pieces_of(samples: DataFrame, together: bool = False) -> DataFrame:
     """The pieces of the samples' keys and cuts."""
-    marks = samples.where("frame is not null").select("clip_id", "frame", "seq", "cx", F.col("hard").alias("starts"), "src_w", "src_h", "fps", "total_frames", *more)
-    return path.pieces(marks, F.col("src_w") / 2)
+    marks = samples.where("frame is not null").select("clip_id", "frame", "seq", "cx", F.col("hard").alias("starts"), "src_w", "src_h", "fps", "total_frames")
+    return path.pieces(marks, F.col("src_w") / 2, together=together)
 
 
-def paths(samples: DataFrame, conf: Config = DEFAULT) -> DataFrame:
-    """clip_id, frame and cx of every frame, held within the picture, with src_w, src_h and total_frames."""
-    made = path.smoothed(pieces_of(samples), conf, jumps=False, keep=("src_w", "src_h", "total_frames"))
+def paths(samples: DataFrame, conf: Config = DEFAULT, together: bool = False) -> DataFrame:
+    """clip_id, frame and cx of every frame, held within the picture, with src_w, src_h and total_frames. Samples of a table
+    that is bucketed by clip_id (together) are not shuffled."""
+    made = path.smoothed(pieces_of(samples, together), conf, jumps=False, keep=("src_w", "src_h", "total_frames"), deal=not together)
     return path.held(made, F.col("src_w"), F.col("src_h")).drop("jump")
 
 

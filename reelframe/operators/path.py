@@ -44,17 +44,18 @@ def marks(keys: DataFrame, cuts: DataFrame, media: DataFrame) -> DataFrame:
     return each.join(media, "clip_id").where("frame >= 0 and frame < total_frames")
 
 
-def pieces(marks: DataFrame, middle: Column, sums: tuple[str, ...] = ()) -> DataFrame:
+def pieces(marks: DataFrame, middle: Column, sums: tuple[str, ...] = (), together: bool = False) -> DataFrame:
     """Spans of frames [begin, end) of the marks' clips, with seg (counted from 0 in each clip), starts, and the key before
     and after (at, x, next_at, next_x): between both a centre is eased, without the latter it is x. All else that the
     marks say goes along: the sums over a frame's marks, or what one of them has.
 
     In a segment the first key's centre holds before it and the last one's after it; a segment without keys goes on with
-    the key before it, or the middle. Of keys of one frame the last (by seq) counts. Frame 0 starts no segment.
+    the key before it, or the middle. Of keys of one frame the last (by seq) counts. Frame 0 starts no segment. together
+    says that Spark knows the marks to be dealt out by clip_id, as those of a bucketed table.
     """
     rest = [c for c in marks.columns if c not in ("clip_id", "frame", "seq", "cx", "starts")]
-    # One shuffle by clip serves the groups and the windows.
-    by_frame = marks.repartition("clip_id").groupBy("clip_id", "frame").agg(F.max_by("cx", F.when(F.col("cx").isNotNull(), F.col("seq"))).alias("cx"), F.max(F.col("starts") & (F.col("frame") > 0)).alias("starts"), *[(F.sum if c in sums else F.first)(c).alias(c) for c in rest])
+    # One shuffle by clip, if any, serves the groups and the windows.
+    by_frame = (marks if together else marks.repartition("clip_id")).groupBy("clip_id", "frame").agg(F.max_by("cx", F.when(F.col("cx").isNotNull(), F.col("seq"))).alias("cx"), F.max(F.col("starts") & (F.col("frame") > 0)).alias("starts"), *[(F.sum if c in sums else F.first)(c).alias(c) for c in rest])
     by = Window.partitionBy("clip_id").orderBy("frame")
     before = by.rowsBetween(Window.unboundedPreceding, 0)
     x = by_frame.withColumn("seg", F.sum(F.col("starts").cast("long")).over(before))
@@ -118,18 +119,20 @@ def eased(begin: int, end: int, at: int | None, x: float, next_at: int | None, n
     return x + (next_x - x) * (t * t * (3 - 2 * t))
 
 
-def smoothed(pieces: DataFrame, conf: Config = DEFAULT, jumps: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def smoothed(pieces: DataFrame, conf: Config = DEFAULT, jumps: bool = True, keep: tuple[str, ...] = (), deal: bool = True) -> DataFrame:
     """clip_id, frame, cx and jump of every frame of pieces that have src_h and fps too, with the columns to keep.
 
     Each segment is dealt out and folded on its own. Whether its first frame is a jump depends on where the crop stood
     before: for that the segment before is folded ahead of it, unless jumps are not asked for (all are false then).
+    Without deal a clip's segments stay together, which saves a shuffle where there are many clips to a task.
     """
     columns = ["clip_id", "seg", "part", "begin", "end", "starts", "at", "x", "next_at", "next_x", "src_h", "fps"]
     own = pieces.withColumn("part", F.lit(1))
     if jumps:
         own = own.withColumn("followed", F.col("seg") < F.max("seg").over(Window.partitionBy("clip_id")))
         own = own.withColumn("part", F.explode(F.when(F.col("followed"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))).withColumn("seg", F.col("seg") + 1 - F.col("part"))
-    dealt = own.select(*dict.fromkeys([*columns, *keep])).repartition("clip_id", "seg").sortWithinPartitions("clip_id", "seg", "part", "begin")
+    own = own.select(*dict.fromkeys([*columns, *keep]))
+    dealt = (own.repartition("clip_id", "seg") if deal else own).sortWithinPartitions("clip_id", "seg", "part", "begin")
     kinds = dict(pieces.dtypes)
     schema = "clip_id bigint, frame bigint, cx double, jump boolean" + "".join(f", {c} {kinds[c]}" for c in keep)
 

@@ -138,3 +138,44 @@ def test_late_rows_are_dropped(spark, tmp_path):
         clips.sample_stream(stream.withWatermark("at", "1 second")).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
     keys = lambda x: sorted(map(str, crop.keys(x).collect()))
     assert keys(spark.read.parquet(f"{tmp_path}/out")) == keys(crop.samples(df.drop("at")))
+
+
+def test_live_log(spark, tmp_path):
+    """Pieces that end within lines, out of order and repeated, over several batches and a restart: all lines, and a tail that
+    is the same when a batch is run again."""
+    import random
+
+    from reelframe.streaming import logs
+
+    rng = random.Random(3)
+    texts = {k: "\n".join(f"log {k} line {j}" + ("\rover" if j % 5 == 0 else "") for j in range(40 + k)) + ("\n" if k else "") for k in range(3)}
+    pieces = []
+    for k, text in texts.items():
+        cuts = sorted(rng.sample(range(1, len(text)), 25))
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        pieces += [(k, n, p, n == len(parts) - 1) for n, p in enumerate(parts)]
+    order = sorted(range(len(pieces)), key=lambda n: pieces[n][1] + rng.randint(0, 6))
+    kinds = "log_id bigint, piece bigint, text string, last boolean"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(kinds).parquet(f"{tmp_path}/in")
+    want = sorted((k, n, p, part) for k, text in texts.items() for n, line in enumerate(text.removesuffix("\n").split("\n")) for p, part in enumerate(line.split("\r")))
+    seen = []
+    tail = logs.kept_tail(f"{tmp_path}/tail", 15)
+
+    def each(lines, batch):
+        lines = lines.persist()
+        tail(lines, batch)
+        once = sorted(map(tuple, logs.tail_at(spark, f"{tmp_path}/tail", batch).collect()))
+        tail(lines, batch)
+        assert once == sorted(map(tuple, logs.tail_at(spark, f"{tmp_path}/tail", batch).collect()))
+        seen.extend(map(tuple, lines.collect()))
+
+    for k in range(4):
+        some = order[k * 20 : k * 20 + 20] + order[:3]
+        spark.createDataFrame([pieces[n] for n in some], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        logs.line_stream(stream).writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == want
+    last = sorted((tmp_path / "tail").iterdir(), key=lambda p: int(p.name.split("=")[1]))
+    assert len(last) == 2
+    got = sorted(map(tuple, logs.tail_at(spark, f"{tmp_path}/tail", int(last[-1].name.split("=")[1])).collect()))
+    assert got == sorted(x for k in texts for x in [w for w in want if w[0] == k][-15:])
