@@ -68,6 +68,28 @@ def test_chain_without_labels(spark, odd, empty):
     assert chain.scored(empty).count() == 0
 
 
+def test_fit_equals_a_plain_solver():
+    """The minimum of the mean loss with an L1 norm, as plain proximal steps over a dense matrix find it."""
+    rng = np.random.default_rng(3)
+    rows, kinds = 400, 12
+    x = (rng.random((rows, kinds)) < 0.3).astype(float)
+    y = (rng.random(rows) < 1 / (1 + np.exp(-(x[:, 0] * 2 - x[:, 1] * 1.5 + 0.5 * x[:, 2] - 0.3)))).astype(float)
+    more = rng.random((rows, 1))
+    found = np.concatenate([np.flatnonzero(r) for r in x]).astype(np.int32)
+    w = toxicity.fit_logistic(found, np.r_[0, np.cumsum(x.sum(1))].astype(int), more, y)
+    full = np.c_[x, more, np.ones(rows)]
+    norm = np.r_[np.full(kinds + 1, toxicity.REGULARISATION), 0.0]
+    loss = lambda v: np.mean(np.logaddexp(0, full @ v) - y * (full @ v)) + norm @ np.abs(v)
+    plain = np.zeros(kinds + 2)
+    step = 4 * rows / np.linalg.norm(full, 2) ** 2
+    for _ in range(20_000):
+        to = plain - step * full.T @ (1 / (1 + np.exp(-full @ plain)) - y) / rows
+        plain = np.sign(to) * np.maximum(np.abs(to) - norm * step, 0)
+    own = np.r_[w[:kinds], w[-2:]]
+    assert loss(own) <= loss(plain) + 1e-6 and np.abs(own - plain).max() < 0.05
+    assert not w[kinds : 1 << toxicity.BITS].any()
+
+
 def test_later_models_see_out_of_fold_probabilities():
     found, first = np.array([1, 2, 1, 2], np.int32), np.arange(5)
     w = toxicity.fit_logistic(found, first, np.array([[0.9], [0.1], [0.9], [0.1]]), np.array([1.0, 0, 1, 0]))
@@ -678,6 +700,40 @@ def test_pipeline(spark):
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
+def test_pipeline_stages_equal_brute_force(spark):
+    """What each stage decides on its own input: base rules, classes of near duplicates, leaks of the benchmark, targets of the
+    mix and near equal shards, by plain loops over all of its rows."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    docs = common.documents(spark, SMALL)
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = common.stored(stage["quality"](spark, docs, SMALL), "quality")
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and not [k for k in ids if brute_quality(rows[k].text)[-1]]
+    judged = {r.doc_id: r for r in quality.judged(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
+    assert sorted(ids) == sorted(k for k in rows if judged[k].kept) and all(judged[k].base_failed == brute_quality(rows[k].text)[-1] for k in rows)
+    alone = common.stored(stage["near_dedup"](spark, kept, SMALL), "near_dedup")
+    classes = brute_classes([(k, rows[k].text) for k in ids])
+    assert sorted(r.doc_id for r in alone.collect()) == sorted(min(map(int, c)) for c in classes) and len(classes) < len(ids)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    clean = common.stored(stage["decontamination"](spark, alone, SMALL), "decontamination")
+    want = [r.doc_id for r in alone.collect() if not brute_leaks(items, r.text)]
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(want) and len(want) < alone.count()
+    mixed = common.stored(stage["mixing"](spark, clean, SMALL), "mixing")
+    sizes, got = {}, {}
+    for k in want:
+        sizes[rows[k].source] = sizes.get(rows[k].source, 0) + len(SPACE.findall(rows[k].text))
+    for r in mixed.collect():
+        got[r.source] = got.get(r.source, 0) + len(SPACE.findall(r.text))
+    target = brute_targets(sizes)
+    assert all(abs(got.get(s, 0) - t) <= 2 * mixing.BLOCK for s, t in target.items())
+    shards = {}
+    for r in stage["sharding"](spark, mixed, SMALL).collect():
+        shards.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values()) and sum(map(len, shards.values())) == mixed.count()
+
+
 CLASHES = ("slot", "size", "score", "kept", "leaks", "node", "row", "shard", "h", "words", "n", "key_a", "__q")
 
 
