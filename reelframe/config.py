@@ -33,13 +33,19 @@ class Config:
     lip_motion_weight: float = 0.6
     lip_smooth_sec: float = 0.5
     lip_min_motion: float = 3.0
+    #: The manifest, the video, the folder for clips, and the texts of the channel and of the source's credit.
+    json: str = ""
+    video: str = ""
+    outdir: str = "."
+    channel: str = ""
+    source_credit: str = ""
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Config:
-        """Reads the settings that are in the environment; a value that is no number raises ValueError."""
+        """Reads the settings that are in the environment; a number's value that is none raises ValueError."""
         env = dict(os.environ) if env is None else env
         given = {f.name: env[PREFIX + f.name.upper()] for f in fields(cls) if PREFIX + f.name.upper() in env}
-        return cls(**{k: int(v) if k == "words_per_caption" else float(v) for k, v in given.items()})
+        return cls(**{k: type(getattr(cls, k))(v) for k, v in given.items()})
 
 
 #: As the environment has it when the engine is loaded.

@@ -614,15 +614,25 @@ def _logs(spark, sf):
     return I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.translate(text, "\n", "\r").alias("raw"))
 
 
-@query(rf"""WITH l AS (SELECT doc_id AS seq, unnest(string_split(regexp_replace({_LOG}, '\n+$', ''), chr(13))) AS line, generate_subscripts(string_split(regexp_replace({_LOG}, '\n+$', ''), chr(13)), 1) - 1 AS part FROM documents),
+_TAIL_SQL = rf"""WITH l AS (SELECT doc_id AS seq, unnest(string_split(regexp_replace({_LOG}, '\n+$', ''), chr(13))) AS line, generate_subscripts(string_split(regexp_replace({_LOG}, '\n+$', ''), chr(13)), 1) - 1 AS part FROM documents),
 t AS (SELECT * FROM l ORDER BY seq DESC, part DESC LIMIT 350)
-SELECT seq, part::INT AS part, CASE WHEN line = '' THEN '&nbsp;' ELSE {_HTML.format("line")} END AS line FROM t""")
+SELECT seq, part::INT AS part, CASE WHEN line = '' THEN '&nbsp;' ELSE {_HTML.format("line")} END AS line FROM t"""
+
+
+@query(_TAIL_SQL)
 def log_tail(spark, sf):
     """The last 350 lines: the limit is the report's own."""
     raw = _logs(spark, sf)
     return logs.tail(logs.log_lines(raw))
 
 
+@query(f"""WITH shown AS ({_TAIL_SQL}), n AS (SELECT sum(len(string_split(regexp_replace({_LOG}, '\\n+$', ''), chr(13))))::BIGINT AS n FROM documents)
+SELECT row_number() OVER (ORDER BY seq DESC, part DESC) - 1 AS place, line FROM shown UNION ALL SELECT 350, printf('{logs.NOTE}', n - 350) FROM n WHERE n > 350 UNION ALL SELECT 0, '{logs.NOTHING}' FROM n WHERE n IS NULL""")
+def log_card(spark, sf):
+    """The log as it is shown: newest lines first, and a note on those before."""
+    return logs.card(logs.log_lines(_logs(spark, sf)))
+
+
 @query(f"SELECT greatest(0, sum(len(string_split(regexp_replace({_LOG}, '\n+$', ''), chr(13)))) - 350)::BIGINT AS hidden FROM documents")
 def log_hidden(spark, sf):
     """How many lines the tail of the log leaves out."""

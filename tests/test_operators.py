@@ -165,6 +165,13 @@ def test_hidden_lines(spark):
     assert [tuple(logs.hidden(lines, n).first()) for n in (3, 9)] == [(2, "... 2 baris sebelumnya disembunyikan dari live view ..."), (0, None)]
 
 
+def test_card_of_a_log(spark):
+    lines = spark.createDataFrame([(0, 0, "a"), (1, 0, ""), (1, 1, "<b>")], "seq bigint, part int, line string")
+    card = lambda df, n: [tuple(r) for r in logs.card(df, n).orderBy("place").collect()]
+    assert card(lines, 2) == [(0, "&lt;b&gt;"), (1, "&nbsp;"), (2, logs.NOTE % 1)] and len(card(lines, 3)) == 3
+    assert card(lines.limit(0), 3) == [(0, logs.NOTHING)]
+
+
 def test_manifests_from_files(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"video_title": "é", "own": {"a": [1, null]}, "clips": [{"clip_id": 1, "mine": null}, {"clip_id": null, "b": 2.50}, {"start_time": "0:01"}]}')
     (tmp_path / "a.MP4").write_bytes(b"x")

@@ -49,6 +49,8 @@ def test_cut_predicate(spark):
 
 def test_config():
     assert Config.from_env({"REELFRAME_LIP_MIN_MOTION": "2.5"}).lip_min_motion == 2.5
+    given = Config.from_env({"REELFRAME_CHANNEL": " Talks ", "REELFRAME_OUTDIR": "out", "REELFRAME_WORDS_PER_CAPTION": "3"})
+    assert (given.channel, given.outdir, given.words_per_caption, given.json, given.source_credit, Config().outdir) == (" Talks ", "out", 3, "", "", ".")
     with pytest.raises(ValueError):
         Config.from_env({"REELFRAME_LIP_MIN_MOTION": "x"})
 
