@@ -7,7 +7,8 @@ and of two reversed prefixes: minima over ranges of the LCP arrays, from sparse
 
 A run of at least 2 * LEAST words holds LEAST words in a row that stand twice in its text, so texts without such
 a repetition are answered at once; the others of a batch go through the arrays together, PACK words at a time, each
-closed by a word of its own. A text is worked on as a whole, however long it is.
+closed by a word of its own. A text is worked on as a whole, however long it is; the arrays take some 600 bytes a word of a
+pack, or of a longer repetitive text on its own.
 """
 
 from __future__ import annotations
