@@ -317,7 +317,7 @@ def test_likelihood_ratio(spark, docs):
         if k in trusted:
             np.add.at(t, fs, 1)
     p = lambda x: (x + x.sum() * quality.SMOOTHING / quality.BUCKETS) / (x.sum() * (1 + quality.SMOOTHING))
-    ratio = np.log(p(t)) - np.log(p(n))
+    ratio = np.round((np.log(p(t)) - np.log(p(n))) * quality.GRAIN) / quality.GRAIN
     for r in quality.judged(docs, labels).select("doc_id", "score").collect():
         assert r.score == pytest.approx(ratio[own[r.doc_id]].mean() if own[r.doc_id] else 0.0, abs=1e-9)
 
