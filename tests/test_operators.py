@@ -261,3 +261,11 @@ def test_focus_branches():
     assert key.reset and key.cx == 960.0 and s.lips == [140]  # a source cut without faces; lips stay
     key = focus_step(s, 154, [], [], False, **STEP)
     assert key.cx == 960.0
+
+
+def test_faces_in_focus_are_no_candidates():
+    """All faces lie within the radius: none takes over from the one in focus, larger or louder, whatever is pending."""
+    s = Focus(cx=29.95, area=12476.0, seen=77, locked=51, pending=212.45, since=63)
+    faces = [Face(89.70, 29391, 0.9), Face(57.13, 14320, 0.9), Face(40.39, 8512, 0.9)]
+    key = focus_step(s, 84, faces, [36.5, 58.5, 33.0], False, src_w=1280, src_h=720, fps=25.0)
+    assert (key.cx, key.hard, key.change) == (40.39, False, False) and (s.area, s.locked, s.pending) == (8512, 51, None)
