@@ -11,20 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelframe.batches import BATCH, BATCH_SETTING, in_small_batches  # noqa: F401
+
 #: White space of every operator here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-#: Bytes of rows that go to Python together, and the setting that bounds them.
-BATCH, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def in_small_batches(spark: SparkSession) -> None:
-    """Rows with long texts go to Python a few at a time: by bytes, unless the session has a bound of its own."""
-    if BATCH_SETTING not in spark.conf.getAll:
-        spark.conf.set(BATCH_SETTING, str(BATCH))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,7 +1,8 @@
 """Scene cuts from pixels: thumbnails and histograms of frames, differences of neighbours, then the rules of cuts.
 
 A frame is worked on where it lies, and only its thumbnail in grey and its histogram (14 and 2 KB) are shuffled by clip; each
-then meets the one before it by a window. Kernels are NumPy over whole batches.
+then meets the one before it by a window. Kernels are NumPy over ROWS frames at a time, and rows go to Python by bytes, so
+a task's memory depends on neither the table's size nor a frame's.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.batches import in_small_batches, slices
 from reelframe.config import DEFAULT, Config
 from reelframe.operators import cuts
 
@@ -21,6 +23,8 @@ from reelframe.operators import cuts
 THUMB_W, THUMB_H = 160, 90
 BINS, HUES, LEVELS = 32, 180, 256
 GREY = (1868, 9617, 4899)
+#: Frames that are worked on together.
+ROWS = 64
 FEATURES = "clip_id bigint, frame bigint, grey binary, hist binary"
 
 
@@ -67,7 +71,7 @@ def features(frames: DataFrame) -> DataFrame:
     frame whose bytes don't match its size, or are null, has null features and is no neighbour of any."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             greys, hists = [], []
             for h, w, px in zip(*[batch.column(c).to_pylist() for c in ("height", "width", "pixels")], strict=True):
                 if not px or not h or not w or len(px) != h * w * 3:
@@ -79,6 +83,7 @@ def features(frames: DataFrame) -> DataFrame:
                 hists.append(histogram(small).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("frame"), pa.array(greys, pa.binary()), pa.array(hists, pa.binary())], ["clip_id", "frame", "grey", "hist"])
 
+    in_small_batches(frames.sparkSession)
     return frames.select(F.col("clip_id").cast("long"), F.col("frame").cast("long"), "height", "width", "pixels").mapInArrow(of, FEATURES)
 
 
@@ -98,12 +103,12 @@ def differences(features: DataFrame) -> DataFrame:
     pairs = features.where("grey is not null").withColumns({"grey0": F.lag("grey").over(by), "hist0": F.lag("hist").over(by)}).where("grey0 is not null")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                hist = distances(_stacked(batch.column("hist0"), "<u2"), _stacked(batch.column("hist"), "<u2"))
-                pixel = np.abs(_stacked(batch.column("grey0"), "u1") - _stacked(batch.column("grey"), "u1")).mean(1) / 255
-                yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("frame"), pa.array(hist), pa.array(pixel)], ["clip_id", "frame", "hist_diff", "pixel_diff"])
+        for batch in slices(batches, ROWS):
+            hist = distances(_stacked(batch.column("hist0"), "<u2"), _stacked(batch.column("hist"), "<u2"))
+            pixel = np.abs(_stacked(batch.column("grey0"), "u1") - _stacked(batch.column("grey"), "u1")).mean(1) / 255
+            yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("frame"), pa.array(hist), pa.array(pixel)], ["clip_id", "frame", "hist_diff", "pixel_diff"])
 
+    in_small_batches(features.sparkSession)
     return pairs.mapInArrow(of, "clip_id bigint, frame bigint, hist_diff double, pixel_diff double")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelframe.batches import slices
 from reelframe.operators import crop
 
 SRC_W, SRC_H, FPS = 1920, 1080, 30.0
@@ -54,7 +55,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     the more the higher the label's remainder by four."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A batch of embeddings would be hundreds of times its size as frames.
+        for batch in slices(batches, 64):
             ids, labels = batch.column("vec_id").to_pylist(), batch.column("label").to_pylist()
             frames = []
             for values, label in zip(batch.column("embedding").to_pylist(), labels, strict=True):

@@ -3,9 +3,11 @@
 import colorsys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from reelframe import batches
 from reelframe.operators import pixels
 from reelframe.plans import catalog, inputs
 from tests.conftest import SMALL
@@ -93,6 +95,27 @@ def test_frames_that_cannot_be_read(spark):
     assert pixels.differences(pixels.features(df.limit(0))).count() == 0
 
 
+def test_batches_are_bounded(spark):
+    """Frames are made, reach Python and leave it a few at a time, however many rows Spark puts together."""
+    many = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("embedding", "label").crossJoin(spark.range(2)).coalesce(1)
+    n = many.count()
+
+    def size(some):
+        yield from (pa.RecordBatch.from_pydict({"rows": [len(b)], "bytes": [b.nbytes]}) for b in some)
+
+    def wide(some):
+        for b in some:
+            px = np.zeros(108 * 192 * 3, np.uint8).tobytes()
+            yield pa.RecordBatch.from_pydict({"clip_id": [1] * len(b), "frame": list(range(len(b))), "height": pa.array([108] * len(b), pa.int32()), "width": pa.array([192] * len(b), pa.int32()), "pixels": [px] * len(b)})
+
+    frames = many.mapInArrow(wide, "clip_id bigint, frame bigint, height int, width int, pixels binary")
+    pixels.features(frames)
+    got = frames.mapInArrow(size, "rows bigint, bytes bigint").collect()
+    assert sum(r.rows for r in got) == n and n * 62_208 > 16 << 20 and max(r.bytes for r in got) < 16 << 20
+    sizes = [len(b) for b in batches.slices([pa.RecordBatch.from_pydict({"x": list(range(150))}), pa.RecordBatch.from_pydict({"x": [1]})], pixels.ROWS)]
+    assert sizes == [64, 64, 22, 1]
+
+
 def test_pixels_are_not_shuffled(spark):
     """Only features go through the exchange, and whole frames are read once."""
     plan = catalog.queries()["pixel_cuts"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
