@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -353,6 +354,39 @@ def test_threshold(spark, monkeypatch, sf, buckets):
     assert n[0].kept <= (0.2 if sf == "sf0.1" else 0.6) * n[0].n
 
 
+@pytest.mark.parametrize("array", [quality.ARRAY, 0])
+def test_threshold_over_all_trusted(spark, monkeypatch, array):
+    """Quantiles of all trusted documents' scores without their own parts, added up here; some rows are equal."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, 12) % 3000)) for k in range(9_000)]
+    rows += rows[:50] + [(9_000, None), (9_001, " ")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    labels = spark.range(9_002).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("quality"))
+    monkeypatch.setattr(quality, "ARRAY", array)
+    monkeypatch.setattr(quality, "BINS", 20)
+    monkeypatch.setattr(quality, "TOGETHER", 100)
+    if not array:
+        monkeypatch.setattr(quality, "HEAVY", 50)
+    got = quality.threshold(docs, labels, quality.counts_of(docs, labels, quality.BUCKETS), quality.BUCKETS)
+    listed = docs.select("doc_id", "text", common.words(F.col("text")).alias("ws")).where("size(ws) > 0").select("doc_id", "text", F.concat(F.transform("ws", lambda w: quality.feature(w)), F.zip_with(F.slice("ws", 1, F.size("ws") - 1), F.slice("ws", 2, 1 << 30), lambda a, b: quality.feature(a, b))).alias("fs")).collect()
+    n, t = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for r in listed:
+        np.add.at(n, r.fs, 1)
+        np.add.at(t, r.fs, r.doc_id % 2 == 0)
+    copies = Counter((r.doc_id, r.text) for r in listed)
+    p = lambda x, total: (x + total * quality.SMOOTHING / quality.BUCKETS) / (total * (1 + quality.SMOOTHING))
+    scores = []
+    for r in listed:
+        if r.doc_id % 2 == 0:
+            fs, m = np.unique(r.fs, return_counts=True)
+            k = copies[r.doc_id, r.text]
+            ratio = np.round((np.log(p(t[fs] - m * k, t.sum() - m.sum() * k)) - np.log(p(n[fs], n.sum()))) * quality.GRAIN) / quality.GRAIN
+            scores.append((m * ratio).sum() / m.sum())
+    assert len(scores) == 4_525
+    low, tenth, half = np.quantile(scores, [quality.QUANTILE, 0.1, 0.5])
+    assert got == pytest.approx(min(low, half - quality.TAIL * (half - tenth)), abs=1e-9)
+
+
 def test_every_trusted_document_counts(spark):
     labels = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     assert quality.trusted_ids(labels.union(labels)).count() == 20_500
