@@ -12,6 +12,10 @@ DataFrame functions only. The ratios go to the tasks as one array as long as the
 each, 16 for the threshold); beyond that, n-grams are joined to them by bucket, with the same scores: those of heavy buckets,
 of which there are at most HEAVY, by sending these to the tasks, the others by a shuffle.
 
+Each task that counts n-grams may send every bucket, so there are few such tasks: what they send grows with the buckets, not
+with the number of tasks as well. For the threshold trusted texts are dealt by doc_id, once; their n-grams are then counted
+by text where they lie.
+
 A text is split and hashed once: what follows from it is bound to a lambda variable by let(), since a plain reference to an
 expression inside a lambda would be worked out again for every element.
 """
@@ -31,6 +35,9 @@ LOAD = 2_500
 ARRAY = 1 << 22
 #: Most trusted documents whose ids go to every task; with more, texts are shuffled to their ids.
 IDS = 1 << 21
+#: Least number of tasks that count n-grams, if the texts lie in so many; and bytes of all text to a part of trusted texts.
+TASKS = 12
+PART = 32 << 20
 #: Added to each feature's count, as a part of the mean count.
 SMOOTHING = 0.05
 #: Part of unseen trusted documents that the threshold may reject.
@@ -91,36 +98,44 @@ def repeated_words(windows: Column, n: int = WINDOW) -> Column:
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
 
 
-def counted(text: Column, ratios: Column | None) -> Column:
-    """Struct of the base counts and of the score by an array of log ratios; a score of 0 without one."""
+def _pairs(hashes: Column) -> Column:
+    """A hash for each pair of neighbours, from the words' hashes."""
+    first = F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0)))
+    return F.zip_with(first, F.slice(hashes, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
+
+
+def _may_repeat(pairs: Column) -> Column:
+    """Whether a run of four words may stand twice, as it does in a text with a window that does. Two last ones are null."""
+    fours = F.zip_with(pairs, F.slice(pairs, 3, 1 << 30), lambda a, b: F.shiftleft(a, 1).bitwiseXOR(b))
+    return let(fours, lambda x: F.size(F.array_distinct(x)) < F.size(x) - 1)
+
+
+def counted(text: Column, ratios: Column | None, buckets: int = BUCKETS) -> Column:
+    """Struct of the base counts and of the score by an array of log ratios of all buckets; a score of 0 without one."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    symbols = F.length(F.regexp_replace(text, "[^#*$%&|<>]++", ""))
     repeats = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
-    def scored(hashes: Column) -> Column:
+    def scored(hashes: Column, pairs: Column) -> Column:
         if ratios is None:
             return F.lit(0.0)
-        n, size = F.size(hashes), F.size(ratios)
-        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        ratio = lambda *hs: F.get(ratios, bucket(*hs, buckets=size).cast("int"))
-        pair = lambda i: F.when(i + 1 < n, ratio(F.get(hashes, i), F.get(hashes, i + 1))).otherwise(F.lit(0.0))
-        total = F.aggregate(at, F.lit(0.0), lambda acc, i: acc + ratio(F.get(hashes, i)) + pair(i))
-        return F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0))
+        total = lambda hs: F.aggregate(hs, F.lit(0.0), lambda acc, h: acc + F.get(ratios, bucket(h, buckets=F.lit(buckets)).cast("int")))
+        return F.when(F.size(hashes) > 0, (total(hashes) + total(pairs)) / (2 * F.size(hashes) - 1)).otherwise(F.lit(0.0))
 
     def of(ws: Column) -> Column:
         each = F.struct(F.size(ws).alias("n"), F.length(F.array_join(ws, "")).alias("chars"), F.transform(ws, lambda w: F.xxhash64(w)).alias("hashes"))
-        return let(each, counts)
+        return let(each, lambda x: let(_pairs(x["hashes"]), lambda pairs: counts(x, pairs)))
 
-    def counts(x: Column) -> Column:
+    def counts(x: Column, pairs: Column) -> Column:
         return F.struct(
             x["n"].cast("long").alias("n_words"),
             x["chars"].cast("long").alias("word_chars"),
             symbols.cast("long").alias("n_symbols"),
             repeats.cast("long").alias("n_dup_lines"),
-            repeated_words(_windows(x["hashes"])).alias("n_repeat_words"),
-            scored(x["hashes"]).alias("score"),
+            F.when(_may_repeat(pairs), repeated_words(_windows(x["hashes"]))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+            scored(x["hashes"], pairs).alias("score"),
         )
 
     return let(words(text), of)
@@ -140,8 +155,12 @@ def bucket_number(docs: DataFrame) -> int:
 
 def ngrams(docs: DataFrame, buckets: int, *keep: str) -> DataFrame:
     """The bucket f of every word and pair of neighbours, with the columns of keep."""
+    return _ngrams(docs.select(*keep, words(F.col("text")).alias("ws")), buckets, *keep)
+
+
+def _ngrams(split: DataFrame, buckets: int, *keep: str) -> DataFrame:
+    """The same of texts split to words ws."""
     of = lambda *hashes: bucket(*hashes, buckets=F.lit(buckets))
-    split = docs.select(*keep, words(F.col("text")).alias("ws"))
     each = split.select(*keep, F.explode(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, 1 << 30).alias("b"))).alias("x"))
     each = each.select(*keep, F.explode(F.array(of(F.xxhash64("x.a")), F.when(F.col("x.b").isNotNull(), of(F.xxhash64("x.a"), F.xxhash64("x.b"))))).alias("f"))
     return each.where("f is not null")
@@ -160,7 +179,8 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def counts_of(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """(f, n, t): how often each bucket that occurs does so in all documents, and in the trusted ones. A written table."""
-    return stored(ngrams(marked(docs, labels), buckets, "t").groupBy("f").agg(F.count("*").alias("n"), F.sum("t").alias("t")), "ngrams")
+    tasks = max(TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    return stored(ngrams(marked(docs, labels).coalesce(tasks), buckets, "t").groupBy("f").agg(F.count("*").alias("n"), F.sum("t").alias("t")), "ngrams")
 
 
 def _log(x: Column, total: Column, buckets: int) -> Column:
@@ -199,65 +219,38 @@ def quantiles(scores: DataFrame, parts: tuple[float, ...]) -> list[float]:
     return [at[math.floor(q * last)] + (q * last - math.floor(q * last)) * (at[math.ceil(q * last)] - at[math.floor(q * last)]) for q in parts]
 
 
-def own_scores(docs: DataFrame, labels: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+def own_scores(docs: DataFrame, labels: DataFrame, counts: DataFrame, buckets: int, arrays: DataFrame | None) -> DataFrame:
     """The score of each trusted document, judged as one that is not trusted: without its own part of the trusted counts, and
     that of its equal rows. Documents without words have none, nor has one that is all there is. A written table."""
     whole = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     all_n, all_t = F.lit(whole.n), F.lit(whole.t or 0)
-    each = marked(docs, labels).where("t = 1").select("doc_id", "text", F.xxhash64("text").alias("h"))
-    # Few rows are equal; the others are told without moving texts.
-    copies = _few(stored(each.groupBy("doc_id", "h").agg(F.count("*").alias("copies")).where("copies > 1"), "copies"))
-    each = each.join(copies, ["doc_id", "h"], "left").select("text", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
-    if buckets <= ARRAY:
-        one = _array(_every(docs, counts, buckets).select("f", _log(F.col("n"), all_n, buckets).alias("log_n"), "t"), "log_n", "t")
-        both = F.struct(_sorted_buckets(F.col("text"), buckets).alias("fs"), F.col("__r").alias("r"))
-        score = let(both, lambda x: _own(x["fs"], x["r"], F.col("copies"), all_t, buckets))
-        scores = each.withColumn("__r", one).select(score.alias("score"))
+    each = marked(docs, labels).where("t = 1").select("doc_id", "text").repartition(max(1, buckets * LOAD // PART), "doc_id")
+    # Equal rows lie together and are one from here on, of which all rows' n-grams are taken.
+    each = each.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    each = each.select("doc_id", F.xxhash64("text").alias("h"), "copies", words(F.col("text")).alias("ws"))
+    each = each.select("doc_id", "h", "copies", (F.col("copies") * (2 * F.size("ws") - 1)).alias("own"), "ws").where(F.col("own") < all_t)
+    row = ("doc_id", "h", "copies", "own")
+    found = _ngrams(each, buckets, *row).groupBy(*row, "f").agg(F.count("*").alias("m"))
+    if arrays is not None:
+        at = lambda c: F.get(arrays.select(c).scalar(), F.col("f").cast("int"))
+        known = found.select(*row, "m", at("t").alias("t"), at("log_n").alias("log_n"))
     else:
-        sized = stored(each.withColumn("__row", F.monotonically_increasing_id()).withColumn("size", (2 * F.size(words(F.col("text"))) - 1).cast("long")), "trusted")
-        found = ngrams(sized, buckets, "__row", "copies", "size").groupBy("__row", "copies", "size", "f").agg(F.count("*").alias("m"))
-        t = F.greatest(F.col("t") - F.col("m") * F.col("copies"), F.lit(0))
-        ratio = _ratio(_log(t, all_t - F.col("size") * F.col("copies"), buckets), _log(F.col("n"), all_n, buckets))
-        summed = _looked_up(found, counts, whole.n).groupBy("__row").agg(F.sum(F.col("m") * ratio).alias("total"), F.first("size").alias("size"), F.first("copies").alias("copies"))
-        scores = summed.select(F.when(F.col("size") * F.col("copies") < all_t, F.col("total") / F.col("size")).alias("score"))
-    return stored(scores, "own_scores").where("score is not null")
-
-
-def _sorted_buckets(text: Column, buckets: int) -> Column:
-    """The buckets of a text's words and pairs in order. They are never null, and are said to be so: Spark then sorts plain numbers."""
-
-    def of(hashes: Column) -> Column:
-        pairs = F.transform(F.slice(hashes, 2, 1 << 30), lambda h, i: F.xxhash64(F.get(hashes, i), h))
-        return F.transform(F.concat(hashes, pairs), lambda h: F.coalesce(F.pmod(h, F.lit(buckets).cast("long")).cast("int"), F.lit(0)))
-
-    return F.sort_array(let(F.transform(words(text), lambda w: F.xxhash64(w)), of))
-
-
-def _own(fs: Column, r: Column, copies: Column, all_t: Column, buckets: int) -> Column:
-    """The score of a document among trusted ones, from its buckets in order, by arrays log_n and t of all buckets."""
-    size = F.size(fs)
-    rest = all_t - size * copies
-    # A bucket ends where the next one is another.
-    ends = F.array_compact(F.transform(fs, lambda f, i: F.when(~f.eqNullSafe(F.get(fs, i + 1)), i)))
-    # What is the same for all buckets of a document is worked out once.
-    once = F.struct(ends.alias("ends"), (rest * SMOOTHING / buckets).alias("add"), F.log(rest * (1 + SMOOTHING)).alias("log"))
-
-    def total(x: Column) -> Column:
-        log_t = lambda f, m: F.log(F.greatest(F.get(r["t"], f) - m * copies, F.lit(0)) + x["add"]) - x["log"]
-        part = lambda f, m: m * _ratio(log_t(f, m), F.get(r["log_n"], f))
-        parts = F.transform(x["ends"], lambda i, k: part(F.get(fs, i), i - F.coalesce(F.get(x["ends"], k - 1), F.lit(-1))))
-        return F.aggregate(parts, F.lit(0.0), lambda acc, y: acc + y) / size
-
-    return F.when((size > 0) & (rest > 0), let(once, total))
+        known = _looked_up(found, counts, whole.n).select(*row, "m", "t", _log(F.col("n"), all_n, buckets).alias("log_n"))
+    t = F.greatest(F.col("t") - F.col("m") * F.col("copies"), F.lit(0))
+    part = F.col("m") * _ratio(_log(t, all_t - F.col("own"), buckets), F.col("log_n"))
+    scores = known.groupBy(*row).agg(F.sum(part).alias("total")).select(F.col("total") * F.col("copies") / F.col("own"), "copies").toDF("score", "copies")
+    return stored(scores.select(F.explode(F.array_repeat("score", F.col("copies").cast("int"))).alias("score")), "own_scores")
 
 
-def threshold(docs: DataFrame, labels: DataFrame, counts: DataFrame, buckets: int) -> float:
+def threshold(docs: DataFrame, labels: DataFrame, counts: DataFrame, buckets: int, arrays: DataFrame | None = None) -> float:
     """QUANTILE of the scores that all trusted documents have as ones that are not trusted. 0 if there are none.
 
     A few scores say little of so small a share of them, as it is their least one; so what a normal tail from the median
     and the tenth on would reach counts where it is lower.
     """
-    scores = own_scores(docs, labels, counts, buckets)
+    if arrays is None and buckets <= ARRAY:
+        arrays = by_bucket(docs, counts, buckets)
+    scores = own_scores(docs, labels, counts, buckets, arrays)
     if scores.isEmpty():
         return 0.0
     low, tenth, half = quantiles(scores, (QUANTILE, 0.1, 0.5))
@@ -271,17 +264,20 @@ def _every(docs: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
-    """(f, n, ratio) of every bucket: its count and the log of trusted over corpus probability, 0 without trusted words."""
+    """(f, n, t, log_n, ratio) of every bucket: its counts, the log of its corpus probability, and the log of trusted over corpus
+    probability, 0 without trusted words."""
     whole = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     log = lambda x, total: _log(F.col(x), F.lit(total), buckets)
-    return _every(docs, counts, buckets).select("f", "n", (_ratio(log("t", whole.t), log("n", whole.n)) if whole.t else F.lit(0.0)).alias("ratio"))
+    # Without any words there is no probability, nor a use for it.
+    log_n = log("n", whole.n) if whole.n else F.lit(0.0)
+    return _every(docs, counts, buckets).select("f", "n", "t", log_n.alias("log_n"), (_ratio(log("t", whole.t), log("n", whole.n)) if whole.t else F.lit(0.0)).alias("ratio"))
 
 
-def _array(values: DataFrame, *names: str) -> Column:
-    """Columns by f as arrays: the one, or a struct of several."""
-    listed = values.agg(F.array_sort(F.collect_list(F.struct("f", *names))).alias("x"))
-    made = F.struct(*[F.col("x")[c].alias(c) for c in names]) if len(names) > 1 else F.col("x")[names[0]]
-    return stored(listed.select(made.alias("x")), "ratios").scalar()
+def by_bucket(docs: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """t, log_n and ratio of all buckets as arrays, by bucket. A written table of one row."""
+    names = ("t", "log_n", "ratio")
+    listed = log_ratios(docs, counts, buckets).agg(F.sort_array(F.collect_list(F.struct("f", *names))).alias("x"))
+    return stored(listed.select(*[F.col("x")[c].alias(c) for c in names]), "ratios")
 
 
 def _looked_up(each: DataFrame, values: DataFrame, total: int) -> DataFrame:
@@ -293,13 +289,12 @@ def _looked_up(each: DataFrame, values: DataFrame, total: int) -> DataFrame:
     return known.union(both.where("__v is null").drop("__v").join(values.where(F.col("n") < least), "f").select(*each.columns, *names))
 
 
-def _by_array(docs: DataFrame, ratios: DataFrame) -> DataFrame:
+def _by_array(docs: DataFrame, arrays: DataFrame, buckets: int) -> DataFrame:
     """The documents with a column __q of counts and score."""
-    one = _array(ratios, "ratio")
     # Not to be worked out again wherever a part of it is used: what depends on the partition is not moved or copied.
     # The array is named once, in let(), so that it isn't made a column that is copied into every row.
-    found = F.when(F.spark_partition_id() >= 0, let(F.col("__r"), lambda r: counted(F.col("text"), r)))
-    return docs.withColumn("__r", one).withColumn("__q", found).drop("__r")
+    found = F.when(F.spark_partition_id() >= 0, let(F.col("__r"), lambda r: counted(F.col("text"), r, buckets)))
+    return docs.withColumn("__r", arrays.select("ratio").scalar()).withColumn("__q", found).drop("__r")
 
 
 def _by_join(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
@@ -322,9 +317,9 @@ def judged(docs: DataFrame, labels: DataFrame, least: float | None = None) -> Da
     docs = docs.drop(*OWN)
     light, buckets = docs.select("doc_id", "text"), bucket_number(docs)
     counts = counts_of(light, labels, buckets)
-    least = threshold(light, labels, counts, buckets) if least is None else least
-    ratios = log_ratios(docs, counts, buckets)
-    found = _by_array(docs, ratios) if buckets <= ARRAY else _by_join(docs, ratios, buckets)
+    arrays = by_bucket(docs, counts, buckets) if buckets <= ARRAY else None
+    least = threshold(light, labels, counts, buckets, arrays) if least is None else least
+    found = _by_join(docs, log_ratios(docs, counts, buckets).select("f", "n", "ratio"), buckets) if arrays is None else _by_array(docs, arrays, buckets)
     found = found.select(*docs.columns, *[F.col("__q")[c].alias(c) for c in OWN if c not in ("base_failed", "kept")])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= least))

@@ -387,6 +387,42 @@ def test_threshold_over_all_trusted(spark, monkeypatch, array):
     assert got == pytest.approx(min(low, half - quality.TAIL * (half - tenth)), abs=1e-9)
 
 
+def test_few_tasks_count(spark, monkeypatch):
+    """What tasks that count send, up to every bucket each, doesn't grow with the parts that texts lie in."""
+    docs = spark.createDataFrame([(k, f"a b c{k % 7} d") for k in range(200)], "doc_id int, text string").repartition(60)
+    labels = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    tasks, of = [], quality.ngrams
+    monkeypatch.setattr(quality, "ngrams", lambda df, *more: tasks.append(df.rdd.getNumPartitions()) or of(df, *more))
+    got = quality.counts_of(docs, labels, 1_000).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    assert (got.n, got.t) == (1_400, 350)
+    assert max(tasks) <= max(12, 2 * spark.sparkContext.defaultParallelism)
+
+
+def test_trusted_texts_move_once(spark, monkeypatch):
+    """Own scores need one shuffle, of texts by doc_id: n-grams are counted and added up where these lie."""
+    docs = spark.createDataFrame([(k % 90, f"a b c{k % 7} d a b") for k in range(200)], "doc_id int, text string")
+    labels = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    counts = quality.counts_of(docs, labels, 1_000)
+    arrays = quality.by_bucket(docs, counts, 1_000)
+    plans, of = [], quality.stored
+    monkeypatch.setattr(quality, "PART", 1 << 20)
+    monkeypatch.setattr(quality, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or of(df, name))
+    got = quality.own_scores(docs, labels, counts, 1_000, arrays)
+    assert got.count() == docs.where("doc_id < 50").count() and got.where("score is null").isEmpty()
+    # The other exchanges are of labels' ids.
+    assert len(plans) == 1 and plans[0].count("REPARTITION_BY_NUM") == 1
+    assert not re.search(r"Exchange hashpartitioning\((?!doc_id)", plans[0]) and not re.search(r"Exchange .*(h#|own#|f#)", plans[0]), plans[0]
+
+
+def test_repeated_windows(spark):
+    """Texts of few different words, where runs of four stand twice with and without runs of five that do."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices("abcdef"[: rng.randint(1, 6)], k=rng.randint(0, 60)))) for k in range(600)]
+    found = spark.createDataFrame(rows, "doc_id int, text string").select("doc_id", quality.counted(F.col("text"), None).alias("q"))
+    got = {r.doc_id: r.q.n_repeat_words for r in found.collect()}
+    assert all(got[k] == brute_quality(text)[4] for k, text in rows)
+
+
 def test_every_trusted_document_counts(spark):
     labels = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     assert quality.trusted_ids(labels.union(labels)).count() == 20_500
