@@ -770,6 +770,34 @@ def test_pipeline(spark):
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
+def test_pipeline_reads_the_threshold_off_all_trusted(spark, tmp_path, monkeypatch):
+    """The first stage keeps what reaches the quantile over thousands of trusted documents, every one of them scored here
+    without its own part."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, 12) % 3000)) for k in range(14_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    spark.range(14_000).select(F.col("id").alias("doc_id"), (F.col("id") < 9_000).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    used, of = [], quality.threshold
+    monkeypatch.setattr(quality, "threshold", lambda *given: used.append(of(*given)) or used[-1])
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    ws = docs.select("doc_id", common.words(F.col("text")).alias("ws"))
+    listed = ws.select("doc_id", F.concat(F.transform("ws", lambda w: quality.feature(w)), F.zip_with(F.slice("ws", 1, 11), F.slice("ws", 2, 11), lambda a, b: quality.feature(a, b))).alias("fs"))
+    own = {r.doc_id: np.unique(r.fs, return_counts=True) for r in listed.collect()}
+    n, t = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for k, (fs, m) in own.items():
+        n[fs] += m
+        t[fs] += m * (k < 9_000)
+    log = lambda x, total: np.log((x + total * quality.SMOOTHING / quality.BUCKETS) / (total * (1 + quality.SMOOTHING)))
+    score = lambda fs, m, left: (m * np.round((log(t[fs] - left, t.sum() - left.sum()) - log(n[fs], n.sum())) * quality.GRAIN)).sum() / quality.GRAIN / m.sum()
+    low, tenth, half = np.quantile([score(*own[k], own[k][1]) for k in range(9_000)], [quality.QUANTILE, 0.1, 0.5])
+    least = min(low, half - quality.TAIL * (half - tenth))
+    assert used == [pytest.approx(least, abs=1e-9)]
+    assert kept == {k for k, text in rows if not brute_quality(text)[-1] and score(*own[k], np.zeros(len(own[k][0]))) >= least}
+    assert 0 < len(kept) < len(rows)
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     """What each stage decides on its own input: base rules, classes of near duplicates, leaks of the benchmark, targets of the
     mix and near equal shards, by plain loops over all of its rows."""
