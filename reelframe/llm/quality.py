@@ -223,7 +223,7 @@ def own_scores(docs: DataFrame, labels: DataFrame, counts: DataFrame, buckets: i
     """The score of each trusted document, judged as one that is not trusted: without its own part of the trusted counts, and
     that of its equal rows. Documents without words have none, nor has one that is all there is. A written table."""
     whole = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-    all_n, all_t = F.lit(whole.n), F.lit(whole.t or 0)
+    all_n, all_t = F.lit(whole.n or 0), F.lit(whole.t or 0)
     each = marked(docs, labels).where("t = 1").select("doc_id", "text").repartition(max(1, buckets * LOAD // PART), "doc_id")
     # Equal rows lie together and are one from here on, of which all rows' n-grams are taken.
     each = each.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
@@ -235,7 +235,7 @@ def own_scores(docs: DataFrame, labels: DataFrame, counts: DataFrame, buckets: i
         at = lambda c: F.get(arrays.select(c).scalar(), F.col("f").cast("int"))
         known = found.select(*row, "m", at("t").alias("t"), at("log_n").alias("log_n"))
     else:
-        known = _looked_up(found, counts, whole.n).select(*row, "m", "t", _log(F.col("n"), all_n, buckets).alias("log_n"))
+        known = _looked_up(found, counts, whole.n or 0).select(*row, "m", "t", _log(F.col("n"), all_n, buckets).alias("log_n"))
     t = F.greatest(F.col("t") - F.col("m") * F.col("copies"), F.lit(0))
     part = F.col("m") * _ratio(_log(t, all_t - F.col("own"), buckets), F.col("log_n"))
     scores = known.groupBy(*row).agg(F.sum(part).alias("total")).select(F.col("total") * F.col("copies") / F.col("own"), "copies").toDF("score", "copies")
@@ -299,12 +299,14 @@ def _by_array(docs: DataFrame, arrays: DataFrame, buckets: int) -> DataFrame:
 
 def _by_join(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
     """The same, by joining n-grams to their ratios."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    each = ngrams(numbered, buckets, "__row").groupBy("__row", "f").agg(F.count("*").alias("m"))
+    # Longer than the name of any column, so it is none of them.
+    row = max(docs.columns, key=len) + "_"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    each = ngrams(numbered, buckets, row).groupBy(row, "f").agg(F.count("*").alias("m"))
     known = _looked_up(each, ratios, ratios.agg(F.sum("n")).first()[0])
-    scores = known.groupBy("__row").agg((F.sum(F.col("m") * F.col("ratio")) / F.sum("m")).alias("__s"))
+    scores = known.groupBy(row).agg((F.sum(F.col("m") * F.col("ratio")) / F.sum("m")).alias("__s"))
     found = F.when(F.spark_partition_id() >= 0, counted(F.col("text"), None))
-    return numbered.withColumn("__q", found).join(scores, "__row", "left").withColumn("__q", F.col("__q").withField("score", F.coalesce("__s", F.lit(0.0)))).drop("__row", "__s")
+    return numbered.withColumn("__q", found).join(scores, row, "left").withColumn("__q", F.col("__q").withField("score", F.coalesce("__s", F.lit(0.0)))).drop(row, "__s")
 
 
 def judged(docs: DataFrame, labels: DataFrame, least: float | None = None) -> DataFrame:

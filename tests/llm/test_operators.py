@@ -798,6 +798,19 @@ def test_pipeline_reads_the_threshold_off_all_trusted(spark, tmp_path, monkeypat
     assert 0 < len(kept) < len(rows)
 
 
+@pytest.mark.parametrize("which", ["docs", "odd", "empty"])
+def test_pipeline_quality_by_join(spark, request, which, monkeypatch):
+    """The first stage keeps the same rows, whole, where buckets are too many for arrays."""
+    import corpus_pipeline
+
+    rows = request.getfixturevalue(which)
+    rows = rows.union(rows).withColumns({c: F.col("text") for c in ("__row", "__q", "f", "m")})
+    kept = lambda: sorted(map(repr, corpus_pipeline.quality_rules(spark, rows, SMALL).collect()))
+    by_array = kept()
+    monkeypatch.setattr(quality, "ARRAY", 0)
+    assert kept() == by_array and len(by_array) % 2 == 0
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     """What each stage decides on its own input: base rules, classes of near duplicates, leaks of the benchmark, targets of the
     mix and near equal shards, by plain loops over all of its rows."""
