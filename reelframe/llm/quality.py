@@ -302,9 +302,9 @@ def _by_join(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
     # Longer than the name of any column, so it is none of them.
     row = max(docs.columns, key=len) + "_"
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    each = ngrams(numbered, buckets, row).groupBy(row, "f").agg(F.count("*").alias("m"))
-    known = _looked_up(each, ratios, ratios.agg(F.sum("n")).first()[0])
-    scores = known.groupBy(row).agg((F.sum(F.col("m") * F.col("ratio")) / F.sum("m")).alias("__s"))
+    # Not counted by row first, which would shuffle every n-gram: heavy ones are added up where they lie.
+    known = _looked_up(ngrams(numbered, buckets, row), ratios, ratios.agg(F.sum("n")).first()[0])
+    scores = known.groupBy(row).agg((F.sum("ratio") / F.count("*")).alias("__s"))
     found = F.when(F.spark_partition_id() >= 0, counted(F.col("text"), None))
     return numbered.withColumn("__q", found).join(scores, row, "left").withColumn("__q", F.col("__q").withField("score", F.coalesce("__s", F.lit(0.0)))).drop(row, "__s")
 
