@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -23,47 +25,99 @@ from reelframe.operators import cuts
 THUMB_W, THUMB_H = 160, 90
 BINS, HUES, LEVELS = 32, 180, 256
 GREY = (1868, 9617, 4899)
-#: Frames that are worked on together.
-ROWS = 64
+#: Frames that go through Python together, and bytes of those of one size that kernels take at a time.
+ROWS, AREA = 64, 1 << 18
 FEATURES = "clip_id bigint, frame bigint, grey binary, hist binary"
 
 
 @lru_cache(maxsize=64)
 def area_weights(size: int, to: int) -> np.ndarray:
-    """(to, size): the share that each of size cells has in each of to cells over the same length."""
-    edges, cells = np.arange(to + 1) * (size / to), np.arange(size)
-    over = np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells)
-    return np.clip(over, 0, None) * (to / size)
+    """(b, a): the shares, as whole numbers that add up to a, that each of a cells has in each of b cells over the same length;
+    a to b is size to to in lowest terms, and the pattern repeats from there on."""
+    a, b = size // gcd(size, to), to // gcd(size, to)
+    edges, cells = np.arange(b + 1) * a, np.arange(a) * b
+    over = np.minimum(edges[1:, None], cells + b) - np.maximum(edges[:-1, None], cells)
+    return np.clip(over, 0, None)
+
+
+def thumbnails(frames: np.ndarray) -> np.ndarray:
+    """Frames (n, height, width, blue green red) at the thumbnail's size, (n, 3, THUMB_H, THUMB_W): each pixel the mean of the
+    area it covers, halves to even. Sums are of whole numbers, so they are exact in whatever order they are made."""
+    n, h, w, _ = frames.shape
+    down, across = area_weights(h, THUMB_H), area_weights(w, THUMB_W)
+    (_, a), (_, c) = down.shape, across.shape
+    # Sums up to 255 * a * c, and what two means that differ are apart at least, must fit the kind.
+    kind = np.float32 if a * c < 1 << 14 else np.float64
+    rows = down.astype(kind) @ frames.reshape(n, h // a, a, w * 3).astype(kind)
+    channels = np.moveaxis(rows.reshape(n, THUMB_H, w, 3), 3, 1).reshape(-1, c)
+    sums = channels @ across.T.astype(kind)
+    return np.rint(sums / kind(a * c)).astype(np.uint8).reshape(n, 3, THUMB_H, THUMB_W)
 
 
 def thumbnail(frame: np.ndarray) -> np.ndarray:
-    """A frame (height, width, blue green red) at the thumbnail's size: each pixel the mean of the area it covers."""
-    h, w, _ = frame.shape
-    rows = np.tensordot(area_weights(h, THUMB_H), frame.astype(np.float64), (1, 0))
-    # Rounded twice, so that halves are halves in whatever order the sums are made.
-    return np.rint(np.round(np.einsum("xw,ywc->yxc", area_weights(w, THUMB_W), rows), 6)).astype(np.uint8)
+    """One frame (height, width, blue green red) at the thumbnail's size."""
+    return np.moveaxis(thumbnails(frame[None])[0], 0, 2)
+
+
+def _grey(b: np.ndarray, g: np.ndarray, r: np.ndarray) -> np.ndarray:
+    b, g, r = (x.astype(np.uint32) * k for x, k in zip((b, g, r), GREY, strict=True))
+    return ((b + g + r + (1 << 13)) >> 14).astype(np.uint8)
 
 
 def grey(small: np.ndarray) -> np.ndarray:
-    return ((small.astype(np.int64) @ np.array(GREY) + (1 << 13)) >> 14).astype(np.uint8)
+    return _grey(*np.moveaxis(small, -1, 0))
+
+
+@lru_cache(maxsize=1)
+def _colours() -> tuple[np.ndarray, np.ndarray]:
+    """All hues and saturations there are, as _places finds them: hue by which channel is the highest (red, green, blue), the
+    difference of the other two and the span from the lowest; saturation by the highest and the span."""
+    span, high, apart = np.arange(256), np.arange(256)[:, None], np.arange(-255, 256)[:, None]
+    turn = apart / np.where(span > 0, span, 1)
+    hue = np.rint(30 * np.where(span > 0, np.stack([turn, 2 + turn, 4 + turn]), 0)).astype(np.int32) % HUES
+    return hue.ravel(), np.rint(255 * span / np.where(high > 0, high, 1)).astype(np.int32).ravel()
+
+
+@lru_cache(maxsize=1)
+def _bins() -> tuple[np.ndarray, np.ndarray]:
+    hue, saturation = _colours()
+    return hue * BINS // HUES * BINS, saturation * BINS // LEVELS
+
+
+def _places(b: np.ndarray, g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the tables of _colours pixels stand."""
+    high = np.maximum(np.maximum(b, g), r)
+    span = high - np.minimum(np.minimum(b, g), r)
+    blue, green, red = (x.astype(np.int32) for x in (b, g, r))
+    apart = np.where(high == r, green - blue, np.where(high == g, blue - red + 511, red - green + 2 * 511))
+    return (apart + 255 << 8) + span, (high.astype(np.int32) << 8) + span
 
 
 def hue_saturation(small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hue in 0 .. 179 (two degrees each) and saturation in 0 .. 255, rounded; both 0 where there is no colour."""
-    b, g, r = (small[..., k].astype(np.float64) for k in range(3))
-    high, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
-    span = high - low
-    part = np.where(span > 0, span, 1)
-    turn = np.where(high == r, (g - b) / part, np.where(high == g, 2 + (b - r) / part, 4 + (r - g) / part))
-    hue = np.rint(30 * np.where(span > 0, turn, 0)).astype(np.int64) % HUES
-    return hue, np.rint(255 * span / np.where(high > 0, high, 1)).astype(np.int64)
+    hue, saturation = (table.take(at) for table, at in zip(_colours(), _places(*np.moveaxis(small, -1, 0)), strict=True))
+    return hue, saturation
+
+
+def _histograms(b: np.ndarray, g: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """(n, BINS * BINS) of channels (n, pixels)."""
+    hue, saturation = (table.take(at) for table, at in zip(_bins(), _places(b, g, r), strict=True))
+    n, each = len(b), BINS * BINS
+    at = hue + saturation + (np.arange(n, dtype=np.int32) * each)[:, None]
+    return np.bincount(at.ravel(), minlength=n * each).reshape(n, each)
 
 
 def histogram(small: np.ndarray) -> np.ndarray:
     """Pixels in each of BINS by BINS bins of hue and saturation."""
-    hue, saturation = hue_saturation(small)
-    at = (hue * BINS // HUES) * BINS + saturation * BINS // LEVELS
-    return np.bincount(at.ravel(), minlength=BINS * BINS)
+    return _histograms(*np.moveaxis(small, -1, 0).reshape(3, 1, -1))[0]
+
+
+def alike(sizes: list[tuple[int, int] | None]) -> Iterator[tuple[int, int, int, int]]:
+    """(begin, end, height, width) of stretches of one size, of at most AREA bytes or one frame; none of frames without a size."""
+    for size, run in groupby(range(len(sizes)), sizes.__getitem__):
+        if size:
+            some, step = list(run), max(1, AREA // (size[0] * size[1] * 3))
+            yield from ((some[k], min(some[k] + step, some[-1] + 1), *size) for k in range(0, len(some), step))
 
 
 def features(frames: DataFrame) -> DataFrame:
@@ -72,15 +126,14 @@ def features(frames: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            greys, hists = [], []
-            for h, w, px in zip(*[batch.column(c).to_pylist() for c in ("height", "width", "pixels")], strict=True):
-                if not px or not h or not w or len(px) != h * w * 3:
-                    greys.append(None)
-                    hists.append(None)
-                    continue
-                small = thumbnail(np.frombuffer(px, np.uint8).reshape(h, w, 3))
-                greys.append(grey(small).tobytes())
-                hists.append(histogram(small).astype("<u2").tobytes())
+            heights, widths, pixels = (batch.column(c).to_pylist() for c in ("height", "width", "pixels"))
+            sizes = [(h, w) if px and h and w and h > 0 and w > 0 and len(px) == h * w * 3 else None for h, w, px in zip(heights, widths, pixels, strict=True)]
+            greys, hists = [None] * len(batch), [None] * len(batch)
+            for begin, end, h, w in alike(sizes):
+                small = thumbnails(np.frombuffer(b"".join(pixels[begin:end]), np.uint8).reshape(-1, h, w, 3))
+                channels = [small[:, k].reshape(end - begin, -1) for k in range(3)]
+                greys[begin:end] = [x.tobytes() for x in _grey(*channels)]
+                hists[begin:end] = [x.tobytes() for x in _histograms(*channels).astype("<u2")]
             yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("frame"), pa.array(greys, pa.binary()), pa.array(hists, pa.binary())], ["clip_id", "frame", "grey", "hist"])
 
     in_small_batches(frames.sparkSession)

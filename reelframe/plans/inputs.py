@@ -14,6 +14,7 @@ from reelframe.operators import crop
 
 SRC_W, SRC_H, FPS = 1920, 1080, 30.0
 EVERY = 7
+TASKS_A_CORE = 4
 RATES_OF_AUDIO = (44_100, 48_000, 16_000, 8_000)
 #: Which faces stand for a cut, a simple key, and a clip as a whole.
 CUT_IF, KEY_IF, FIRST_IF = "det = 0 and kind = 'error' and frame > 2", "face_idx = 0 and sample_idx % 2 = 0", "det = 0 and sample_idx = 0"
@@ -58,15 +59,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         # A batch of embeddings would be hundreds of times its size as frames.
         for batch in slices(batches, 64):
             ids, labels = batch.column("vec_id").to_pylist(), batch.column("label").to_pylist()
-            frames = []
-            for values, label in zip(batch.column("embedding").to_pylist(), labels, strict=True):
-                field = np.resize(np.array(values, float), (8, 8)) * 120 * ((label or 0) % 4)
-                colours = np.stack([100 + field, 130 - field, 90 + np.roll(field, 1, 0)], 2)
-                frames.append(np.clip(np.repeat(np.repeat(colours, 14, 0)[:108], 24, 1), 0, 255).astype(np.uint8).tobytes())
+            fields = np.stack([np.resize(np.array(values, float), (8, 8)) * 120 * ((label or 0) % 4) for values, label in zip(batch.column("embedding").to_pylist(), labels, strict=True)])
+            colours = np.clip(np.stack([100 + fields, 130 - fields, 90 + np.roll(fields, 1, 1)], 3), 0, 255).astype(np.uint8)
+            frames = [f.tobytes() for f in np.repeat(np.repeat(colours, 24, 2), 14, 1)[:, :108]]
             yield pa.RecordBatch.from_arrays([pa.array([k % 20 for k in ids]), pa.array([k // 20 for k in ids]), pa.array([108] * len(ids), pa.int32()), pa.array([192] * len(ids), pa.int32()), pa.array(frames, pa.binary())], ["clip_id", "frame", "height", "width", "pixels"])
 
     some = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").where("vec_id is not null and embedding is not null")
-    return some.mapInArrow(of, "clip_id bigint, frame bigint, height int, width int, pixels binary")
+    # A file, or a group of rows in it, is one task's, so small rows are dealt out before each becomes a frame of 62 KB.
+    return some.repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism, "vec_id").mapInArrow(of, "clip_id bigint, frame bigint, height int, width int, pixels binary")
 
 
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:

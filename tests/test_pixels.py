@@ -1,6 +1,7 @@
 """Pixels against plain loops."""
 
 import colorsys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,18 @@ def test_thumbnail(h, w):
     assert pixels.grey(small).ravel().tolist() == plain_bins(small)[1]
 
 
+@pytest.mark.parametrize("h, w", [(108, 192), (97, 161), (40, 50), (1080, 1920)])
+def test_thumbnails_are_exact(h, w):
+    """Frames taken together: sums of whole numbers over areas, divided once, halves to even."""
+    frames = np.random.default_rng(w).integers(0, 256, (3, h, w, 3)).astype(np.uint8)
+    frames[1] = frames[1] // 128 * 255
+    down, across = (np.array([[max(0, min((j + 1) * size, (i + 1) * to) - max(j * size, i * to)) for i in range(size)] for j in range(to)]) for size, to in ((h, pixels.THUMB_H), (w, pixels.THUMB_W)))
+    for frame, small in zip(frames, pixels.thumbnails(frames), strict=True):
+        for k in range(3):
+            whole, part = np.divmod(down @ frame[..., k].astype(int) @ across.T, h * w)
+            assert (small[k] == whole + ((2 * part > h * w) | ((2 * part == h * w) & (whole % 2 == 1)))).all()
+
+
 def test_histogram():
     small = np.random.default_rng(2).integers(0, 256, (90, 160, 3)).astype(np.uint8)
     small[:9] = small[:9, :, :1]
@@ -95,6 +108,33 @@ def test_frames_that_cannot_be_read(spark):
     assert pixels.differences(pixels.features(df.limit(0))).count() == 0
 
 
+def test_sizes_may_differ(spark):
+    """Frames of several sizes in turn, alike and not, have the features that each has on its own."""
+    gen = np.random.default_rng(3)
+    sizes = [(30, 40), (30, 40), (40, 30), (1, 1), (300, 400), (300, 400), (-3, -4), (30, 40)]
+    frames = [gen.integers(0, 256, (abs(h), abs(w), 3)).astype(np.uint8) for h, w in sizes]
+    rows = [(1, k, h, w, f.tobytes()) for k, ((h, w), f) in enumerate(zip(sizes, frames, strict=True))]
+    df = spark.createDataFrame(rows, "clip_id int, frame int, height int, width int, pixels binary").coalesce(1)
+    got = {r.frame: r for r in pixels.features(df).collect()}
+    for k, (size, frame) in enumerate(zip(sizes, frames, strict=True)):
+        small = pixels.thumbnail(frame)
+        want = (None, None) if min(size) < 0 else (pixels.grey(small).tobytes(), pixels.histogram(small).astype("<u2").tobytes())
+        assert (got[k].grey, got[k].hist) == want
+    assert list(pixels.alike([(300, 400)] * 2 + [None, (30, 40), (30, 40)])) == [(0, 1, 300, 400), (1, 2, 300, 400), (3, 5, 30, 40)]
+
+
+def test_frames_are_quick(spark):
+    """Kernels take far less than a fiftieth of a second a frame, and all cores make frames of one file."""
+    frames = np.random.default_rng(4).integers(0, 256, (50, 108, 192, 3)).astype(np.uint8)
+    pixels.histogram(pixels.thumbnail(frames[0]))
+    began = time.process_time()
+    for frame in frames:
+        pixels.histogram(pixels.thumbnail(frame))
+    assert time.process_time() - began < 1
+    made = inputs.pixels(spark, SMALL).groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) >= spark.sparkContext.defaultParallelism
+
+
 def test_batches_are_bounded(spark):
     """Frames are made, reach Python and leave it a few at a time, however many rows Spark puts together."""
     many = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("embedding", "label").crossJoin(spark.range(2)).coalesce(1)
