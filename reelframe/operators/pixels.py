@@ -1,19 +1,21 @@
 """Scene cuts from pixels: thumbnails and histograms of frames, differences of neighbours, then the rules of cuts.
 
-A frame is worked on where it lies, and only its thumbnail in grey and its histogram (14 and 2 KB) are shuffled by clip; each
-then meets the one before it by a window. Kernels are NumPy over ROWS frames at a time, and rows go to Python by bytes, so
-a task's memory depends on neither the table's size nor a frame's.
+A frame is worked on where it lies, and only its thumbnail in grey and its histogram (14 and 2 KB) are shuffled, by pieces of clips. A
+fold over each piece in order gives differences; a window over the clip's numbers then brings together what the last frame of one
+piece and the first of the next one kept. So neither a task's work nor its memory depends on a clip's length, but for numbers.
+Kernels are NumPy over a few frames at a time, and rows go to Python by bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import groupby, pairwise
 from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ BINS, HUES, LEVELS = 32, 180, 256
 GREY = (1868, 9617, 4899)
 #: Frames that go through Python together, and bytes of those of one size that kernels take at a time.
 ROWS, AREA = 64, 1 << 18
+#: Numbers of frames that a piece of a clip spans.
+PIECE = 256
 FEATURES = "clip_id bigint, frame bigint, grey binary, hist binary"
+#: Each frame's place in its piece; its differences to the one before it, but for the first; features of the first and the last.
+IN_PIECES = "clip_id bigint, frame bigint, place bigint, hist_diff double, pixel_diff double, grey binary, hist binary"
 
 
 @lru_cache(maxsize=64)
@@ -141,28 +147,65 @@ def features(frames: DataFrame) -> DataFrame:
 
 
 def _stacked(column: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bhattacharyya distance of each two histograms."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
     both = np.sqrt(a * b).sum(1) / np.sqrt(a.sum(1) * b.sum(1))
     return np.sqrt(np.maximum(0, 1 - both))
 
 
-def differences(features: DataFrame) -> DataFrame:
-    """hist_diff and pixel_diff of each frame to the one before it."""
-    by = Window.partitionBy("clip_id").orderBy("frame")
-    pairs = features.where("grey is not null").withColumns({"grey0": F.lag("grey").over(by), "hist0": F.lag("hist").over(by)}).where("grey0 is not null")
+def mean_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean difference of each two rows of grey values, of 1."""
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int64) / a.shape[1] / 255
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ROWS):
-            hist = distances(_stacked(batch.column("hist0"), "<u2"), _stacked(batch.column("hist"), "<u2"))
-            pixel = np.abs(_stacked(batch.column("grey0"), "u1") - _stacked(batch.column("grey"), "u1")).mean(1) / 255
-            yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("frame"), pa.array(hist), pa.array(pixel)], ["clip_id", "frame", "hist_diff", "pixel_diff"])
 
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """IN_PIECES of rows (clip_id, piece, frame, grey, hist) in order."""
+
+    def some(rows: pa.RecordBatch, found: list[tuple], last: list[bool]) -> pa.RecordBatch:
+        place, hist, pixel = zip(*found, strict=True)
+        edges = [pa.array([x.as_py() if k == 0 or end else None for x, k, end in zip(rows.column(c), place, last, strict=True)], pa.binary()) for c in ("grey", "hist")]
+        return pa.RecordBatch.from_arrays([rows.column("clip_id"), rows.column("frame"), pa.array(place, pa.int64()), pa.array(hist, pa.float64()), pa.array(pixel, pa.float64()), *edges], ["clip_id", "frame", "place", "hist_diff", "pixel_diff", "grey", "hist"])
+
+    # A batch's last row is held back until it is known whether its piece goes on.
+    held, found = None, [(0, None, None)]
+    for batch in slices(batches, ROWS):
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        keys = list(zip(rows.column("clip_id").to_pylist(), rows.column("piece").to_pylist(), strict=True))
+        on = [a == b for a, b in pairwise(keys)]
+        grey, hist = _stacked(rows.column("grey"), "u1"), _stacked(rows.column("hist"), "<u2")
+        for goes_on, *apart in zip(on, distances(hist[:-1], hist[1:]), mean_differences(grey[:-1], grey[1:]), strict=True):
+            found.append((found[-1][0] + 1, *apart) if goes_on else (0, None, None))
+        if on:
+            yield some(rows.slice(0, len(on)), found[:-1], [not goes_on for goes_on in on])
+        held, found = rows.slice(len(on)), found[-1:]
+    if held is not None:
+        yield some(held, found, [True])
+
+
+def _across(grey0: pa.Array, hist0: pa.Array, grey: pa.Array, hist: pa.Array) -> pa.Array:
+    """hist_diff and pixel_diff of two frames; null where one of them is."""
+    met = pc.and_(grey0.is_valid(), grey.is_valid())
+    found = np.zeros((2, len(met)))
+    at = np.flatnonzero(met.to_numpy(zero_copy_only=False))
+    for k in range(0, len(at), ROWS):
+        g0, h0, g, h = (c.take(pa.array(at[k : k + ROWS])) for c in (grey0, hist0, grey, hist))
+        found[:, at[k : k + ROWS]] = distances(_stacked(h0, "<u2"), _stacked(h, "<u2")), mean_differences(_stacked(g0, "u1"), _stacked(g, "u1"))
+    return pa.StructArray.from_arrays(list(map(pa.array, found)), ["hist_diff", "pixel_diff"], mask=pc.invert(met))
+
+
+def differences(features: DataFrame) -> DataFrame:
+    """hist_diff and pixel_diff of each frame to the one before it; equal frames of a clip count by their features' order."""
+    pieces = features.where("grey is not null").withColumn("piece", F.expr(f"frame div {PIECE}")).repartition("clip_id", "piece")
     in_small_batches(features.sparkSession)
-    return pairs.mapInArrow(of, "clip_id bigint, frame bigint, hist_diff double, pixel_diff double")
+    each = pieces.sortWithinPartitions("clip_id", "piece", "frame", "grey", "hist").select("clip_id", "piece", "frame", "grey", "hist").mapInArrow(_in_pieces, IN_PIECES)
+    by, first = Window.partitionBy("clip_id").orderBy("frame", "place"), F.col("place") == 0
+    met = each.withColumns({"grey0": F.when(first, F.lag("grey").over(by)), "hist0": F.when(first, F.lag("hist").over(by))}).where("place > 0 or grey0 is not null")
+    met = met.withColumn("across", F.arrow_udf(_across, "hist_diff double, pixel_diff double")("grey0", "hist0", F.when(first, F.col("grey")), F.when(first, F.col("hist"))))
+    return met.select("clip_id", "frame", *(F.coalesce(c, f"across.{c}").alias(c) for c in ("hist_diff", "pixel_diff")))
 
 
 def scene_cuts(frames: DataFrame, media: DataFrame, conf: Config = DEFAULT) -> DataFrame:

@@ -108,6 +108,41 @@ def test_frames_that_cannot_be_read(spark):
     assert pixels.differences(pixels.features(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, pixels.PIECE])
+def test_pieces_of_clips(spark, monkeypatch, piece):
+    """Dense, scattered, equal, negative and null frames, of null clips too: by a loop over each clip, whatever a piece spans."""
+    monkeypatch.setattr(pixels, "PIECE", piece)
+    gen = np.random.default_rng(6)
+    numbers = {1: range(700), 2: [*gen.integers(-3000, 3000, 200).tolist(), None], 3: [5], 4: [-1, 0, 0, 0, 1, 10**15], None: [None, None, 2, 3, 255, 256, 257], 5: [3 * k for k in range(300)]}
+    rows = [(clip, frame, gen.integers(0, 256, 6).astype("u1").tobytes(), gen.integers(1, 9, 4).astype("<u2").tobytes()) for clip, frames in numbers.items() for frame in frames]
+    rows += [(1, 1000, None, None), (4, 7, None, None), rows[0], (6, 1, None, None)]
+    want = []
+    before = None
+    for clip, frame, grey, hist in sorted((r for r in rows if r[2]), key=lambda r: (r[0] or -1, r[1] is not None, r[1] or 0, *r[2:])):
+        now = (clip, np.frombuffer(grey, "u1").astype(float), np.frombuffer(hist, "<u2").astype(float))
+        if before and before[0] == clip:
+            g, h, g0, h0 = *now[1:], *before[1:]
+            away = np.sqrt(max(0, 1 - np.sqrt(h * h0).sum() / np.sqrt(h.sum() * h0.sum())))
+            want.append((clip, frame, round(float(away), 9), round(float(np.abs(g - g0).mean() / 255), 9)))
+        before = now
+    features = spark.createDataFrame([rows[k] for k in gen.permutation(len(rows))], pixels.FEATURES)
+    got = [(r.clip_id, r.frame, round(r.hist_diff, 9), round(r.pixel_diff, 9)) for r in pixels.differences(features).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 1200
+
+
+def test_a_clip_is_no_one_task(spark):
+    """Features go by pieces; of a clip only numbers come together, and features of the first and last frame of each piece."""
+    frames = spark.range(4000).selectExpr("1L clip_id", "id frame", "cast(repeat('a', 60) as binary) grey", "cast('abcdefgh' as binary) hist")
+    found = pixels.differences(frames)
+    assert found.count() == 3999 and found.where("hist_diff != 0 or pixel_diff != 0").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    (by_piece,) = [line for line in plan.splitlines() if "Exchange" in line and "piece#" in line]
+    assert "piece#" in by_piece.split("hashpartitioning(")[1].split("),")[0]
+    dealt = frames.withColumn("piece", F.expr(f"frame div {pixels.PIECE}")).coalesce(1).sortWithinPartitions("piece", "frame")
+    kept = dealt.mapInArrow(pixels._in_pieces, pixels.IN_PIECES).where("grey is not null")
+    assert {r.frame % pixels.PIECE for r in kept.collect()} == {0, pixels.PIECE - 1, 3999 % pixels.PIECE}
+
+
 def test_sizes_may_differ(spark):
     """Frames of several sizes in turn, alike and not, have the features that each has on its own."""
     gen = np.random.default_rng(3)
